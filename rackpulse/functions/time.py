@@ -31,11 +31,10 @@ def micros_of(instant: datetime) -> int:
 
 def instant_literal(instant: datetime, like: DataType) -> Column:
     """Literal of the column's own timestamp type, so that a bound reaches the scan."""
-    stamp = F.timestamp_micros(F.lit(micros_of(instant)))
     if isinstance(like, TimestampNTZType):
-        utc = _EPOCH + timedelta(microseconds=micros_of(instant))
-        return F.lit(utc.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-    return stamp
+        utc = _EPOCH.replace(tzinfo=None) + timedelta(microseconds=micros_of(instant))
+        return F.lit(utc.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(micros_of(instant)))
 
 
 def rfc3339_text(stamp: Column) -> Column:

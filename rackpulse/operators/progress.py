@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.operators.numbering import BLOCK, number_rows
-from rackpulse.operators.sizes import broadcast_if_small
-from rackpulse.schemas import DEFAULT_CAPACITY, LOG_KEY, PROGRESS_KEY
+from rackpulse.operators.sizes import BROADCAST_ROWS, broadcast_if_small
+from rackpulse.schemas import DEFAULT_CAPACITY, LOG_KEY, PROGRESS_KEY, SEGMENT
 
 
 def heads(log: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
@@ -38,13 +38,24 @@ def next_offset(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max("offset") + 1, F.lit(0).cast("bigint")).alias("next_offset"))
 
 
-def _with_heads(log: DataFrame, log_heads: DataFrame) -> DataFrame:
-    return log.join(broadcast_if_small(log_heads), LOG_KEY)
+def _reading_on(log: DataFrame, bounds: DataFrame, bound: str) -> DataFrame:
+    """Log rows joined to their partition's bound, from that offset on.
+
+    The lowest bound of all partitions is also a plain filter, which lets the scan
+    skip old row groups and, in a stored log, old segment folders.
+    """
+    partitions, lowest = bounds.agg(F.count("*"), F.min(bound)).first()
+    if lowest is not None:
+        log = log.where(F.col("offset") >= lowest)
+        if "segment" in log.columns:
+            log = log.where(F.col("segment") >= lowest // SEGMENT)
+    side = F.broadcast(bounds) if partitions <= BROADCAST_ROWS else bounds
+    return log.join(side, LOG_KEY).where(F.col("offset") >= F.col(bound))
 
 
 def retained(log: DataFrame, log_heads: DataFrame) -> DataFrame:
     """Messages whose offset is not below its partition's tail."""
-    return _with_heads(log, log_heads).where(F.col("offset") >= F.col("tail")).select(*log.columns)
+    return _reading_on(log, log_heads, "tail").select(*log.columns)
 
 
 def offset_class(offsets: DataFrame, log_heads: DataFrame) -> DataFrame:
@@ -121,12 +132,9 @@ def fair_poll(log: DataFrame, group_starts: DataFrame) -> DataFrame:
     start = group_starts.select(
         *LOG_KEY, "start", F.when(F.col("lost") > 0, 1).otherwise(0).alias("_jump")
     )
-    return (
-        log.join(broadcast_if_small(start), LOG_KEY)
-        .where(F.col("offset") >= F.col("start"))
-        .withColumn("poll_round", F.col("offset") - F.col("start") + F.col("_jump"))
-        .select("poll_round", *log.columns)
-    )
+    return _reading_on(log, start, "start").withColumn(
+        "poll_round", F.col("offset") - F.col("start") + F.col("_jump")
+    ).select("poll_round", *log.columns)
 
 
 def failed_messages(failed: DataFrame, commits: DataFrame) -> DataFrame:

@@ -113,9 +113,9 @@ def models_count(spark, sf):
 
 
 @query(f"""SELECT {_GPU_COLUMNS} FROM gpus
-           WHERE model_name ILIKE '%build%' AND hostname ILIKE '%NATION_1%' ORDER BY uuid LIMIT 20 OFFSET 2""")
+           WHERE model_name ILIKE '%build%' AND hostname ILIKE '%NATION%' ORDER BY uuid LIMIT 20 OFFSET 2""")
 def gpus_filter_page(spark, sf):
-    wanted = GpuFilter.parse(model_name="build", hostname="NATION_1", limit="20", offset="2")
+    wanted = GpuFilter.parse(model_name="build", hostname="NATION", limit="20", offset="2")
     return queries.list_gpus(views.gpus(spark, sf), wanted)
 
 
@@ -140,12 +140,12 @@ def gpu_samples_range(spark, sf):
 
 
 @query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
-           WHERE s.metric_name = 'EVT_VIEW' AND g.model_name ILIKE '%auto%'
+           WHERE s.metric_name = 'EVT_VIEW' AND g.model_name ILIKE '%build%'
              AND s.sample_at >= TIMESTAMP '2024-01-05 00:00:00' AND s.sample_at <= TIMESTAMP '2024-01-25 22:00:00'
            ORDER BY s.sample_at, s.id LIMIT 200 OFFSET 10""")
 def telemetry_search(spark, sf):
     wanted = TelemetryFilter.parse(
-        metric_name="EVT_VIEW", model_name="auto", start_time="2024-01-05T00:00:00Z",
+        metric_name="EVT_VIEW", model_name="build", start_time="2024-01-05T00:00:00Z",
         end_time="2024-01-26T00:00:00+02:00", limit=200, offset=10,
     )
     return queries.search_samples(views.samples(spark, sf), views.gpus(spark, sf), wanted)
@@ -167,18 +167,18 @@ def model_samples(spark, sf):
 
 
 @query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s WHERE s.metric_name = 'EVT_SIGNUP'
-           ORDER BY s.sample_at, s.id LIMIT 300 OFFSET 1500""")
+           ORDER BY s.sample_at, s.id LIMIT 300 OFFSET 150""")
 def samples_deep_page(spark, sf):
     found = equals(views.samples(spark, sf), metric_name="EVT_SIGNUP")
-    return queries.sample_output(sample_page(found, 300, 1500, shallow=1000))
+    return queries.sample_output(sample_page(found, 300, 150, shallow=100))
 
 
 @query(f"""SELECT {_SAMPLE_COLUMNS} FROM
            (SELECT * REPLACE (date_trunc('day', sample_at) AS sample_at) FROM telemetry_samples) s
-           ORDER BY s.sample_at, s.id LIMIT 150 OFFSET 4321""")
+           ORDER BY s.sample_at, s.id LIMIT 150 OFFSET 321""")
 def samples_deep_page_ties(spark, sf):
     tied = views.samples(spark, sf).withColumn("sample_at", F.date_trunc("day", "sample_at").cast("timestamp_ntz"))
-    return queries.sample_output(sample_page(tied, 150, 4321, shallow=200))
+    return queries.sample_output(sample_page(tied, 150, 321, shallow=200))
 
 
 @query("""SELECT uuid, '{"uuid":"' || uuid || '","gpu_index":"' || gpu_index || '","device":"' || device
@@ -593,7 +593,7 @@ def _delivered(spark, sf) -> str:
 
 def _streamed(spark, sf) -> Tables:
     log, tables = _delivered(spark, sf), Tables(spark, scratch_dir(spark, "tables"))
-    run = start_ingest(stream_log(spark, log, max_files=40), tables, scratch_dir(spark, "checkpoint"))
+    run = start_ingest(stream_log(spark, log, max_files=8), tables, scratch_dir(spark, "checkpoint"))
     run.awaitTermination()
     return tables
 

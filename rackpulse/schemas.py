@@ -44,6 +44,8 @@ MESSAGE_LOG = StructType([
     StructField("timestamp_ns", LongType()),
 ])
 
+STORED_LOG = StructType([*MESSAGE_LOG.fields, StructField("segment", LongType())])
+
 ACK_LOG = StructType(
     _strings("topic", "consumer_group")
     + [StructField("partition", IntegerType()), StructField("offset", LongType())]
@@ -65,6 +67,8 @@ TELEMETRY_SAMPLES = StructType(
 GPU_ATTRIBUTES = ["gpu_index", "device", "model_name", "hostname"]
 SAMPLE_KEY = ["uuid", "metric_name", "sample_at"]
 LOG_KEY = ["topic", "partition"]
+# Offsets per segment folder of a stored log partition.
+SEGMENT = 1 << 24
 PROGRESS_KEY = ["topic", "consumer_group", "partition"]
 
 # Most characters a column holds, and the columns that must be there.

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from rackpulse.operators.sizes import BROADCAST_ROWS
 from rackpulse.schemas import CORRUPT, RAW_CSV_SCAN
 
-# Doubled quotes inside a quoted field; rows of another width are kept and marked.
-OPTIONS = {"header": "true", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+# Doubled quotes inside a quoted field; rows of another width are kept and marked. A row's
+# width is only checked if the reader splits all of its columns.
+OPTIONS = {
+    "header": "true", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+    "columnPruning": "false",
+}
 _BLOCK = ["_file", "_start"]
 
 

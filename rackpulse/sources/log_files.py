@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.functions.time import now_ns
-from rackpulse.operators.progress import assign_offsets, heads
-from rackpulse.schemas import LOG_KEY, MESSAGE_LOG, TELEMETRY_RECORD
+from rackpulse.operators.progress import assign_offsets
+from rackpulse.operators.sizes import broadcast_if_small
+from rackpulse.schemas import LOG_KEY, SEGMENT, STORED_LOG, TELEMETRY_RECORD
 from rackpulse.sources.tables import read_or_empty
 
 
@@ -28,13 +29,24 @@ def message_records(messages: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All messages of the log; none if it has not been written yet."""
-    return read_or_empty(spark, path, MESSAGE_LOG)
+    """All messages of the log, with their ``segment``; none if it is not written yet."""
+    return read_or_empty(spark, path, STORED_LOG)
 
 
 def stream_log(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """New messages; the query's checkpoint remembers what has been read."""
-    return spark.readStream.schema(MESSAGE_LOG).option("maxFilesPerTrigger", max_files).parquet(path)
+    return spark.readStream.schema(STORED_LOG).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def stored_heads(log: DataFrame) -> DataFrame:
+    """Next offset of each partition of a stored log, read from its last segments only.
+
+    The last segments come from folder names and file footers; joining on them
+    prunes the scan of the offsets to those folders.
+    """
+    last = log.groupBy(*LOG_KEY).agg(F.max("segment").alias("segment")).where(F.col("segment") >= 0)
+    newest = log.join(broadcast_if_small(last), [*LOG_KEY, "segment"], "left_semi")
+    return newest.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
 
 
 def append_log(records: DataFrame, path: str, arrival: str) -> None:
@@ -42,9 +54,11 @@ def append_log(records: DataFrame, path: str, arrival: str) -> None:
 
     One writer per log at a time, as offsets are read before they are given out.
     """
-    log_heads = heads(read_log(records.sparkSession, path)).select(*LOG_KEY, "head")
+    log_heads = stored_heads(read_log(records.sparkSession, path))
     messages = to_messages(assign_offsets(records, arrival, log_heads))
+    folders = [*LOG_KEY, "segment"]
     (
-        messages.sortWithinPartitions(*LOG_KEY, "offset")
-        .write.mode("append").partitionBy(*LOG_KEY).parquet(path)
+        messages.withColumn("segment", F.call_function("div", F.col("offset"), F.lit(SEGMENT)))
+        .sortWithinPartitions(*folders, "offset")
+        .write.mode("append").partitionBy(*folders).parquet(path)
     )

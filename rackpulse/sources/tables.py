@@ -117,13 +117,12 @@ class Tables:
             return stored.limit(0)
         if len(days) > MOST_DAYS:
             days = [spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()]
-        touched = F.lit(False)
-        for span in days:
-            low, high = F.timestamp_micros(F.lit(span["low"])), F.timestamp_micros(F.lit(span["high"]))
-            touched |= (
-                F.col("sample_date").between(F.to_date(low), F.to_date(high))
-                & F.col("sample_at").between(low, high)
-            )
+        low_high = "timestamp_micros({0.low}) AND timestamp_micros({0.high})"
+        touched = " OR ".join(
+            f"(sample_date BETWEEN to_date(timestamp_micros({span.low})) AND to_date(timestamp_micros({span.high}))"
+            f" AND sample_at BETWEEN {low_high.format(span)})"
+            for span in days
+        )
         return stored.where(touched)
 
     def add_samples(self, samples: DataFrame, partitions: int) -> None:

@@ -38,7 +38,7 @@ def check(spark, con, sf_dir: str, name: str) -> str:
     sql = registered.oracle_sql().get(name)
     if sql is None:
         return "" if mine.num_rows else "no rows"
-    theirs = con.execute(sql).to_arrow_table()
+    theirs = con.sql(sql).to_arrow_table()
     if sorted(mine.column_names) != sorted(theirs.column_names):
         return f"columns {sorted(mine.column_names)} != {sorted(theirs.column_names)}"
     if mine.num_rows != theirs.num_rows:

@@ -40,4 +40,4 @@ def instant_literal(instant: datetime, like: DataType) -> Column:
 def rfc3339_text(stamp: Column) -> Column:
     """RFC 3339 text in UTC, without trailing zeros in the fraction."""
     text = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
+    return F.concat(F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")), F.lit("Z"))

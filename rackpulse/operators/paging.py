@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.functions.time import instant_literal
-
 # Rows a task may keep for a page; deeper pages first look up where they start.
 SHALLOW_ROWS = 100_000
-# Each step splits a 64-bit key range into at most 65,536 counted buckets.
+# Each step splits a 64-bit key range into counted buckets, at most MOST_BUCKETS of them. The
+# first step is left out where the second one does not exceed that by itself.
 _SHIFTS = [48, 36, 24, 12, 0]
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+MOST_BUCKETS = 1 << 16
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -22,24 +19,35 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def _find(rows: DataFrame, key: Column, within, rank: int) -> tuple[int, int] | None:
-    """Key of the row with 0-based ``rank`` in key order and the rows before that key.
+def _count_buckets(rows: DataFrame, key: Column, shift: int) -> list:
+    buckets = rows.groupBy(F.shiftright(key, shift).alias("bucket")).agg(F.count("*").alias("rows"))
+    return sorted(buckets.limit(MOST_BUCKETS + 1).collect())
+
+
+def _find(rows: DataFrame, key: Column, within, rank: int, room: int) -> tuple[int, int] | None:
+    """A key at or before the row of 0-based ``rank`` in key order, and the rows before that key.
 
     Counts rows per bucket of the key, steps into the bucket that holds the rank and
-    counts finer ones there. Only counts reach the driver, no more than 65,536.
+    counts finer ones there, until a bucket has no more than ``room`` rows or is one
+    key. Only bucket counts reach the driver.
     """
-    before, low, high = 0, None, None
-    for shift in _SHIFTS:
-        part = rows if low is None else rows.where(within(low, high))
-        counts = part.groupBy(F.shiftright(key, shift).alias("bucket")).count().orderBy("bucket").collect()
+    coarse, first, *finer = _SHIFTS
+    counts, shift = _count_buckets(rows, key, first), first
+    if len(counts) > MOST_BUCKETS:
+        counts, shift, finer = _count_buckets(rows, key, coarse), coarse, [first, *finer]
+    before = 0
+    while True:
         for bucket, count in counts:
             if before + count > rank:
-                low, high = bucket << shift, (bucket + 1 << shift) - 1
                 break
             before += count
         else:
             return None
-    return low, before
+        low, high = bucket << shift, (bucket + 1 << shift) - 1
+        if count <= room or not finer:
+            return low, before
+        shift = finer.pop(0)
+        counts = _count_buckets(rows.where(within(low, high)), key, shift)
 
 
 def sample_page(samples: DataFrame, limit: int, offset: int = 0,
@@ -54,31 +62,25 @@ def sample_page(samples: DataFrame, limit: int, offset: int = 0,
     if offset + limit <= shallow:
         return page(samples, order, limit, offset)
 
+    # From micros to the column's type the same way as back, so that both agree at every instant.
     stamp_type = samples.schema["sample_at"].dataType
 
     def instant(micros: int) -> Column:
-        return instant_literal(_EPOCH + timedelta(microseconds=micros), stamp_type)
+        return F.timestamp_micros(F.lit(micros)).cast(stamp_type)
 
     def in_span(low: int, high: int) -> Column:
-        # A coarse bucket may reach past the years a literal can hold.
-        first, last = micros_in_range(low), micros_in_range(high)
-        return F.col("sample_at").between(instant(first), instant(last))
+        return F.col("sample_at").between(instant(low), instant(high))
 
-    found = _find(samples, F.unix_micros(F.col("sample_at").cast("timestamp")), in_span, offset)
+    room = max(shallow - limit, 0)
+    found = _find(samples, F.unix_micros(F.col("sample_at").cast("timestamp")), in_span, offset, room)
     if found is None:
         return samples.limit(0)
     start, before = found
     rest, skip = samples.where(F.col("sample_at") >= instant(start)), offset - before
-    if skip + limit > shallow:
+    if skip > room:
         tied = samples.where(F.col("sample_at") == instant(start))
-        first_id, before = _find(tied, F.col("id"), lambda low, high: F.col("id").between(low, high), skip)
+        first_id, before = _find(tied, F.col("id"), lambda low, high: F.col("id").between(low, high), skip, room)
         rest = rest.where((F.col("sample_at") > instant(start)) | (F.col("id") >= first_id))
         skip -= before
     return page(rest, order, limit, skip)
 
-
-def micros_in_range(micros: int) -> int:
-    """Clamp to the instants a Python datetime can hold, years 1 to 9999."""
-    lowest = (datetime.min.replace(tzinfo=timezone.utc) - _EPOCH) // timedelta(microseconds=1)
-    highest = (datetime.max.replace(tzinfo=timezone.utc) - _EPOCH) // timedelta(microseconds=1)
-    return min(max(micros, lowest), highest)

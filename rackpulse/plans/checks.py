@@ -423,7 +423,7 @@ def log_offsets(spark, sf):
 
 @query("SELECT part_id, msg_offset + 1000 + part_id AS msg_offset, event_id FROM message_log")
 def log_offsets_continued(spark, sf):
-    rows = views.messages(spark, sf).drop("offset")
+    rows = views.routed(spark, sf)
     head = rows.groupBy("topic", "partition").agg((F.first("partition") + 1000).cast("bigint").alias("head"))
     return _log_names(progress.assign_offsets(rows, "event_id", head, block=1000)).select(
         "part_id", "msg_offset", "event_id"
@@ -438,18 +438,21 @@ def numbering_by_key(spark, sf):
 
 @query("SELECT part_id, head, tail FROM log_heads")
 def log_head_tail(spark, sf):
-    return _log_names(views.log_heads(spark, sf))
+    log = views.messages(spark, sf)
+    return _log_names(progress.heads(log, views.CAPACITY))
 
 
 @query("SELECT coalesce(max(msg_offset) + 1, 0) AS next_offset FROM message_log")
 def log_next_offset(spark, sf):
-    return progress.next_offset(views.messages(spark, sf))
+    log = views.messages(spark, sf)
+    return progress.next_offset(log)
 
 
 @query("""SELECT l.part_id, l.msg_offset, l.event_id FROM message_log l JOIN log_heads h ON l.part_id = h.part_id
           WHERE l.msg_offset >= h.tail""")
 def log_retained(spark, sf):
-    kept = progress.retained(views.messages(spark, sf), views.log_heads(spark, sf))
+    log = views.stored_messages(spark, sf)
+    kept = progress.retained(log, progress.heads(log, views.CAPACITY))
     return _log_names(kept.select("partition", "offset", "event_id"))
 
 
@@ -457,19 +460,22 @@ def log_retained(spark, sf):
             WHEN l.msg_offset * 2 >= h.head THEN 'future' ELSE 'ok' END AS read_class
           FROM message_log l JOIN log_heads h ON l.part_id = h.part_id""")
 def log_offset_class(spark, sf):
-    asked = views.messages(spark, sf).select("topic", "partition", (F.col("offset") * 2).alias("offset"), "event_id")
-    return _log_names(progress.offset_class(asked, views.log_heads(spark, sf)))
+    log = views.stored_messages(spark, sf)
+    asked = log.select("topic", "partition", (F.col("offset") * 2).alias("offset"), "event_id")
+    return _log_names(progress.offset_class(asked, progress.heads(log, views.CAPACITY)))
 
 
 @query("SELECT part_id, committed FROM committed")
 def log_committed(spark, sf):
-    return _log_names(progress.committed(views.acks(spark, sf)))
+    log = views.stored_messages(spark, sf)
+    return _log_names(progress.committed(views.acks(log)))
 
 
 @query("""SELECT 'collector' AS consumer_group, string_agg(part_id || '=' || committed, ',' ORDER BY part_id) AS offsets
           FROM committed UNION ALL SELECT 'unknown', ''""")
 def log_committed_map(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
     asked = views.table(spark, sf, "events").select(
         F.lit(views.TOPIC).alias("topic"), F.explode(F.array(F.lit(views.GROUP), F.lit("unknown"))).alias("consumer_group")
     ).distinct()
@@ -481,15 +487,17 @@ def log_committed_map(spark, sf):
 @query("""SELECT l.part_id, l.msg_offset, l.event_id FROM message_log l LEFT JOIN committed c ON l.part_id = c.part_id
           WHERE l.msg_offset > coalesce(c.committed, -1)""")
 def log_resume(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
-    left = progress.resume(views.messages(spark, sf), commits, views.TOPIC, views.GROUP)
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
+    left = progress.resume(log, commits, views.TOPIC, views.GROUP)
     return _log_names(left.select("partition", "offset", "event_id"))
 
 
 @query("SELECT part_id, start, lost FROM starts WHERE lost > 0")
 def log_fell_behind(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
-    start = progress.starts(commits, views.log_heads(spark, sf), views.TOPIC, views.GROUP)
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
+    start = progress.starts(commits, progress.heads(log, views.CAPACITY), views.TOPIC, views.GROUP)
     return _log_names(start.where("lost > 0").select("partition", "start", "lost"))
 
 
@@ -497,30 +505,34 @@ def log_fell_behind(spark, sf):
             l.event_id FROM message_log l JOIN starts s ON l.part_id = s.part_id WHERE l.msg_offset >= s.start
           ORDER BY poll_round, l.part_id""")
 def log_fair_poll(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
-    start = progress.starts(commits, views.log_heads(spark, sf), views.TOPIC, views.GROUP)
-    polled = progress.fair_poll(views.messages(spark, sf), start)
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
+    start = progress.starts(commits, progress.heads(log, views.CAPACITY), views.TOPIC, views.GROUP)
+    polled = progress.fair_poll(log, start)
     return _log_names(polled.select("poll_round", "partition", "offset", "event_id")).orderBy("poll_round", "part_id")
 
 
 @query("""SELECT l.part_id, l.msg_offset, l.event_id FROM message_log l JOIN committed c ON l.part_id = c.part_id
           WHERE l.event_type = 'error' AND l.msg_offset <= c.committed""")
 def log_skipped_forever(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
-    return _log_names(progress.skipped_forever(views.failed(spark, sf), commits))
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
+    return _log_names(progress.skipped_forever(views.failed(log), commits))
 
 
 @query("""SELECT l.part_id, l.msg_offset, l.event_id FROM message_log l LEFT JOIN committed c ON l.part_id = c.part_id
           WHERE l.event_type = 'error' AND l.msg_offset > coalesce(c.committed, -1)""")
 def log_will_retry(spark, sf):
-    commits = progress.committed(views.acks(spark, sf))
-    return _log_names(progress.will_retry(views.failed(spark, sf), commits))
+    log = views.stored_messages(spark, sf)
+    commits = progress.committed(views.acks(log))
+    return _log_names(progress.will_retry(views.failed(log), commits))
 
 
 @query("SELECT part_id, coalesce(committed, -1) AS committed, head, tail, resume, start, lost FROM starts")
 def log_group_progress(spark, sf):
+    log = views.stored_messages(spark, sf)
     progress_rows = queries.group_progress(
-        views.messages(spark, sf), views.acks(spark, sf), views.TOPIC, views.GROUP, views.CAPACITY
+        log, views.acks(log), views.TOPIC, views.GROUP, views.CAPACITY
     )
     return _log_names(progress_rows.withColumn("committed", F.coalesce("committed", F.lit(-1).cast("bigint"))))
 

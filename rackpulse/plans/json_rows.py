@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rackpulse.functions.numbers import is_finite
 from rackpulse.functions.text import null_if_empty
 from rackpulse.functions.time import rfc3339_text
 from rackpulse.plans.queries import NULLABLE_SAMPLE
@@ -38,6 +39,5 @@ def sample_json(samples: DataFrame) -> DataFrame:
     itself can match.
     """
     rows = _row(samples, TELEMETRY_SAMPLES.names, NULLABLE_SAMPLE)
-    return rows.withColumn(
-        "json", F.regexp_replace("json", r'"value":"(?:NaN|-?Infinity)"', '"value":null')
-    )
+    nulled = F.regexp_replace("json", r'"value":"(?:NaN|-?Infinity)"', '"value":null')
+    return rows.withColumn("json", F.when(is_finite(F.col("value")), F.col("json")).otherwise(nulled))

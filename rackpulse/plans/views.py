@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from rackpulse.operators.progress import assign_offsets, heads
 from rackpulse.operators.sizes import broadcast_if_small
-from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS
+from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS, LOG_KEY
 from rackpulse.session import scratch_dir
+from rackpulse.sources.log_files import write_log
 
 TOPIC, GROUP = "telemetry", "collector"
 CAPACITY = 256
@@ -70,35 +71,41 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a log message with its offset."""
-    routed = table(spark, sf_dir, "events").select(
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its topic and partition."""
+    return table(spark, sf_dir, "events").select(
         F.lit(TOPIC).alias("topic"),
         (F.col("event_id") % DEFAULT_PARTITIONS).cast("int").alias("partition"),
         "event_id", "event_type", "value",
     )
-    return assign_offsets(routed, "event_id")
 
 
-def log_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heads(messages(spark, sf_dir), CAPACITY)
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a log message with its offset."""
+    return assign_offsets(routed(spark, sf_dir), "event_id")
+
+
+def stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages, written once as a log, for queries that read it several times."""
+    path = scratch_dir(spark, "messages")
+    write_log(messages(spark, sf_dir), path)
+    return spark.read.parquet(path).withColumn("partition", F.col("partition").cast("int"))
 
 
-def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def acks(log: DataFrame) -> DataFrame:
     """Acknowledged messages: none for errors and partition 9, a share of the rest that grows with the partition."""
-    tails = broadcast_if_small(log_heads(spark, sf_dir))
     part = F.col("partition")
     return (
-        messages(spark, sf_dir).join(tails, ["topic", "partition"])
+        log.join(broadcast_if_small(heads(log, CAPACITY)), LOG_KEY)
         .where((F.col("event_type") != "error") & (part != 9)
                & (F.col("offset") * 10 < F.col("head") * (part + 1)))
         .select("topic", F.lit(GROUP).alias("consumer_group"), "partition", "offset")
     )
 
 
-def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def failed(log: DataFrame) -> DataFrame:
     """Messages the consumer could not process."""
-    return messages(spark, sf_dir).where(F.col("event_type") == "error").select(
+    return log.where(F.col("event_type") == "error").select(
         "topic", F.lit(GROUP).alias("consumer_group"), "partition", "offset", "event_id"
     )
 

@@ -49,16 +49,20 @@ def stored_heads(log: DataFrame) -> DataFrame:
     return newest.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
 
 
-def append_log(records: DataFrame, path: str, arrival: str) -> None:
-    """Append records with a ``topic`` and ``partition``; offsets go on from the log.
-
-    One writer per log at a time, as offsets are read before they are given out.
-    """
-    log_heads = stored_heads(read_log(records.sparkSession, path))
-    messages = to_messages(assign_offsets(records, arrival, log_heads))
+def write_log(messages: DataFrame, path: str) -> None:
+    """Append rows that have their offsets, in folders by topic, partition and segment."""
     folders = [*LOG_KEY, "segment"]
     (
         messages.withColumn("segment", F.call_function("div", F.col("offset"), F.lit(SEGMENT)))
         .sortWithinPartitions(*folders, "offset")
         .write.mode("append").partitionBy(*folders).parquet(path)
     )
+
+
+def append_log(records: DataFrame, path: str, arrival: str) -> None:
+    """Append records with a ``topic`` and ``partition``; offsets go on from the log.
+
+    One writer per log at a time, as offsets are read before they are given out.
+    """
+    log_heads = stored_heads(read_log(records.sparkSession, path))
+    write_log(to_messages(assign_offsets(records, arrival, log_heads)), path)

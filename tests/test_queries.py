@@ -117,8 +117,11 @@ def test_deep_page_with_times_out_of_the_usual(spark):
     stamps = ["0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "9999-12-31 23:59:59.999999"]
     rows = spark.createDataFrame(list(enumerate(stamps)), "id bigint, s string").select(
         "id", F.col("s").cast("timestamp_ntz").alias("sample_at"))
-    for offset in range(4):
-        assert ids(sample_page(rows, 1, offset, shallow=0)) == [offset]
+    ancient = spark.range(1).select((F.col("id") - 1).alias("id"), F.timestamp_micros(F.lit(-(1 << 60))).cast(
+        "timestamp_ntz").alias("sample_at"))
+    rows = rows.unionByName(ancient)
+    for offset in range(5):
+        assert ids(sample_page(rows, 1, offset, shallow=0)) == [offset - 1]
 
 
 def test_group_progress(spark):

@@ -34,10 +34,7 @@ RENAMED = {"gpu_index": "gpu_id", "model_name": "modelName", "hostname": "Hostna
 
 def parse_problem() -> Column:
     """Why a raw row cannot become a record; NULL if it can."""
-    return (
-        F.when(F.col(CORRUPT).isNotNull(), "column_count")
-        .when(parse_double(empty_if_null(F.col("value"))).isNull(), "value")
-    )
+    return F.when(F.col(CORRUPT).isNotNull(), "column_count").when(parse_double(F.col("value")).isNull(), "value")
 
 
 def to_records(raw: DataFrame, stamp_ns: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

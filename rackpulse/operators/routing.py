@@ -46,12 +46,17 @@ def route(messages: DataFrame, partitions: int, arrival: str) -> Split:
     0..partitions-1 stays, a negative one goes round robin in arrival order per
     topic, anything above is refused. ``arrival`` is a unique integer per topic.
     """
-    asked = F.col("partition")
-    turn = number_rows(messages.where(asked < 0), ["topic"], arrival, "_turn")
+    turn = number_rows(messages.where(F.col("partition") < 0), ["topic"], arrival, "_turn")
     spread = turn.withColumn("partition", F.pmod("_turn", F.lit(partitions)).cast("int")).drop("_turn")
-    fixed = messages.where((asked >= 0) & (asked < partitions))
-    refused = messages.where((asked >= partitions) | asked.isNull())
-    return Split(fixed.unionByName(spread), refused.withColumn("reason", F.lit("partition_unknown")))
+    placed = in_partitions(messages.where(F.col("partition").isNull() | (F.col("partition") >= 0)), partitions)
+    return Split(placed.good.unionByName(spread), placed.dead_letter)
+
+
+def in_partitions(messages: DataFrame, partitions: int) -> Split:
+    """Messages for partition 0..partitions-1; any other is refused."""
+    exists = F.coalesce(F.col("partition").between(0, partitions - 1), F.lit(False))
+    refused = messages.where(~exists).withColumn("reason", F.lit("partition_unknown"))
+    return Split(messages.where(exists), refused)
 
 
 def partition_load(messages: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from rackpulse.plans.ingest import apply_batch, produce
 from rackpulse.plans.params import GpuFilter, TelemetryFilter
 from rackpulse.schemas import DEFAULT_PARTITIONS, GPU_ATTRIBUTES, GPUS
 from rackpulse.session import scratch_dir
-from rackpulse.sources.csv import read_csv, with_row_numbers
+from rackpulse.sources.csv import read_numbered_csv
 from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log, to_messages
 from rackpulse.sources.replay import replay, replay_stream
 from rackpulse.sources.tables import Tables
@@ -215,21 +215,21 @@ def table_counts(spark, sf):
 
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_num, metric_name, labels_raw FROM csv_rows")
 def row_number_scan(spark, sf):
-    return with_row_numbers(read_csv(spark, views.write_csv(spark, sf))).select(
+    return read_numbered_csv(spark, views.write_csv(spark, sf)).select(
         "row_num", "metric_name", "labels_raw"
     )
 
 
 @query(f"SELECT event_id AS row_num, {_RECORD_COLUMNS} FROM csv_rows WHERE problem IS NULL")
 def ingest_good(spark, sf):
-    rows = with_row_numbers(read_csv(spark, views.write_csv(spark, sf)))
+    rows = read_numbered_csv(spark, views.write_csv(spark, sf))
     good = split_rows(rows).good
     return check_records(with_times(good)).samples.select("row_num", *RECORD_NAMES)
 
 
 @query("SELECT event_id AS row_num, problem AS reason, metric_name, labels_raw FROM csv_rows WHERE problem IS NOT NULL")
 def ingest_dead_letter(spark, sf):
-    rows = with_row_numbers(read_csv(spark, views.write_csv(spark, sf)))
+    rows = read_numbered_csv(spark, views.write_csv(spark, sf))
     split = split_rows(rows)
     refused = check_records(with_times(split.good)).dead_letter
     names = ["row_num", "reason", "metric_name", "labels_raw"]
@@ -290,7 +290,7 @@ def partition_load(spark, sf):
 @query("""SELECT event_id AS row_num, pass, (pass * (SELECT count(*) FROM events) + event_id) * 100000000 AS stamp_ns,
             metric_name FROM csv_rows, (SELECT unnest([0, 1, 2]) AS pass)""")
 def replay_passes(spark, sf):
-    rows = with_row_numbers(read_csv(spark, views.write_csv(spark, sf)))
+    rows = read_numbered_csv(spark, views.write_csv(spark, sf))
     total = rows.count()
     return replay(rows, 3, total).select("row_num", F.col("pass").cast("int"), "stamp_ns", "metric_name")
 
@@ -574,7 +574,7 @@ def csv_to_log_refused(spark, sf):
 
 
 def _produced(spark, sf):
-    rows = with_row_numbers(read_csv(spark, views.write_csv(spark, sf)))
+    rows = read_numbered_csv(spark, views.write_csv(spark, sf))
     return produce(rows, views.TOPIC, producers=12, partitions=DEFAULT_PARTITIONS)
 
 

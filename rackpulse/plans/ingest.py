@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rackpulse.operators.merge import latest_state
 from rackpulse.operators.records import check_records, split_rows, with_times
-from rackpulse.operators.routing import route, tag_partition
+from rackpulse.operators.routing import in_partitions, tag_partition
 from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS, LOG_KEY, TELEMETRY_RECORD
 from rackpulse.sources.log_files import message_records
 from rackpulse.sources.tables import RECORD_ORDER, Tables
@@ -32,7 +32,7 @@ def produce(numbered: DataFrame, topic: str, producers: int, partitions: int = D
     placed = tag_partition(numbered.withColumn("topic", F.lit(topic)), producers)
     keep = tuple(dict.fromkeys(["row_num", arrival, *LOG_KEY]))
     rows = split_rows(placed, stamp_ns, keep)
-    routed = route(rows.good, partitions, arrival)
+    routed = in_partitions(rows.good, partitions)
     raw_names = {"gpu_id": "gpu_index", "modelName": "model_name", "Hostname": "hostname"}
     raw = F.struct(*(
         (F.lit(None) if name == "timestamp" else F.col(raw_names.get(name, name))).cast("string").alias(name)

@@ -33,30 +33,45 @@ def stream_csv(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
     )
 
 
-def with_row_numbers(scan: DataFrame) -> DataFrame:
+def read_numbered_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``read_csv`` with the ``row_num`` of ``with_row_numbers``."""
+    rows = read_csv(spark, path, multiline)
+    # Counting needs no column, so this scan may skip the parsing.
+    lines = (
+        spark.read.schema(RAW_CSV_SCAN).options(**{**OPTIONS, "columnPruning": "true"})
+        .option("multiLine", multiline).csv(path)
+    )
+    return with_row_numbers(rows, lines)
+
+
+def _placed(scan: DataFrame) -> DataFrame:
+    return scan.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+
+
+def with_row_numbers(scan: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """0-based ``row_num`` over all data rows, in file name and file order.
 
     A narrow first pass counts the rows of each input split; the second adds the
     rows of all splits before. ``monotonically_increasing_id`` gives the place
     inside a task, and both passes read the same splits. The count table has one
     row per split, a list the driver already holds to plan the scan. It is broadcast
-    while that list is short and joined by shuffle beyond.
+    while that list is short and joined by shuffle beyond. ``counted`` may be a
+    cheaper scan of the same files for the first pass.
     """
-    placed = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
     earlier = Window.orderBy(*_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        placed.groupBy(*_BLOCK)
+        _placed(scan if counted is None else counted).groupBy(*_BLOCK)
         .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
         .select(*_BLOCK, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
     splits = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
     if splits <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
-    return placed.join(blocks, _BLOCK).select(
+    return _placed(scan).join(blocks, _BLOCK).select(
         (F.col("_id") + F.col("_shift")).alias("row_num"), *scan.columns
     )

@@ -7,13 +7,13 @@ from rackpulse.operators.records import check_records, split_rows, with_times
 from rackpulse.operators.routing import known_topics, named_members, owned_by, partition_load, route, tag_partition
 from rackpulse.plans.ingest import produce
 from rackpulse.schemas import TELEMETRY_RECORD
-from rackpulse.sources.csv import read_csv, stream_csv, with_row_numbers
+from rackpulse.sources.csv import read_csv, read_numbered_csv, stream_csv, with_row_numbers
 from rackpulse.sources.log_files import append_log, message_records, read_log
 from rackpulse.sources.replay import replay
 
 
 def numbered(spark, folder):
-    return with_row_numbers(read_csv(spark, folder))
+    return read_numbered_csv(spark, folder)
 
 
 def test_full_row_maps_every_field(spark, tmp_path):
@@ -56,6 +56,7 @@ def test_row_numbers_over_many_splits_and_files(spark, tmp_path):
         scan = read_csv(spark, str(folder))
         assert scan.rdd.getNumPartitions() > 10
         got = with_row_numbers(scan).select("row_num", "uuid").orderBy("row_num").collect()
+        assert got == numbered(spark, str(folder)).select("row_num", "uuid").orderBy("row_num").collect()
     finally:
         spark.conf.set(key, usual)
     assert [tuple(r) for r in got] == [(i, f"GPU-{i:06d}") for i in range(3000)]

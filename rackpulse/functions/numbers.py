@@ -24,10 +24,10 @@ def parse_double(text: Column) -> Column:
     numbers too large for a double), so the text is checked first and a finite
     text that overflows is refused.
     """
-    plain = F.when(text.contains("_"), F.replace(text, F.lit("_"), F.lit(""))).otherwise(text)
-    number, infinity = plain.try_cast("double"), float("inf")
-    finite = F.nullif(F.nullif(number, F.lit(infinity)), F.lit(-infinity))
-    return F.when(text.rlike(NUMBER_TEXT), finite).when(F.lower(text).isin(WORDS), number)
+    number = F.translate(text, "_", "").try_cast("double")
+    infinite = F.abs(number) == F.lit(float("inf"))
+    # Short expressions keep the generated code of a whole row small enough to be compiled.
+    return F.when(F.when(text.rlike(NUMBER_TEXT), ~infinite).otherwise(F.lower(text).isin(WORDS)), number)
 
 
 def is_finite(number: Column) -> Column:

@@ -39,10 +39,9 @@ def contains_ignoring_case(column: Column, text: str) -> Column:
 
 def too_long(column: Column, most: int) -> Column:
     """True if more than ``most`` characters; blanks past the end do not count."""
-    # Counting bytes is cheap and settles almost every row.
-    return (F.octet_length(column) > most) & (F.char_length(F.rtrim(F.substr(column, F.lit(most + 1)))) > 0)
+    return F.char_length(F.rtrim(column)) > most
 
 
 def clipped(column: Column, most: int) -> Column:
     """The column without the blanks that ``too_long`` lets pass."""
-    return F.when(F.octet_length(column) > most, F.substring(column, 1, most)).otherwise(column)
+    return F.substring(column, 1, most)

@@ -106,12 +106,11 @@ def check_records(timed: DataFrame) -> Checked:
     """Apply the column rules to records that carry timestamps."""
     marked = timed.withColumns({"_device": device_violation(), "_sample": sample_violation()})
     lengths = {**SAMPLE_LENGTHS, **GPU_LENGTHS}
-    devices = marked.where(F.col("_device").isNull()).withColumns(
-        {name: clipped(F.col(name), most) for name, most in lengths.items() if name in GPU_LENGTHS}
-    )
-    samples = devices.where(F.col("_sample").isNull()).withColumns(
-        {name: clipped(F.col(name), most) for name, most in SAMPLE_LENGTHS.items()}
-    )
+    # A text in a device or sample passed its own check, so cutting at the limit only drops blanks.
+    devices = marked.where(F.col("_device").isNull())
+    samples = devices.where(F.col("_sample").isNull())
+    devices = devices.withColumns({name: clipped(F.col(name), most) for name, most in GPU_LENGTHS.items()})
+    samples = samples.withColumns({name: clipped(F.col(name), most) for name, most in lengths.items()})
     dead = (
         marked.withColumn("reason", F.coalesce("_device", "_sample"))
         .where(F.col("reason").isNotNull())

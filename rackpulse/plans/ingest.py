@@ -43,13 +43,16 @@ def produce(numbered: DataFrame, topic: str, producers: int, partitions: int = D
 
 
 def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int,
-                partitions: int = DEFAULT_PARTITIONS) -> None:
+                partitions: int = DEFAULT_PARTITIONS, cache: bool = True) -> None:
     """Write one batch of messages: devices, then samples, then what was refused and done.
 
     Every step can run again with the same batch and changes nothing then, so a
-    crash between two steps heals when the batch is repeated.
+    crash between two steps heals when the batch is repeated. A micro-batch is cached
+    for the steps; without ``cache``, for a large backfill, each step reads the
+    columns it needs from the log again.
     """
-    messages = messages.persist()
+    if cache:
+        messages = messages.persist()
     try:
         broken = messages.where(F.col("payload").isNull())
         timed = with_times(message_records(messages.where(F.col("payload").isNotNull())))
@@ -63,4 +66,5 @@ def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int,
         done = checked.samples.groupBy(*LOG_KEY).agg(F.max("offset").alias("offset"))
         tables.put_acks(done.withColumn("consumer_group", F.lit(group)), group, batch_id)
     finally:
-        messages.unpersist()
+        if cache:
+            messages.unpersist()

@@ -18,7 +18,7 @@ _RFC3339 = re.compile(
 def _integer(raw: str | int, name: str, least: int) -> int:
     text = str(raw)
     if not _INTEGER.fullmatch(text) or not least <= int(text) < 1 << 63:
-        raise ValueError(f"invalid {name}")
+        raise ValueError(f"{name} must be an integer of at least {least}")
     return int(text)
 
 
@@ -43,7 +43,7 @@ def parse_time(raw: str | datetime | None, name: str) -> datetime | None:
     if isinstance(raw, datetime):
         return raw if raw.tzinfo else raw.replace(tzinfo=timezone.utc)
     match = _RFC3339.fullmatch(raw)
-    problem = ValueError(f"invalid {name}: must be RFC3339")
+    problem = ValueError(f"{name} must be an RFC 3339 time such as 2026-05-01T12:00:00Z")
     if not match:
         raise problem
     *fields, fraction, sign, hours, minutes = match.groups()

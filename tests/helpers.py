@@ -6,7 +6,7 @@ from rackpulse.schemas import TELEMETRY_RECORD
 
 HEADER = "timestamp,metric_name,gpu_id,device,uuid,modelName,Hostname,container,pod,namespace,value,labels_raw"
 FULL_ROW = (
-    '2025-07-18T20:42:34Z,DCGM_FI_DEV_GPU_UTIL,3,nvidia3,GPU-aaa,NVIDIA H100 80GB HBM3,mtv5-dgx1-hgpu-031,'
+    '2025-07-18T20:42:34Z,DCGM_FI_DEV_GPU_UTIL,3,nvidia3,GPU-aaa,NVIDIA H100 80GB HBM3,rack7-host-31,'
     'box,pod-1,space,42.5,"DCGM_FI_DRIVER_VERSION=""535.129.03"",gpu=""3"""'
 )
 

@@ -21,7 +21,7 @@ def test_full_row_maps_every_field(spark, tmp_path):
     assert row.asDict() | {"ingested_unix_ns": 0, "sample_unix_ns": 0} == {
         "row_num": 0, "ingested_unix_ns": 0, "sample_unix_ns": 0, "metric_name": "DCGM_FI_DEV_GPU_UTIL",
         "uuid": "GPU-aaa", "gpu_index": "3", "device": "nvidia3", "model_name": "NVIDIA H100 80GB HBM3",
-        "hostname": "mtv5-dgx1-hgpu-031", "container": "box", "pod": "pod-1", "namespace": "space", "value": 42.5,
+        "hostname": "rack7-host-31", "container": "box", "pod": "pod-1", "namespace": "space", "value": 42.5,
         "labels_raw": 'DCGM_FI_DRIVER_VERSION="535.129.03",gpu="3"',
     }
     assert row.ingested_unix_ns == row.sample_unix_ns > 1_700_000_000_000_000_000

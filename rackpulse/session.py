@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,14 +33,13 @@ def build_session(app: str = "rackpulse", master: str | None = None, **conf: str
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for an intermediate table, below ``spark.checkpoint.dir``.
+    """A fresh folder for an intermediate table, removed when the application ends.
 
-    Executors must all see it, so a cluster has to name a shared folder there. Only
-    a local master, where driver and executors are one process, may go without.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where that is not
+    set: both are places that every executor reaches.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        return tempfile.mkdtemp(prefix=f"rackpulse-{name}-")
-    return f"{base.rstrip('/')}/rackpulse-{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/rackpulse-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path

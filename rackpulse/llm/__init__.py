@@ -1 +1,9 @@
 """Operators for language-model training data. Nothing else in the library imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of these modules travel to the executors by value, so the package need not
+# be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -57,13 +57,19 @@ def byte_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words, and where each text's words begin.
+    """64-bit hashes of all lower-cased words, and where each text's words begin."""
+    hashes, first, _ = sized_words(texts)
+    return hashes, first
+
+
+def sized_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words, where each text's words begin, characters per word.
 
     A word is a run of letters, digits or non-ASCII characters. Text ``i`` owns
     ``hashes[first[i]:first[i + 1]]``. Null and empty texts own none. The work goes
     over slices of a few MB, so the extra memory does not follow the input.
     """
-    hashes, counts = [], []
+    hashes, counts, sizes = [], [], []
     at = 0
     while at < len(texts):
         part, size = [], 0
@@ -78,9 +84,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum([len(text) + 1 for text in part])
         counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
         if len(starts):
-            hashes.append(byte_hashes(raw[inside], np.cumsum(lengths) - lengths, lengths))
+            held, begin = raw[inside], np.cumsum(lengths) - lengths
+            hashes.append(byte_hashes(held, begin, lengths))
+            sizes.append(np.add.reduceat((held & 0xC0) != 0x80, begin, dtype=np.int64))
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-    return (np.concatenate(hashes) if hashes else np.empty(0, _U64)), first
+    if not hashes:
+        return np.empty(0, _U64), first, np.empty(0, np.int64)
+    return np.concatenate(hashes), first, np.concatenate(sizes)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

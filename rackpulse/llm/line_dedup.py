@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.llm.common import (
-    bucket_members, connected, first_pairs, mix64, small_side, stored, stray_pairs, word_hashes,
+    bucket_members, connected, first_pairs, mix64, sized_words, small_side, stored, stray_pairs,
 )
 
 # Lines with fewer words than the first bound are never removed, lines with fewer than
 # the second are only compared for equality.
 LEAST_WORDS, FUZZY_WORDS = 2, 8
 EDIT_SIMILARITY = 0.9
-BITS, MOST_DISTANCE = 64, 3
+# SimHashes up to the first distance are sure to share a block choice. Farther ones may do
+# so too; beyond the second they are not compared.
+BITS, MOST_DISTANCE, FARTHEST = 64, 3, 10
 
 _U64 = np.uint64
 # Everything but letters, digits and non-ASCII characters becomes a blank.
@@ -46,8 +49,24 @@ def choose_blocks(lines: int, distance: int = MOST_DISTANCE, bits: int = BITS) -
     return blocks
 
 
+def numbered(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words' hashes, those of a line's second, third, ... use of a word changed.
+
+    Else a word that fills most of a line would decide all of its bits.
+    """
+    line = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((words, line))
+    first = np.ones(len(words), bool)
+    first[1:] = (words[order[1:]] != words[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
+    at = np.arange(len(words))
+    use = np.empty(len(words), np.int64)
+    use[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return np.where(use == 0, words, mix64(words + use.astype(_U64) * _U64(0x9E3779B97F4A7C15)))
+
+
 def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One 64-bit SimHash per run of ``counts`` words."""
+    """One 64-bit SimHash per run of ``counts`` words; each use of a word is a feature."""
+    words = numbered(words, counts)
     out = np.zeros(len(counts), _U64)
     filled = np.flatnonzero(counts)
     starts = np.cumsum(counts) - counts
@@ -89,15 +108,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line with enough words: its place, the hash of its words, its SimHash."""
-    schema = "doc_id bigint, text_key bigint, line bigint, node bigint, words bigint, simhash bigint"
+    schema = "doc_id bigint, text_key bigint, line bigint, node bigint, words bigint, chars bigint, simhash bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 1000):
                 batch = whole.slice(low, 1000)
                 lines, per_text = _split(batch.column(2).to_pylist())
-                words, first = word_hashes(lines)
+                words, first, sizes = sized_words(lines)
                 counts = np.diff(first)
+                upto = np.concatenate([[0], np.cumsum(sizes)])[first]
+                chars = np.diff(upto) + counts - 1
                 keep = counts >= LEAST_WORDS
                 owner = np.repeat(np.arange(len(per_text)), per_text)
                 place = np.arange(len(lines)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
@@ -105,8 +126,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(taken), batch.column(1).take(taken), pa.array(place[keep]),
                     pa.array(_line_keys(words, counts)[keep].view(np.int64)), pa.array(counts[keep]),
-                    pa.array(simhashes(words, counts)[keep].view(np.int64)),
-                ], ["doc_id", "text_key", "line", "node", "words", "simhash"])
+                    pa.array(chars[keep]), pa.array(simhashes(words, counts)[keep].view(np.int64)),
+                ], ["doc_id", "text_key", "line", "node", "words", "chars", "simhash"])
 
     return _rows(docs).mapInArrow(run, schema)
 
@@ -139,16 +160,68 @@ def normalised(line: str) -> str:
     return b" ".join(line.lower().encode().translate(_BLANKS).split()).decode()
 
 
+def alignment_cost(one: list[str], other: list[str], look: int = 4) -> int:
+    """Edits of one way to turn the first words into the second: a bound from above.
+
+    Goes through both, and past a difference to the nearest pair of equal words.
+    """
+    steps = sorted(((x, y) for x in range(look + 1) for y in range(look + 1)), key=sum)[1:]
+    i = j = cost = 0
+    while i < len(one) and j < len(other):
+        if one[i] == other[j]:
+            i += 1
+            j += 1
+            continue
+        step = (len(one) - i, len(other) - j)
+        for skip, other_skip in steps:
+            if i + skip < len(one) and j + other_skip < len(other) and one[i + skip] == other[j + other_skip]:
+                step = (skip, other_skip)
+                break
+        cost += max(sum(map(len, one[i:i + step[0]])) + step[0], sum(map(len, other[j:j + step[1]])) + step[1])
+        i, j = i + step[0], j + step[1]
+    return cost + max(sum(map(len, one[i:])) + len(one) - i, sum(map(len, other[j:])) + len(other) - j)
+
+
+def within(one: str, other: str, most: int) -> bool | None:
+    """Whether the edit distance is at most ``most``, if two bounds tell; else None."""
+    if abs(len(one) - len(other)) > most:
+        return False
+    if alignment_cost(one.split(" "), other.split(" ")) <= most:
+        return True
+    # Every edit changes the counts of the characters by at most one surplus on each side.
+    left, right = Counter(one), Counter(other)
+    if max((left - right).total(), (right - left).total()) > most:
+        return False
+    return None
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts have at least that edit similarity: 1 - distance / longer length."""
+    """The pairs whose texts have at least that edit similarity: 1 - distance / longer length.
+
+    Most pairs are settled by a bound on their distance; the exact distance is
+    computed for the others.
+    """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    longer = F.greatest(F.length("text_a"), F.length("text_b"))
-    most = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    near = (F.abs(F.length("text_a") - F.length("text_b")) <= most) & (
-        F.levenshtein("text_a", "text_b") <= most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, close, one, other = [], [], [], []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                most.append(int(max(len(x), len(y)) * (1 - similarity) + 1e-9))
+                close.append(within(x, y, most[-1]))
+                one.append(x if close[-1] is None else None)
+                other.append(y if close[-1] is None else None)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a"), batch.column("b"), pa.array(most, pa.int32()), pa.array(close, pa.bool_()),
+                pa.array(one, pa.string()), pa.array(other, pa.string()),
+            ], ["a", "b", "most", "close", "one", "other"])
+
+    settled = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a bigint, b bigint, most int, close boolean, one string, other string"
     )
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    exact = F.levenshtein("one", "other") <= F.col("most")
+    return settled.where(F.coalesce("close", exact)).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distance: int = MOST_DISTANCE) -> DataFrame:
@@ -162,19 +235,20 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distanc
     found = stored(occurrences(docs), "lines")
     place = F.struct("doc_id", "text_key", "line")
     nodes = stored(
-        found.groupBy("node", "words", "simhash").agg(F.min(place).alias("place"), F.count("*").alias("uses")), "nodes"
+        found.groupBy("node", "words", "chars", "simhash").agg(F.min(place).alias("place"), F.count("*").alias("uses")), "nodes"
     )
     fuzzy = nodes.where(F.col("words") >= FUZZY_WORDS)
     masks = block_keys(choose_blocks(fuzzy.count(), distance), distance)
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
     keys = F.array(*(F.col("simhash").bitwiseAND(F.lit(mask)) for mask in signed))
     members = stored(bucket_members(
-        fuzzy.select("node", F.col("words").alias("weight"), F.posexplode(keys).alias("band", "key"))
+        fuzzy.select("node", F.struct("simhash", "chars").alias("weight"), F.posexplode(keys).alias("band", "key"))
     ), "buckets")
 
     def fits(left, right):
-        # One edit changes at most two words into one or one into two.
-        return F.least(left, right) * 2 >= F.greatest(left, right)
+        longer = F.greatest(left["chars"], right["chars"])
+        apart = F.bit_count(left["simhash"].bitwiseXOR(right["simhash"]))
+        return (F.least(left["chars"], right["chars"]) >= longer * similarity) & (apart <= FARTHEST)
 
     pairs = stored(first_pairs(members, fits), "pairs")
     some = members.select("node").distinct()

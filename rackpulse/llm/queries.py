@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rackpulse.llm.chunks import dedup_substrings
+from rackpulse.llm.licenses import scan
 from rackpulse.llm.line_dedup import without_lines
+from rackpulse.llm.lm_score import score
 from rackpulse.llm.mixing import plan_mix
 from rackpulse.llm.ngram_join import similarity_join
 from rackpulse.llm.packing import pack
 from rackpulse.llm.quality import judge
+from rackpulse.llm.topk import top_k
+from rackpulse.llm.url_rules import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +31,11 @@ def vocabulary() -> dict[str, str]:
     }
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every hundredth vector."""
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one."""
     docs = _table(spark, sf_dir, "documents")
@@ -40,6 +50,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages, and its text without the later ones."""
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license notices of every document."""
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by its URL."""
+    return judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return judge(_table(spark, sf_dir, "documents")).select(
@@ -53,6 +78,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(_table(spark, sf_dir, "documents"))[0]
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-likelihood of every document."""
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what the mix takes of it, and the position of its first use."""
     first = F.get("parts", F.lit(0))["position"]
@@ -64,11 +94,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query for query in (
-        op2_line_dedup, op3_packing, op7_quality, op8_ngram_join, op10_mixing,
+        op1_topk, op2_line_dedup, op3_packing, op4_substring_dedup, op5_license_scan, op6_url_filter, op7_quality,
+        op8_ngram_join, op9_lm_score, op10_mixing,
     )
 }
 
 ORACLE = {
+    "op1_topk": """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 10
+""",
     "op10_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

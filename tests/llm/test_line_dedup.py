@@ -1,0 +1,111 @@
+import random
+
+import corpus
+import numpy as np
+from rackpulse.llm.common import word_hashes
+from rackpulse.llm.line_dedup import FARTHEST, alignment_cost, block_keys, choose_blocks, numbered, repeated_lines, simhashes, within, without_lines
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def expected(texts):
+    """Per text the lines that stay, by comparing all lines whose SimHashes share a block choice."""
+    lines = [(i, j, " ".join(corpus.plain_words(line))) for i, t in enumerate(texts) for j, line in enumerate(t.split("\n"))]
+    nodes = sorted({line for *_, line in lines if len(line.split()) >= 2})
+    masks = block_keys(choose_blocks(len(nodes)))
+    words, first = word_hashes(nodes)
+    hashes = dict(zip(nodes, simhashes(words, np.diff(first)).tolist()))
+    edges = []
+    for a in nodes:
+        for b in nodes:
+            if a < b and min(len(a.split()), len(b.split())) >= 8 and any((hashes[a] ^ hashes[b]) & m == 0 for m in masks):
+                if (hashes[a] ^ hashes[b]).bit_count() <= FARTHEST and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
+                    edges.append((a, b))
+    root = corpus.roots(nodes, edges)
+    seen, gone = set(), {}
+    for i, j, line in lines:
+        if line in root:
+            if root[line] in seen:
+                gone.setdefault(i, []).append(j)
+            seen.add(root[line])
+    return gone, edges
+
+
+def test_blocks_find_all_close_hashes():
+    rng = random.Random(9)
+    for blocks in (4, 5, 6):
+        masks = block_keys(blocks)
+        for _ in range(200):
+            flips = sum(1 << bit for bit in rng.sample(range(64), rng.randrange(4)))
+            assert any(flips & mask == 0 for mask in masks)
+    assert choose_blocks(10) == 5 and choose_blocks(10**9) > choose_blocks(10**6)
+
+
+def test_simhash_by_bits():
+    words, first = word_hashes(["a b c d e", "", "f", "g g g h g"])
+    got = simhashes(words, np.diff(first)).tolist()
+    words = numbered(words, np.diff(first))
+    assert len(set(words.tolist())) == 11
+    want = [
+        sum(1 << bit for bit in range(64) if 2 * sum(int(w) >> bit & 1 for w in words[a:b]) > b - a)
+        for a, b in zip(first[:-1], first[1:])
+    ]
+    assert got == want
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(10)
+    pool = [corpus.sentence(rng, rng.randrange(9, 40)) for _ in range(60)]
+    near = [line.replace("w1", "v1", 1) if "w1" in line else line[:-2] for line in pool[:30]]
+    texts = ["\n".join(rng.choice(pool + near + ["", "-", "Hi.", "hi", "Two words"]) for _ in range(6)) for _ in range(60)]
+    docs = corpus.documents(spark, texts)
+    gone, edges = expected(texts)
+    assert edges
+    assert {r.doc_id: r.gone for r in repeated_lines(docs).collect()} == gone
+    for row in without_lines(docs, count_as="lost").collect():
+        lines = texts[row.doc_id].split("\n")
+        assert row.text == "\n".join(line for j, line in enumerate(lines) if j not in gone.get(row.doc_id, []))
+        assert row.lost == len(gone.get(row.doc_id, []))
+        assert row.n_chars == len(row.text)
+
+
+def test_many_variants_of_a_line_are_one_group(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    variants = []
+    for i in range(40):
+        words = list(base)
+        words[rng.randrange(60)] = f"q{i}"
+        variants.append(" ".join(words))
+    docs = corpus.documents(spark, [" ".join(base), *variants])
+    gone, _ = expected([" ".join(base), *variants])
+    assert {r.doc_id: r.gone for r in repeated_lines(docs).collect()} == gone
+
+
+def test_odd_rows(spark):
+    docs = corpus.clashing(corpus.odd_documents(spark))
+    out = without_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {(r.doc_id, r.source): r.text for r in out.collect()}
+    assert texts[1, None] is None and texts[2, "a"] == "" and texts[6, "a"] == " \n\t "
+    assert texts[None, "a"] and texts[3, "b"] == "" and texts[4, None] == ""
+    assert without_lines(docs.limit(0)).count() == 0
+
+
+def test_bounds_hold():
+    rng = random.Random(14)
+    for _ in range(300):
+        one = [rng.choice("abcd") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 12))]
+        other = [w for w in one if rng.random() < 0.9] + (["x"] if rng.random() < 0.5 else [])
+        other = other or ["y"]
+        true = distance(" ".join(one), " ".join(other))
+        assert alignment_cost(one, other) >= true
+        for most in range(6):
+            assert within(" ".join(one), " ".join(other), most) in (None, true <= most)

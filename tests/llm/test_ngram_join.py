@@ -1,0 +1,63 @@
+import random
+
+import corpus
+from rackpulse.llm.ngram_join import choose_bands, one_per_class, similarity_join
+
+
+def edited(rng, text, share):
+    words = text.split(" ")
+    for i in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+        words[i] = f"z{rng.randrange(1000)}"
+    return " ".join(words)
+
+
+def expected(rows):
+    """Classes by comparing all texts."""
+    sets = {r.doc_id: corpus.shingles(r.text) for r in rows if r.doc_id is not None}
+    ids = sorted(sets)
+    edges = [(a, b) for a in ids for b in ids if a < b and corpus.jaccard(sets[a], sets[b]) >= 0.8]
+    return corpus.roots(ids, edges), edges, sets
+
+
+def test_bands_reach_the_recall():
+    bands, rows = choose_bands(0.8, 0.998, 128)
+    assert bands * rows <= 128 and 1 - (1 - 0.8 ** rows) ** bands >= 0.998
+    assert choose_bands(1.0, 0.99, 8) == (1, 8)
+
+
+def test_against_all_pairs(spark):
+    rng = random.Random(12)
+    base = [corpus.text(rng, 8) for _ in range(40)]
+    texts = base + [edited(rng, rng.choice(base), rng.choice([0.01, 0.02, 0.05, 0.1])) for _ in range(40)]
+    texts += [base[0], base[0].upper(), base[1].replace(" ", "  ")]
+    docs = corpus.documents(spark, texts)
+    classes, edges = similarity_join(docs)
+    root, want, sets = expected(docs.collect())
+    got = classes.collect()
+    assert {r.doc_id: r.class_id for r in got} == root
+    links = {(r.a, r.b) for r in edges.collect()}
+    first = {i: min(k for k in sets if sets[k] == sets[i]) for i in sets}
+    assert links == {(first[a], first[b]) for a, b in want if first[a] != first[b]}
+    for row in got:
+        assert row.n_links == sum(row.copy_id in link for link in links)
+
+
+def test_large_group_of_near_copies_is_one_class(spark):
+    rng = random.Random(13)
+    base = corpus.text(rng, 20)
+    docs = corpus.documents(spark, [base] + [edited(rng, base, 0.02) for _ in range(60)] + [base] * 30)
+    classes, edges = similarity_join(docs)
+    root, _, _ = expected(docs.collect())
+    assert {r.doc_id: r.class_id for r in classes.collect()} == root
+    assert edges.count() < 60 * 25
+    assert one_per_class(docs).count() == len(set(root.values()))
+
+
+def test_odd_rows(spark):
+    docs = corpus.clashing(corpus.odd_documents(spark))
+    got = {(r.doc_id, r.class_id, r.n_links) for r in similarity_join(docs)[0].collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (None, None, 0), (3, 3, 0), (4, 3, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0)}
+    kept = one_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, None, 3, 3, 5, 6, 7, None, 8]))
+    assert similarity_join(docs.limit(0))[0].count() == 0

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rackpulse.operators.sizes import broadcast_if_small
 from rackpulse.schemas import GPU_ATTRIBUTES, SAMPLE_KEY
 
 
@@ -67,12 +66,12 @@ def merge_devices(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def with_device(samples: DataFrame, devices: DataFrame) -> DataFrame:
     """Samples whose device exists."""
-    return samples.join(broadcast_if_small(devices.select("uuid")), "uuid", "left_semi")
+    return samples.join(devices.select("uuid"), "uuid", "left_semi")
 
 
 def without_device(samples: DataFrame, devices: DataFrame) -> DataFrame:
     """Samples that break the reference to the dimension."""
-    return samples.join(broadcast_if_small(devices.select("uuid")), "uuid", "left_anti")
+    return samples.join(devices.select("uuid"), "uuid", "left_anti")
 
 
 def table_counts(devices: DataFrame, samples: DataFrame) -> DataFrame:

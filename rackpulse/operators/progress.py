@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.operators.numbering import BLOCK, number_rows
-from rackpulse.operators.sizes import BROADCAST_ROWS, broadcast_if_small
+from rackpulse.operators.numbering import number_rows
+from rackpulse.operators.sizes import written
 from rackpulse.schemas import DEFAULT_CAPACITY, LOG_KEY, PROGRESS_KEY, SEGMENT
 
+# Partitions whose bounds are written into a plan as filters.
+MOST_BOUNDS = 256
+
 
 def heads(log: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
     """Next offset and oldest readable offset of each partition."""
@@ -19,18 +22,18 @@ def heads(log: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:
     )
 
 
-def assign_offsets(messages: DataFrame, arrival: str, log_heads: DataFrame | None = None,
-                   block: int = BLOCK) -> DataFrame:
+def assign_offsets(messages: DataFrame, arrival: str | list[str], log_heads: DataFrame | None = None) -> DataFrame:
     """Dense offsets per partition in arrival order, going on from ``log_heads``."""
-    numbered = number_rows(messages, LOG_KEY, arrival, "offset", block)
+    numbered = number_rows(messages, LOG_KEY, arrival, "offset")
     if log_heads is None:
         return numbered
-    start = broadcast_if_small(log_heads.select(*LOG_KEY, F.col("head").alias("_head")))
-    return (
-        numbered.join(start, LOG_KEY, "left")
-        .withColumn("offset", F.col("offset") + F.coalesce("_head", F.lit(0)))
-        .drop("_head")
+    start = log_heads.select(
+        F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("head").alias("_head")
     )
+    same = F.col("topic").eqNullSafe(F.col("_topic")) & F.col("partition").eqNullSafe(F.col("_partition"))
+    return numbered.join(start, same, "left").withColumn(
+        "offset", F.col("offset") + F.coalesce("_head", F.lit(0))
+    ).drop("_topic", "_partition", "_head")
 
 
 def next_offset(log: DataFrame) -> DataFrame:
@@ -41,16 +44,16 @@ def next_offset(log: DataFrame) -> DataFrame:
 def _reading_on(log: DataFrame, bounds: DataFrame, bound: str) -> DataFrame:
     """Log rows joined to their partition's bound, from that offset on.
 
-    The lowest bound of all partitions is also a plain filter, which lets the scan
-    skip old row groups and, in a stored log, old segment folders.
+    The bounds are computed once. The lowest of all partitions is also a plain filter,
+    which lets the scan skip old row groups and, in a stored log, old segment folders.
     """
-    partitions, lowest = bounds.agg(F.count("*"), F.min(bound)).first()
+    bounds = written(bounds, "bounds")
+    lowest = bounds.agg(F.min(bound)).first()[0]
     if lowest is not None:
         log = log.where(F.col("offset") >= lowest)
         if "segment" in log.columns:
             log = log.where(F.col("segment") >= lowest // SEGMENT)
-    side = F.broadcast(bounds) if partitions <= BROADCAST_ROWS else bounds
-    return log.join(side, LOG_KEY).where(F.col("offset") >= F.col(bound))
+    return log.join(bounds, LOG_KEY).where(F.col("offset") >= F.col(bound))
 
 
 def retained(log: DataFrame, log_heads: DataFrame) -> DataFrame:
@@ -64,7 +67,7 @@ def offset_class(offsets: DataFrame, log_heads: DataFrame) -> DataFrame:
     A partition without messages has head and tail 0, so all its offsets are future.
     """
     zero = F.lit(0).cast("bigint")
-    joined = offsets.join(broadcast_if_small(log_heads), LOG_KEY, "left")
+    joined = offsets.join(written(log_heads, "heads"), LOG_KEY, "left")
     return joined.select(
         *offsets.columns,
         F.when(F.col("offset") < F.coalesce("tail", zero), "too_old")
@@ -112,15 +115,22 @@ def starts(commits: DataFrame, log_heads: DataFrame, topic: str, group: str) ->
 
 
 def resume(log: DataFrame, commits: DataFrame, topic: str, group: str) -> DataFrame:
-    """Log rows after the group's committed offset, from 0 where it has none."""
+    """Log rows after the group's committed offset, from 0 where it has none.
+
+    Segments that lie before the commits of all partitions are not opened.
+    """
     mine = commits.where((F.col("topic") == topic) & (F.col("consumer_group") == group))
-    done = broadcast_if_small(mine.select(*LOG_KEY, F.col("committed").alias("_done")))
-    return (
-        log.where(F.col("topic") == topic)
-        .join(done, LOG_KEY, "left")
-        .where(F.col("offset") > F.coalesce("_done", F.lit(-1)))
-        .select(*log.columns)
-    )
+    done = written(mine.select(*LOG_KEY, F.col("committed").alias("_done")), "commits")
+    log = log.where(F.col("topic") == topic)
+    columns = log.columns
+    if "segment" in columns:
+        # One filter per partition with a commit: its older segments are skipped. Commits
+        # of more partitions than a plan should list are bounded by the lowest one.
+        known = done.where("_done is not null").limit(MOST_BOUNDS + 1).collect()
+        if len(known) <= MOST_BOUNDS:
+            for row in known:
+                log = log.where((F.col("partition") != row["partition"]) | (F.col("segment") >= (row["_done"] + 1) // SEGMENT))
+    return log.join(done, LOG_KEY, "left").where(F.col("offset") > F.coalesce("_done", F.lit(-1))).select(*columns)
 
 
 def fair_poll(log: DataFrame, group_starts: DataFrame) -> DataFrame:
@@ -139,7 +149,7 @@ def fair_poll(log: DataFrame, group_starts: DataFrame) -> DataFrame:
 
 def failed_messages(failed: DataFrame, commits: DataFrame) -> DataFrame:
     """Failed messages with ``skipped``: true if a later commit passed them for good."""
-    done = broadcast_if_small(commits)
+    done = written(commits, "commits")
     return failed.join(done, PROGRESS_KEY, "left").select(
         *failed.columns, F.coalesce(F.col("offset") <= F.col("committed"), F.lit(False)).alias("skipped")
     )

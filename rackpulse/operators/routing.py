@@ -44,12 +44,16 @@ def route(messages: DataFrame, partitions: int, arrival: str) -> Split:
     """Resolve the asked partition ``partition``.
 
     0..partitions-1 stays, a negative one goes round robin in arrival order per
-    topic, anything above is refused. ``arrival`` is a unique integer per topic.
+    topic, anything above is refused, and so is a message to spread that has no topic or
+    no arrival. ``arrival`` is unique per topic. Accepted and refused rows add up to the input.
     """
-    turn = number_rows(messages.where(F.col("partition") < 0), ["topic"], arrival, "_turn")
+    asks = F.coalesce(F.col("partition") < 0, F.lit(False))
+    lacks = F.when(F.col("topic").isNull(), "topic_missing").when(F.col(arrival).isNull(), "arrival_missing")
+    turn = number_rows(messages.where(asks & lacks.isNull()), ["topic"], arrival, "_turn")
     spread = turn.withColumn("partition", F.pmod("_turn", F.lit(partitions)).cast("int")).drop("_turn")
-    placed = in_partitions(messages.where(F.col("partition").isNull() | (F.col("partition") >= 0)), partitions)
-    return Split(placed.good.unionByName(spread), placed.dead_letter)
+    placed = in_partitions(messages.where(~asks), partitions)
+    refused = messages.where(asks & lacks.isNotNull()).withColumn("reason", lacks)
+    return Split(placed.good.unionByName(spread), placed.dead_letter.unionByName(refused))
 
 
 def in_partitions(messages: DataFrame, partitions: int) -> Split:

@@ -1,21 +1,19 @@
-"""The size check in front of every broadcast."""
+"""Sides that are computed once and whose size Spark then knows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+from rackpulse.session import scratch_dir
 
 
-def broadcast_if_small(side: DataFrame, bound: DataFrame | None = None,
-                       most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``side`` only if a count shows at most ``most`` rows.
+def written(side: DataFrame, name: str = "side") -> DataFrame:
+    """``side``, computed once, written to the shared scratch folder and read back.
 
-    Otherwise the side comes back as it is and Spark shuffles the join, with AQE
-    splitting the hot keys. ``bound`` may give a cheaper DataFrame that has at
-    least as many rows as ``side``, such as the distinct partition values of a
-    table, and is counted in its place. Only for batch DataFrames of narrow rows.
+    Its plan is not repeated by those who use it, and joins see its true size: Spark
+    broadcasts it up to ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond.
+    Only for batch DataFrames.
     """
-    rows = (side if bound is None else bound).limit(most + 1).count()
-    return F.broadcast(side) if rows <= most else side
+    path = scratch_dir(side.sparkSession, name)
+    side.write.parquet(path)
+    return side.sparkSession.read.schema(side.schema).parquet(path)

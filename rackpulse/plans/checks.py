@@ -17,18 +17,18 @@ from rackpulse.functions.time import ns_to_timestamp
 from rackpulse.operators import merge, progress, routing
 from rackpulse.operators.filters import equals
 from rackpulse.operators.numbering import number_rows
-from rackpulse.operators.paging import sample_page
+from rackpulse.operators.paging import page, sample_page
 from rackpulse.operators.records import check_records, device_violation, sample_violation, split_rows, with_times
 from rackpulse.plans import json_rows, queries, views
 from rackpulse.plans.ingest import apply_batch, produce
 from rackpulse.plans.params import GpuFilter, TelemetryFilter
-from rackpulse.schemas import DEFAULT_PARTITIONS, GPU_ATTRIBUTES, GPUS
+from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS, GPU_ATTRIBUTES, GPUS
 from rackpulse.session import scratch_dir
-from rackpulse.sources.csv import read_numbered_csv
+from rackpulse.sources.csv import read_numbered_csv, stream_csv
 from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log, to_messages
 from rackpulse.sources.replay import replay, replay_stream
-from rackpulse.sources.tables import Tables
-from rackpulse.streaming.ingest import start_ingest
+from rackpulse.sources.tables import ID_RANGE, Tables
+from rackpulse.streaming.ingest import start_ingest, start_produce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,9 +126,19 @@ def gpus_wildcard_filter(spark, sf):
 
 @query(f"SELECT {_GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 10000")
 def gpus_list_capped(spark, sf):
+    return queries.list_gpus(views.gpus(spark, sf), GpuFilter(limit=10_000))
+
+
+@query(f"SELECT {_GPU_COLUMNS} FROM gpus")
+def gpus_list_all(spark, sf):
     return queries.list_all_gpus(views.gpus(spark, sf))
 
 
+@query(f"SELECT {_GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 8 OFFSET 5")
+def gpus_deep_page(spark, sf):
+    return queries.gpu_output(page(views.gpus(spark, sf), ["uuid"], 8, 5, shallow=3))
+
+
 @query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s
            WHERE s.uuid = 'GPU-000008' AND s.metric_name = 'EVT_CLICK'
              AND s.sample_at >= TIMESTAMP '2024-01-02 00:00:00' AND s.sample_at <= TIMESTAMP '2024-01-28 12:30:00.5'
@@ -158,6 +168,14 @@ def telemetry_search_nofilter(spark, sf):
     return queries.search_samples(views.samples(spark, sf), views.gpus(spark, sf), wanted)
 
 
+@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s
+           WHERE EXISTS (SELECT 1 FROM gpus_partial g WHERE g.uuid = s.uuid)
+           ORDER BY s.sample_at, s.id LIMIT 1000 OFFSET 25""")
+def telemetry_search_orphans(spark, sf):
+    wanted = TelemetryFilter(limit=1000, offset=25)
+    return queries.search_samples(views.samples(spark, sf), views.gpus_partial(spark, sf), wanted)
+
+
 @query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
            WHERE g.model_name ILIKE '%machinery%'""")
 def model_samples(spark, sf):
@@ -227,6 +245,19 @@ def ingest_good(spark, sf):
     return check_records(with_times(good)).samples.select("row_num", *RECORD_NAMES)
 
 
+@query("""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_num, CAST(doc_id AS VARCHAR) AS metric_name,
+            regexp_replace(text, '\r', '', 'g') AS labels_raw FROM documents""")
+def csv_quoted_line_breaks(spark, sf):
+    path = scratch_dir(spark, "csv")
+    text = F.regexp_replace("text", "\r", "")
+    rows = views.table(spark, sf, "documents").orderBy("doc_id").select(
+        *(F.lit("1").alias(name) if name not in ("metric_name", "labels_raw") else
+          (F.col("doc_id").cast("string") if name == "metric_name" else text).alias(name) for name in CSV_COLUMNS)
+    )
+    rows.write.options(header="true", escape='"', quoteAll="true").csv(path)
+    return read_numbered_csv(spark, path).select("row_num", "metric_name", "labels_raw")
+
+
 @query("SELECT event_id AS row_num, problem AS reason, metric_name, labels_raw FROM csv_rows WHERE problem IS NOT NULL")
 def ingest_dead_letter(spark, sf):
     rows = read_numbered_csv(spark, views.write_csv(spark, sf))
@@ -402,6 +433,25 @@ def _routed(spark, sf):
     return routing.route(rows, DEFAULT_PARTITIONS, "event_id")
 
 
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'topic_missing' WHEN event_type = 'error' THEN 'arrival_missing'
+            ELSE 'ok' END AS outcome,
+            CASE WHEN event_type NOT IN ('view', 'error') THEN CAST((row_number() OVER (
+              PARTITION BY event_type IN ('view', 'error') ORDER BY event_id * event_id) - 1) % 10 AS INT) END AS part_id
+          FROM events""")
+def route_null_keys(spark, sf):
+    kind, event = F.col("event_type"), F.col("event_id")
+    rows = views.table(spark, sf, "events").select(
+        "event_id", F.when(kind != "view", views.TOPIC).alias("topic"), F.lit(-1).alias("partition"),
+        F.when(kind != "error", event * event).alias("arrival"),
+    )
+    split = routing.route(rows, DEFAULT_PARTITIONS, "arrival")
+    return _log_names(
+        split.good.select("event_id", F.lit("ok").alias("outcome"), "partition").unionByName(
+            split.dead_letter.select("event_id", F.col("reason").alias("outcome"), F.lit(None).cast("int").alias("partition"))
+        )
+    )
+
+
 @query("""SELECT e.event_id, CASE WHEN event_type = 'error' THEN 'topic_missing'
             WHEN event_type = 'view' THEN 'topic_unknown' ELSE 'ok' END AS reason FROM events e""")
 def log_known_topics(spark, sf):
@@ -425,15 +475,26 @@ def log_offsets(spark, sf):
 def log_offsets_continued(spark, sf):
     rows = views.routed(spark, sf)
     head = rows.groupBy("topic", "partition").agg((F.first("partition") + 1000).cast("bigint").alias("head"))
-    return _log_names(progress.assign_offsets(rows, "event_id", head, block=1000)).select(
+    return _log_names(progress.assign_offsets(rows, "event_id", head)).select(
         "part_id", "msg_offset", "event_id"
     )
 
 
+@query("""SELECT CAST(event_id % 10 AS INT) AS part_id,
+            row_number() OVER (PARTITION BY event_id % 10 ORDER BY epoch_us(ts), event_id) - 1 AS msg_offset, event_id
+          FROM events""")
+def log_offsets_sparse_arrival(spark, sf):
+    rows = views.table(spark, sf, "events").select(
+        F.lit(views.TOPIC).alias("topic"), (F.col("event_id") % 10).cast("int").alias("partition"), "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("arrived"),
+    )
+    return _log_names(progress.assign_offsets(rows, ["arrived", "event_id"])).select("part_id", "msg_offset", "event_id")
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS number FROM events")
 def numbering_by_key(spark, sf):
     rows = views.table(spark, sf, "events").select("event_id", "user_id")
-    return number_rows(rows, ["user_id"], "event_id", "number", block=4096).select("event_id", "number")
+    return number_rows(rows, ["user_id"], "event_id", "number").select("event_id", "number")
 
 
 @query("SELECT part_id, head, tail FROM log_heads")
@@ -578,6 +639,30 @@ def _produced(spark, sf):
     return produce(rows, views.TOPIC, producers=12, partitions=DEFAULT_PARTITIONS)
 
 
+@query(f"""SELECT CAST(row_num % 12 AS INT) AS part_id,
+             row_number() OVER (PARTITION BY row_num % 12 ORDER BY event_id) - 1 AS msg_offset, {_RECORD_COLUMNS}
+           FROM (SELECT * REPLACE (CASE WHEN problem = 'uuid' THEN uuid || repeat('x', 64) ELSE uuid END AS uuid),
+                   event_id - min(event_id) OVER (PARTITION BY event_id * 4 // (SELECT count(*) FROM events)) AS row_num
+                 FROM csv_rows)
+           WHERE row_num % 12 < 10 AND (problem IS NULL OR problem = 'uuid')""")
+def stream_csv_to_log(spark, sf):
+    path, log = scratch_dir(spark, "csv"), scratch_dir(spark, "log")
+    rows = views.csv_rows(spark, sf)
+    total = views.table(spark, sf, "events").count()
+    # Four files by event, in the order of their names.
+    quarter = F.call_function("div", F.col("event_id") * 4, F.lit(total))
+    (
+        rows.withColumn("quarter", quarter).repartition("quarter").sortWithinPartitions("quarter", "event_id")
+        .select(*CSV_COLUMNS, "quarter").write.partitionBy("quarter")
+        .options(header="true", escape='"', emptyValue="").csv(path)
+    )
+    feed = stream_csv(spark, f"{path}/*", max_files=3)
+    for _ in range(2):  # the second run finds nothing new
+        run = start_produce(feed, log, f"{log}_checkpoint", views.TOPIC, producers=12)
+        run.awaitTermination()
+    return _log_names(message_records(read_log(spark, log)).select("partition", "offset", *RECORD_NAMES))
+
+
 _STORED = """SELECT event_id AS id, uuid, metric_name, sample_at, value, container, pod, namespace, labels_raw FROM records"""
 
 
@@ -650,6 +735,55 @@ def devices_compacted(spark, sf):
     return _stored_devices(tables)
 
 
+def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
+    messages = read_log(spark, _delivered(spark, sf))
+    return messages.where(F.col("partition") < 5), messages.where(F.col("partition") >= 5)
+
+
+@query("""SELECT uuid, gpu_index, device, model_name, coalesce(hostname, '') AS hostname, created_at, updated_at
+          FROM gpus""")
+def ingest_new_checkpoint_after_compaction(spark, sf):
+    tables = Tables(spark, scratch_dir(spark, "tables"))
+    low, high = _halves(spark, sf)
+    apply_batch(tables, low, "collector", 1)
+    tables.compact_devices()
+    apply_batch(tables, high, "collector", 0)
+    return _stored_devices(tables)
+
+
+@query("""SELECT CAST(event_id % 10 AS INT) AS part_id,
+            count(*) + count(*) FILTER (WHERE event_id % 7 = 3) - 1 AS committed FROM events GROUP BY 1""")
+def ingest_two_streams_one_group(spark, sf):
+    tables = Tables(spark, scratch_dir(spark, "tables"))
+    for half in _halves(spark, sf):
+        apply_batch(tables, half, "collector", 0)
+    return _log_names(progress.committed(tables.acks()))
+
+
+@query("""SELECT topic, count(*) AS samples, count(DISTINCT id) AS ids FROM (
+            SELECT CASE WHEN event_id % 7 < 3 THEN 'a' ELSE 'b' END AS topic, event_id AS id FROM records) GROUP BY topic""")
+def ingest_two_topics(spark, sf):
+    tables, path = Tables(spark, scratch_dir(spark, "tables")), scratch_dir(spark, "log")
+    topic = F.when(F.col("event_id") % 7 < 3, "a").otherwise("b")
+    append_log(views.records(spark, sf).withColumn("topic", topic), path, "event_id")
+    apply_batch(tables, read_log(spark, path), "collector", 0)
+    number = F.call_function("div", "id", F.lit(ID_RANGE))
+    both = tables.samples().groupBy(F.when(number == 0, "a").otherwise("b").alias("topic"))
+    return both.agg(F.count("*").alias("samples"), F.countDistinct("id").alias("ids"))
+
+
+@query("""SELECT CAST(event_id % 10 AS INT) AS part_id, CAST(event_id // 10 AS BIGINT) AS msg_offset, 'payload' AS reason
+          FROM events WHERE event_type = 'error'""")
+def dead_letters_of_all_batches(spark, sf):
+    tables = Tables(spark, scratch_dir(spark, "tables"))
+    rows = views.records(spark, sf).withColumn("offset", F.call_function("div", "event_id", F.lit(10)))
+    payload = F.when(F.col("payload.metric_name") != "EVT_ERROR", F.col("payload"))
+    messages = to_messages(rows).withColumn("payload", payload)
+    for part in (F.col("partition") < 4, F.col("partition") >= 4):
+        apply_batch(tables, messages.where(part), "collector", 0)
+    return _log_names(tables.dead_letters().select("partition", "offset", "reason"))
+
+
 @query("""SELECT CAST(event_id % 10 AS INT) AS part_id, CAST(event_id // 10 AS BIGINT) AS msg_offset,
             CASE WHEN event_type = 'error' THEN 'payload' ELSE 'metric_name' END AS reason
           FROM events WHERE event_type IN ('error', 'view')""")

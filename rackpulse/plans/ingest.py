@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -42,29 +43,51 @@ def produce(numbered: DataFrame, topic: str, producers: int, partitions: int = D
     return Produced(routed.good, rows.dead_letter.select("row_num", "reason", "raw").unionByName(refused))
 
 
-def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int,
-                partitions: int = DEFAULT_PARTITIONS, cache: bool = True) -> None:
+def batch_key(messages: DataFrame, group: str) -> str:
+    """A name for a batch that only its content fixes: group, ranges of offsets, and a checksum.
+
+    The same messages give the same name, whatever stream, checkpoint or number they come
+    with; other messages give another one.
+    """
+    ranges = messages.groupBy(*LOG_KEY).agg(
+        F.min("offset").alias("low"), F.max("offset").alias("high"), F.count("*").alias("rows"),
+        F.sum(F.xxhash64("offset").cast("decimal(38,0)")).alias("check"),
+    )
+    whole = ranges.agg(
+        F.sum("rows"), F.sum(F.xxhash64(*LOG_KEY, "low", "high", "rows", "check").cast("decimal(38,0)")),
+        F.bit_xor(F.xxhash64("check", *LOG_KEY)),
+    ).first()
+    return hashlib.sha256(repr((group, *whole)).encode()).hexdigest()[:32]
+
+
+def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int = 0,
+                partitions: int = DEFAULT_PARTITIONS, cache: bool = False) -> None:
     """Write one batch of messages: devices, then samples, then what was refused and done.
 
     Every step can run again with the same batch and changes nothing then, so a
-    crash between two steps heals when the batch is repeated. A micro-batch is cached
-    for the steps; without ``cache``, for a large backfill, each step reads the
-    columns it needs from the log again.
+    crash between two steps heals when the batch is repeated. What is written is named
+    by the messages themselves; ``batch_id`` is not, as numbers start again with a new
+    checkpoint. With ``cache``, for a micro-batch, the messages are held for the steps;
+    without it each step reads the columns it needs again.
     """
     if cache:
         messages = messages.persist()
     try:
-        broken = messages.where(F.col("payload").isNull())
-        timed = with_times(message_records(messages.where(F.col("payload").isNotNull())))
+        batch = batch_key(messages, group)
+        # A message without a place in the log has no id.
+        placed = F.col("topic").isNotNull() & F.col("offset").isNotNull() & F.col("partition").between(0, partitions - 1)
+        problem = F.when(F.col("payload").isNull(), "payload").when(~F.coalesce(placed, F.lit(False)), "place")
+        broken = messages.withColumn("reason", problem).where(F.col("reason").isNotNull())
+        timed = with_times(message_records(messages.where(problem.isNull())))
         checked = check_records(timed)
-        tables.put_devices(latest_state(checked.devices, RECORD_ORDER), group, batch_id)
+        tables.put_devices(latest_state(checked.devices, RECORD_ORDER), batch)
         tables.add_samples(checked.samples, partitions)
         payload = F.struct(*TELEMETRY_RECORD.names).alias("payload")
         refused = checked.dead_letter.select(*LOG_KEY, "offset", "reason", payload)
-        empty = broken.select(*LOG_KEY, "offset", F.lit("payload").alias("reason"), "payload")
-        tables.put_dead_letters(refused.unionByName(empty), group, batch_id)
+        empty = broken.select(*LOG_KEY, "offset", "reason", "payload")
+        tables.put_dead_letters(refused.unionByName(empty), batch)
         done = checked.samples.groupBy(*LOG_KEY).agg(F.max("offset").alias("offset"))
-        tables.put_acks(done.withColumn("consumer_group", F.lit(group)), group, batch_id)
+        tables.put_acks(done.withColumn("consumer_group", F.lit(group)), batch)
     finally:
         if cache:
             messages.unpersist()

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from rackpulse.operators.paging import MOST_ROWS
 from rackpulse.schemas import DEFAULT_LIMIT, MAX_LIMIT
 
 _INTEGER = re.compile(r"[+-]?[0-9]+")
@@ -17,13 +18,16 @@ _RFC3339 = re.compile(
 
 def _integer(raw: str | int, name: str, least: int) -> int:
     text = str(raw)
-    if not _INTEGER.fullmatch(text) or not least <= int(text) < 1 << 63:
-        raise ValueError(f"{name} must be an integer of at least {least}")
+    if not _INTEGER.fullmatch(text) or not least <= int(text) <= MOST_ROWS:
+        raise ValueError(f"{name} must be an integer from {least} to {MOST_ROWS}")
     return int(text)
 
 
 def parse_limit(raw: str | int | None, default: int = DEFAULT_LIMIT, most: int = MAX_LIMIT) -> int:
-    """Rows per page: the default if not given, at most ``most``, an error below 1."""
+    """Rows per page: the default if not given, an error below 1.
+
+    ``most`` is the page size that a request gets at most, however many rows it asks for.
+    """
     if raw is None or raw == "":
         return default
     return min(_integer(raw, "limit", 1), most)

@@ -13,7 +13,7 @@ from rackpulse.operators.merge import with_device
 from rackpulse.operators.paging import page, sample_page
 from rackpulse.operators.progress import committed, heads, starts
 from rackpulse.plans.params import GpuFilter, TelemetryFilter
-from rackpulse.schemas import DEFAULT_CAPACITY, DEFAULT_LIMIT, GPUS, LISTING_CAP, TELEMETRY_SAMPLES
+from rackpulse.schemas import DEFAULT_CAPACITY, DEFAULT_LIMIT, GPUS, TELEMETRY_SAMPLES
 
 NULLABLE_GPU = {"gpu_index", "device", "hostname"}
 NULLABLE_SAMPLE = {"container", "pod", "namespace", "labels_raw"}
@@ -34,20 +34,15 @@ def sample_output(samples: DataFrame) -> DataFrame:
     return _output(samples, TELEMETRY_SAMPLES.names, NULLABLE_SAMPLE)
 
 
-def _page_bounds(limit: int, offset: int) -> tuple[int, int]:
-    return (limit if limit > 0 else DEFAULT_LIMIT), max(offset, 0)
-
-
 def list_gpus(devices: DataFrame, wanted: GpuFilter = GpuFilter()) -> DataFrame:
     """Devices by ``uuid``, filtered by parts of the model and host name."""
-    limit, offset = _page_bounds(wanted.limit, wanted.offset)
     found = contains(devices, model_name=wanted.model_name, hostname=wanted.hostname)
-    return gpu_output(page(found, [F.asc("uuid")], limit, offset))
+    return gpu_output(page(found, ["uuid"], wanted.limit, wanted.offset))
 
 
 def list_all_gpus(devices: DataFrame) -> DataFrame:
-    """The capped listing: the first 10,000 devices by ``uuid``."""
-    return list_gpus(devices, GpuFilter(limit=LISTING_CAP))
+    """All devices by ``uuid``."""
+    return gpu_output(devices).orderBy("uuid")
 
 
 def gpu_samples(samples: DataFrame, uuid: str, metric_name: str = "", start: datetime | None = None,
@@ -61,23 +56,18 @@ def gpu_samples(samples: DataFrame, uuid: str, metric_name: str = "", start: dat
 def matching_samples(samples: DataFrame, devices: DataFrame, wanted: TelemetryFilter) -> DataFrame:
     """All samples a search finds, before sorting and paging.
 
-    The device table is only joined for a model filter: every sample has a device,
-    so without one the join would drop nothing. A semi join is enough because no
+    A sample whose device is not there is not found. A semi join is enough because no
     device column is returned.
     """
     found = equals(samples, uuid=wanted.uuid, metric_name=wanted.metric_name)
     found = in_time_range(found, wanted.start, wanted.end)
-    if wanted.model_name:
-        models = contains(equals(devices, uuid=wanted.uuid), model_name=wanted.model_name)
-        found = with_device(found, models)
-    return found
+    return with_device(found, contains(equals(devices, uuid=wanted.uuid), model_name=wanted.model_name))
 
 
 def search_samples(samples: DataFrame, devices: DataFrame,
                    wanted: TelemetryFilter = TelemetryFilter()) -> DataFrame:
     """Samples across devices by time, filtered by any mix of fields."""
-    limit, offset = _page_bounds(wanted.limit, wanted.offset)
-    return sample_output(sample_page(matching_samples(samples, devices, wanted), limit, offset))
+    return sample_output(sample_page(matching_samples(samples, devices, wanted), wanted.limit, wanted.offset))
 
 
 def count_models(devices: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.operators.progress import assign_offsets, heads
-from rackpulse.operators.sizes import broadcast_if_small
 from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS, LOG_KEY
 from rackpulse.session import scratch_dir
 from rackpulse.sources.log_files import write_log
@@ -96,7 +95,7 @@ def acks(log: DataFrame) -> DataFrame:
     """Acknowledged messages: none for errors and partition 9, a share of the rest that grows with the partition."""
     part = F.col("partition")
     return (
-        log.join(broadcast_if_small(heads(log, CAPACITY)), LOG_KEY)
+        log.join(heads(log, CAPACITY), LOG_KEY)
         .where((F.col("event_type") != "error") & (part != 9)
                & (F.col("offset") * 10 < F.col("head") * (part + 1)))
         .select("topic", F.lit(GROUP).alias("consumer_group"), "partition", "offset")
@@ -112,9 +111,7 @@ def failed(log: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a typed record with topic and partition, before offsets."""
-    devices = broadcast_if_small(
-        gpus(spark, sf_dir).select("uuid", "gpu_index", "device", "model_name", "hostname")
-    )
+    devices = gpus(spark, sf_dir).select("uuid", "gpu_index", "device", "model_name", "hostname")
     ns = F.unix_micros(F.col("sample_at").cast("timestamp")) * F.lit(1000)
     return samples(spark, sf_dir).join(devices, "uuid").select(
         F.col("id").alias("event_id"),
@@ -131,12 +128,12 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a row of the exporter's CSV, some with a bad value or uuid."""
     event, number = F.col("event_id"), F.col("value").cast("string")
     value = (
-        F.when(event % 97 == 0, "not-a-float").when(event % 89 == 0, "")
+        F.when(event % 97 == 0, "warm").when(event % 89 == 0, "")
         .when(event % 83 == 0, "1d").otherwise(number)
     )
     uuid = F.when(event % 79 == 0, F.concat("uuid", F.repeat(F.lit("x"), 64))).otherwise(F.col("uuid"))
     shaped = records(spark, sf_dir).withColumns({
-        "timestamp": F.lit("this-is-not-a-date"),
+        "timestamp": F.lit("some day"),
         "gpu_id": F.col("gpu_index"), "modelName": F.col("model_name"), "Hostname_": F.col("hostname"),
         "uuid_": uuid, "value_": value,
     })

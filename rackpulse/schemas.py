@@ -82,5 +82,4 @@ DEFAULT_PARTITIONS = 10
 DEFAULT_CAPACITY = 65_536
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
-LISTING_CAP = 10_000
 DEFAULT_INTERVAL_MS = 100

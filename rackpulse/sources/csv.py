@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rackpulse.operators.sizes import BROADCAST_ROWS
+from rackpulse.operators.sizes import written
 from rackpulse.schemas import CORRUPT, RAW_CSV_SCAN
 
 # Doubled quotes inside a quoted field; rows of another width are kept and marked. A row's
@@ -17,61 +21,117 @@ OPTIONS = {
 _BLOCK = ["_file", "_start"]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+class Forms(NamedTuple):
+    """Files by how they must be read: in splits, or whole; of the latter those with an open quote."""
+
+    plain: list[str]
+    whole: list[str]
+    unclosed: list[str]
+
+
+def split_by_form(spark: SparkSession, path: str) -> Forms:
+    """Look at the quotes and blanks of every line.
+
+    A line with an odd number of quotes is part of a longer record. A line of blanks is
+    a record too short, which only the whole-file reader reports. One narrow pass over
+    the lines finds the files that hold either; usually there are none, and all others
+    are still read in splits. An odd number of quotes in a file leaves its last record open.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    whole = (quotes % 2 == 1) | ((F.trim(line) == "") & (line != ""))
+    lines = spark.read.text(path)
+    marked = lines.where(whole).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.sum(quotes % 2).alias("odd"))
+    found = {unquote(row["file"]): row["odd"] % 2 == 1 for row in marked.collect()}
+    if not found:
+        return Forms([path], [], [])
+    # Local files are named with one or three slashes.
+    known = {name.replace(":///", ":/", 1) for name in found}
+    plain = [name for name in map(unquote, lines.inputFiles()) if name.replace(":///", ":/", 1) not in known]
+    return Forms(plain, sorted(found), sorted(name for name, odd in found.items() if odd))
+
+
+def _forms(spark: SparkSession, path: str, multiline: bool | None) -> Forms:
+    if multiline is None:
+        return split_by_form(spark, path)
+    return Forms([], [path], []) if multiline else Forms([path], [], [])
+
+
+def _scans(spark: SparkSession, forms: Forms, pruned: bool = False) -> list[DataFrame]:
+    return [
+        spark.read.schema(RAW_CSV_SCAN).options(**{**OPTIONS, "columnPruning": str(pruned).lower()})
+        .option("multiLine", form).csv(paths)
+        for paths, form in ((forms.plain, False), (forms.whole, True)) if paths
+    ]
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Twelve text columns and ``_corrupt``, which is set on a row of another width.
 
-    Quoted line breaks need ``multiline``, at the price of one task per file.
+    Quoted line breaks are kept, and a record whose quote is never closed is corrupt.
+    Only files that hold any of these are parsed by one task each; ``multiline`` says
+    so for all files, or for none, without the look beforehand.
     """
-    return spark.read.schema(RAW_CSV_SCAN).options(**OPTIONS).option("multiLine", multiline).csv(path)
+    forms = _forms(spark, path, multiline)
+    if forms.unclosed:
+        return _numbered(spark, forms).drop("row_num")
+    return reduce(DataFrame.unionByName, _scans(spark, forms))
 
 
 def stream_csv(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same rows from files as they arrive in a folder."""
-    return (
+    """The same rows from files as they arrive in a folder, with their ``_file``.
+
+    A file is the unit of a stream and is parsed as a whole, so quoted line breaks are kept.
+    """
+    rows = (
         spark.readStream.schema(RAW_CSV_SCAN).options(**OPTIONS)
-        .option("maxFilesPerTrigger", max_files).csv(path)
+        .option("maxFilesPerTrigger", max_files).option("multiLine", True).csv(path)
     )
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
 
 
-def read_numbered_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_numbered_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """``read_csv`` with the ``row_num`` of ``with_row_numbers``."""
-    rows = read_csv(spark, path, multiline)
+    return _numbered(spark, _forms(spark, path, multiline))
+
+
+def _numbered(spark: SparkSession, forms: Forms) -> DataFrame:
     # Counting needs no column, so this scan may skip the parsing.
-    lines = (
-        spark.read.schema(RAW_CSV_SCAN).options(**{**OPTIONS, "columnPruning": "true"})
-        .option("multiLine", multiline).csv(path)
-    )
-    return with_row_numbers(rows, lines)
+    return with_row_numbers(_scans(spark, forms), _scans(spark, forms, True), forms.unclosed)
 
 
-def _placed(scan: DataFrame) -> DataFrame:
-    return scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
+def _placed(scans: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (
+        scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"),
+        ) for scan in scans
+    ))
 
 
-def with_row_numbers(scan: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def with_row_numbers(scans: list[DataFrame], counted: list[DataFrame] | None = None,
+                     unclosed: list[str] | None = None) -> DataFrame:
     """0-based ``row_num`` over all data rows, in file name and file order.
 
     A narrow first pass counts the rows of each input split; the second adds the
     rows of all splits before. ``monotonically_increasing_id`` gives the place
     inside a task, and both passes read the same splits. The count table has one
-    row per split, a list the driver already holds to plan the scan. It is broadcast
-    while that list is short and joined by shuffle beyond. ``counted`` may be a
-    cheaper scan of the same files for the first pass.
+    row per split, a list the driver already holds to plan the scan; it is written
+    once and broadcast, as the driver's own list of splits bounds it. ``counted`` may be cheaper scans of the same
+    files for the first pass. The last rows of ``unclosed`` files are marked as corrupt.
     """
     earlier = Window.orderBy(*_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        _placed(scan if counted is None else counted).groupBy(*_BLOCK)
-        .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
-        .select(*_BLOCK, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    )
-    splits = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
-    if splits <= BROADCAST_ROWS:
-        blocks = F.broadcast(blocks)
-    return _placed(scan).join(blocks, _BLOCK).select(
-        (F.col("_id") + F.col("_shift")).alias("row_num"), *scan.columns
+    blocks = written(
+        _placed(counted or scans).groupBy(*_BLOCK)
+        .agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+        .select(*_BLOCK, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), "_last"),
+        "splits",
     )
+    rows = _placed(scans).join(F.broadcast(blocks), _BLOCK)
+    if unclosed:
+        file = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+        open_end = file.isin(unclosed) & (F.col("_id") == F.col("_last"))
+        rows = rows.withColumn(CORRUPT, F.when(open_end, F.coalesce(CORRUPT, "labels_raw", F.lit(""))).otherwise(F.col(CORRUPT)))
+    return rows.select((F.col("_id") + F.col("_shift")).alias("row_num"), *scans[0].columns)

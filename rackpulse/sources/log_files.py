@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from rackpulse.functions.time import now_ns
 from rackpulse.operators.progress import assign_offsets
-from rackpulse.operators.sizes import broadcast_if_small
+from rackpulse.operators.sizes import written
 from rackpulse.schemas import LOG_KEY, SEGMENT, STORED_LOG, TELEMETRY_RECORD
 from rackpulse.sources.tables import read_or_empty
 
 
+_HEADS = StructType([
+    StructField("topic", StringType()), StructField("partition", IntegerType()), StructField("head", LongType()),
+])
+
+
 def to_messages(records: DataFrame, timestamp_ns=None) -> DataFrame:
     """Envelope around records that carry ``topic``, ``partition`` and ``offset``."""
     stamp = now_ns() if timestamp_ns is None else timestamp_ns
@@ -45,24 +51,50 @@ def stored_heads(log: DataFrame) -> DataFrame:
     prunes the scan of the offsets to those folders.
     """
     last = log.groupBy(*LOG_KEY).agg(F.max("segment").alias("segment")).where(F.col("segment") >= 0)
-    newest = log.join(broadcast_if_small(last), [*LOG_KEY, "segment"], "left_semi")
+    newest = log.join(written(last, "segments"), [*LOG_KEY, "segment"], "left_semi")
     return newest.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
 
 
 def write_log(messages: DataFrame, path: str) -> None:
-    """Append rows that have their offsets, in folders by topic, partition and segment."""
+    """Append rows that have their offsets, in folders by topic, partition and segment.
+
+    Rows are laid out by range first, so a file holds one range of offsets of one
+    partition and a reader opens few of them.
+    """
     folders = [*LOG_KEY, "segment"]
     (
         messages.withColumn("segment", F.call_function("div", F.col("offset"), F.lit(SEGMENT)))
-        .sortWithinPartitions(*folders, "offset")
+        .repartitionByRange(*folders, "offset").sortWithinPartitions(*folders, "offset")
         .write.mode("append").partitionBy(*folders).parquet(path)
     )
 
 
-def append_log(records: DataFrame, path: str, arrival: str) -> None:
+def manifest_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Next offset of each partition, from the manifest beside the log.
+
+    Every append adds the heads it has reached, a row per topic and partition, so this
+    does not open the log. A log that was written without appends is looked through.
+    """
+    known = read_or_empty(spark, _manifest(path), _HEADS)
+    if known.head(1):
+        return known.groupBy(*LOG_KEY).agg(F.max("head").alias("head"))
+    return stored_heads(read_log(spark, path))
+
+
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}_heads"
+
+
+def append_log(records: DataFrame, path: str, arrival: str | list[str]) -> None:
     """Append records with a ``topic`` and ``partition``; offsets go on from the log.
 
-    One writer per log at a time, as offsets are read before they are given out.
+    One writer per log at a time, as offsets are read before they are given out. The
+    heads are written before the messages: after a crash in between, offsets are left
+    out but never given twice.
     """
-    log_heads = stored_heads(read_log(records.sparkSession, path))
-    write_log(to_messages(assign_offsets(records, arrival, log_heads)), path)
+    spark = records.sparkSession
+    known = written(manifest_heads(spark, path), "heads")
+    placed = written(assign_offsets(records, arrival, known), "placed")
+    reached = placed.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
+    reached.select(*_HEADS.names).coalesce(1).write.mode("append").parquet(_manifest(path))
+    write_log(to_messages(placed), path)

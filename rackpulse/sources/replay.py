@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rackpulse.operators.sizes import BROADCAST_ROWS
 from rackpulse.schemas import DEFAULT_INTERVAL_MS
 
 
@@ -21,6 +20,8 @@ def replay(rows: DataFrame, passes: int, total: int, interval_ms: int = DEFAULT_
     Row numbers start again at 0 in every pass. ``stamp_ns`` is the time at which a
     producer with a fixed gap per row sends the row.
     """
+    if passes < 1:
+        return rows.withColumns({"pass": F.lit(0), "stamp_ns": F.lit(0).cast("bigint")}).limit(0)
     again = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     tick = F.col("pass") * F.lit(total) + F.col("row_num")
     return again.withColumn("stamp_ns", _stamp_ns(tick, interval_ms, start_us))
@@ -31,8 +32,7 @@ def replay_stream(spark: SparkSession, rows: DataFrame, total: int, rows_per_bat
     """The same replay without end, ``rows_per_batch`` rows in each micro-batch.
 
     With a trigger of ``rows_per_batch * interval_ms`` this is the paced feed. The
-    ticks of a micro-batch are the small side, by the given number, so the stored
-    rows are scanned but not shuffled; keep them as Parquet.
+    stored rows are read again in every micro-batch; keep them as Parquet.
     """
     ticks = (
         spark.readStream.format("rate-micro-batch")
@@ -45,6 +45,4 @@ def replay_stream(spark: SparkSession, rows: DataFrame, total: int, rows_per_bat
             _stamp_ns(F.col("value"), interval_ms, start_us).alias("stamp_ns"),
         )
     )
-    if rows_per_batch <= BROADCAST_ROWS:
-        ticks = F.broadcast(ticks)
     return rows.join(ticks, "row_num").select(*rows.columns, "pass", "stamp_ns")

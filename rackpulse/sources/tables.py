@@ -14,24 +14,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
 from rackpulse.operators.merge import first_wins, insert_if_absent, merge_states
-from rackpulse.schemas import ACK_LOG, GPUS, SAMPLE_KEY, TELEMETRY_SAMPLES
+from rackpulse.operators.sizes import written
+from rackpulse.schemas import ACK_LOG, GPUS, SAMPLE_KEY, TELEMETRY_RECORD, TELEMETRY_SAMPLES
 
 # A later record wins by time, then by its place in the log.
-RECORD_ORDER = ["ingested_unix_ns", "partition", "offset"]
+RECORD_ORDER = ["ingested_unix_ns", "topic", "partition", "offset"]
 _ORDER_FIELDS = [
     StructField("ingested_unix_ns", LongType()),
+    StructField("topic", StringType()),
     StructField("partition", IntegerType()),
     StructField("offset", LongType()),
 ]
-_BATCH = [StructField("source", StringType()), StructField("batch_id", LongType())]
+_BATCH = [StructField("batch", StringType())]
 STATES = StructType([*GPUS.fields, *_ORDER_FIELDS])
 CHANGES = StructType([*STATES.fields, *_BATCH])
 VERSIONED = StructType([*STATES.fields, StructField("version", LongType())])
 MARKERS = StructType([StructField("version", LongType()), *_BATCH])
 STORED_SAMPLES = StructType([*TELEMETRY_SAMPLES.fields, StructField("sample_date", DateType())])
 STORED_ACKS = StructType([*ACK_LOG.fields, *_BATCH])
-
-# Days a batch may touch before its lookup falls back to one plain time range.
+DEAD_LETTERS = StructType([
+    StructField("topic", StringType()), StructField("partition", IntegerType()), StructField("offset", LongType()),
+    StructField("reason", StringType()), StructField("payload", TELEMETRY_RECORD), *_BATCH,
+])
+# One row per topic and number of partitions: their ids begin at number * ID_RANGE.
+ID_RANGES = StructType([
+    StructField("topic", StringType()), StructField("partitions", IntegerType()), StructField("number", LongType()),
+])
+ID_RANGE = 1 << 52
+MOST_RANGES = 1 << 11
+
+# Days whose times a lookup names one by one; more days are named by their dates alone.
 MOST_DAYS = 64
 
 
@@ -55,28 +67,39 @@ class Tables:
     def _read(self, name: str, schema: StructType) -> DataFrame:
         return read_or_empty(self.spark, f"{self.root}/{name}", schema)
 
-    def _put(self, rows: DataFrame, name: str, source: str, batch_id: int) -> None:
+    def _put(self, rows: DataFrame, name: str, batch: str) -> None:
         """Write a batch's own folder; a repeated batch writes the same one again."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/source={source}/batch_id={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+
+    def _folders(self, name: str) -> list[str]:
+        """Values of the partition folders of a table, from a listing by the driver."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        return [status.getPath().getName().partition("=")[2] for status in files.listStatus(path) if status.isDirectory()]
 
     # Devices: one state per device and batch, merged when read.
 
-    def put_devices(self, states: DataFrame, source: str, batch_id: int) -> None:
-        self._put(states.select(*STATES.names), "gpus/changes", source, batch_id)
+    def put_devices(self, states: DataFrame, batch: str) -> None:
+        self._put(states.select(*STATES.names), "gpus/changes", batch)
 
-    def device_states(self) -> DataFrame:
-        """Compacted states and all states of later batches."""
-        changes = self._read("gpus/changes", CHANGES)
+    def _compacted(self) -> tuple[int, set[str]]:
+        """The last complete version and the batches that are in it."""
         markers = self._read("gpus/compactions", MARKERS)
-        version = markers.agg(F.max("version")).first()[0]
-        if version is None:
-            return changes.select(*STATES.names)
-        done = markers.where(F.col("version") == version).select("source", F.col("batch_id").alias("_upto"))
-        later = changes.join(done, "source", "left").where(
-            F.col("_upto").isNull() | (F.col("batch_id") > F.col("_upto"))
-        )
+        return markers.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0], {
+            row["batch"] for row in markers.select("batch").distinct().toLocalIterator()
+        }
+
+    def _open_batches(self, covered: set[str]) -> list[str]:
+        return sorted(set(self._folders("gpus/changes")) - covered)
+
+    def device_states(self) -> DataFrame:
+        """Compacted states, and the states of the batches that no compaction holds yet."""
+        version, covered = self._compacted()
+        changes = self._read("gpus/changes", CHANGES).where(F.col("batch").isin(self._open_batches(covered)))
         compacted = self._read("gpus/compacted", VERSIONED).where(F.col("version") == version)
-        return compacted.select(*STATES.names).unionByName(later.select(*STATES.names))
+        return compacted.select(*STATES.names).unionByName(changes.select(*STATES.names))
 
     def devices(self) -> DataFrame:
         """The dimension: one current row per device."""
@@ -85,16 +108,16 @@ class Tables:
     def compact_devices(self) -> None:
         """Write the merged states as a new version, to keep reads short.
 
-        Run between batches. The markers are written last, so an unfinished version is
-        never read.
+        Run between batches. The markers name the batches that are in the version; they
+        are written last, so an unfinished version is never read. A batch is marked once,
+        by the version that took it in.
         """
-        markers = self._read("gpus/compactions", MARKERS)
-        version = (markers.agg(F.max("version")).first()[0] or 0) + 1
+        version, covered = self._compacted()
+        taken = self._open_batches(covered)
         merge_states(self.device_states(), RECORD_ORDER).select(*STATES.names).write.mode("overwrite").parquet(
-            f"{self.root}/gpus/compacted/version={version}"
+            f"{self.root}/gpus/compacted/version={version + 1}"
         )
-        done = self._read("gpus/changes", CHANGES).groupBy("source").agg(F.max("batch_id").alias("batch_id"))
-        done.select(F.lit(version).cast("bigint").alias("version"), "source", "batch_id").coalesce(1).write.mode(
+        self.spark.createDataFrame([(version + 1, batch) for batch in taken], MARKERS).coalesce(1).write.mode(
             "append"
         ).parquet(f"{self.root}/gpus/compactions")
 
@@ -112,32 +135,49 @@ class Tables:
             .agg(F.min(micros).alias("low"), F.max(micros).alias("high"))
         )
         stored = self.samples()
-        days = spans.limit(MOST_DAYS + 1).collect()
+        days = spans.collect()
         if not days:
             return stored.limit(0)
         if len(days) > MOST_DAYS:
-            days = [spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()]
+            return stored.where(F.col("sample_date").isin([span.day for span in days]))
         low_high = "timestamp_micros({0.low}) AND timestamp_micros({0.high})"
         touched = " OR ".join(
-            f"(sample_date BETWEEN to_date(timestamp_micros({span.low})) AND to_date(timestamp_micros({span.high}))"
-            f" AND sample_at BETWEEN {low_high.format(span)})"
-            for span in days
+            f"(sample_date = date '{span.day}' AND sample_at BETWEEN {low_high.format(span)})" for span in days
         )
         return stored.where(touched)
 
+    def _id_start(self, rows: DataFrame, partitions: int) -> DataFrame:
+        """``topic`` and the number of its id range, given out when a topic first comes."""
+        known = self._read("id_ranges", ID_RANGES)
+        rows = rows.where(F.col("topic").isNotNull()).select("topic").distinct()
+        mine = known.where(F.col("partitions") == partitions).select("topic")
+        new = sorted(row["topic"] for row in rows.join(mine, "topic", "left_anti").limit(MOST_RANGES + 1).collect())
+        if new:
+            first = known.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
+            if first + len(new) > MOST_RANGES:
+                raise ValueError(f"the tables hold at most {MOST_RANGES} topics")
+            ranges = [(topic, partitions, first + place) for place, topic in enumerate(new)]
+            self.spark.createDataFrame(ranges, ID_RANGES).coalesce(1).write.mode("append").parquet(f"{self.root}/id_ranges")
+        return self._read("id_ranges", ID_RANGES).where(F.col("partitions") == partitions).groupBy("topic").agg(
+            F.min("number").alias("_number")
+        )
+
     def add_samples(self, samples: DataFrame, partitions: int) -> None:
         """Append the samples whose key is new; the first of a key wins.
 
-        ``id`` comes from the place in the log. Files are cut by date, device, metric
-        and time, so one device's range is few row groups and a busy device or day is
-        still spread over tasks.
+        ``id`` is ``offset * partitions + partition`` within the topic's own range of ids,
+        which is stored and never given to another topic or number of partitions, so ids
+        stay unique over topics. The new rows are written once to the scratch folder, as
+        the range layout reads them twice. Files are cut by date, device, metric and time,
+        so one device's range is few row groups and a busy device or day is spread.
         """
         first = first_wins(samples, RECORD_ORDER)
         fresh = insert_if_absent(first, self._candidates(samples))
-        rows = fresh.withColumns({
-            "id": F.col("offset") * F.lit(partitions) + F.col("partition"),
+        ranges = self._id_start(samples, partitions)
+        rows = written(fresh.join(ranges, "topic").withColumns({
+            "id": F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition"),
             "sample_date": F.to_date("sample_at"),
-        }).select(*STORED_SAMPLES.names)
+        }).select(*STORED_SAMPLES.names), "fresh")
         layout = ["sample_date", *SAMPLE_KEY]
         (
             rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
@@ -146,14 +186,14 @@ class Tables:
 
     # Progress and rejected messages.
 
-    def put_acks(self, acks: DataFrame, source: str, batch_id: int) -> None:
-        self._put(acks.select(*ACK_LOG.names), "acks", source, batch_id)
+    def put_acks(self, acks: DataFrame, batch: str) -> None:
+        self._put(acks.select(*ACK_LOG.names), "acks", batch)
 
     def acks(self) -> DataFrame:
         return self._read("acks", STORED_ACKS).select(*ACK_LOG.names)
 
-    def put_dead_letters(self, rows: DataFrame, source: str, batch_id: int) -> None:
-        self._put(rows, "dead_letter", source, batch_id)
+    def put_dead_letters(self, rows: DataFrame, batch: str) -> None:
+        self._put(rows.select(*DEAD_LETTERS.names[:-1]), "dead_letter", batch)
 
     def dead_letters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/dead_letter")
+        return self._read("dead_letter", DEAD_LETTERS).select(*DEAD_LETTERS.names[:-1])

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from rackpulse.schemas import TELEMETRY_RECORD
 
+# The exporter's columns.
 HEADER = "timestamp,metric_name,gpu_id,device,uuid,modelName,Hostname,container,pod,namespace,value,labels_raw"
 FULL_ROW = (
-    '2025-07-18T20:42:34Z,DCGM_FI_DEV_GPU_UTIL,3,nvidia3,GPU-aaa,NVIDIA H100 80GB HBM3,rack7-host-31,'
-    'box,pod-1,space,42.5,"DCGM_FI_DRIVER_VERSION=""535.129.03"",gpu=""3"""'
+    '2026-02-03T04:05:06Z,BOARD_WATTS,6,accel6,GPU-north-6,Corvid X2 96GB,node-k12,'
+    'trainer,run-88,lab,317.25,"firmware=""9.4.1"",slot=""6"""'
 )
 
 
-def csv_line(uuid="GPU-aaa", value="1", metric="DCGM_FI_DEV_GPU_UTIL", stamp="now", extra=""):
-    return f"{stamp},{metric},0,nvidia0,{uuid},NVIDIA A100 40GB,host-1,,,,{value},x{extra}"
+def csv_line(uuid="GPU-one", value="1", metric="BOARD_WATTS", stamp="now", extra=""):
+    return f"{stamp},{metric},0,accel0,{uuid},Corvid X1 48GB,host-1,,,,{value},x{extra}"
 
 
 def write_csv(folder, *lines, name="part.csv"):
@@ -21,10 +22,10 @@ def write_csv(folder, *lines, name="part.csv"):
     return str(folder)
 
 
-def record(uuid="GPU-aaa", ns=1_000, metric="m", value=1.0, **other):
+def record(uuid="GPU-one", ns=1_000, metric="m", value=1.0, **other):
     row = dict.fromkeys(TELEMETRY_RECORD.names, "")
     row.update(ingested_unix_ns=ns, sample_unix_ns=ns, metric_name=metric, uuid=uuid, value=value,
-               model_name="NVIDIA A100 40GB", **{})
+               model_name="Corvid X1 48GB")
     row.update(other)
     return row
 

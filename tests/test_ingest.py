@@ -7,7 +7,7 @@ from rackpulse.operators.records import check_records, split_rows, with_times
 from rackpulse.operators.routing import known_topics, named_members, owned_by, partition_load, route, tag_partition
 from rackpulse.plans.ingest import produce
 from rackpulse.schemas import TELEMETRY_RECORD
-from rackpulse.sources.csv import read_csv, read_numbered_csv, stream_csv, with_row_numbers
+from rackpulse.sources.csv import read_csv, read_numbered_csv, split_by_form, stream_csv, with_row_numbers
 from rackpulse.sources.log_files import append_log, message_records, read_log
 from rackpulse.sources.replay import replay
 
@@ -19,22 +19,22 @@ def numbered(spark, folder):
 def test_full_row_maps_every_field(spark, tmp_path):
     row = split_rows(numbered(spark, write_csv(tmp_path, FULL_ROW))).good.first()
     assert row.asDict() | {"ingested_unix_ns": 0, "sample_unix_ns": 0} == {
-        "row_num": 0, "ingested_unix_ns": 0, "sample_unix_ns": 0, "metric_name": "DCGM_FI_DEV_GPU_UTIL",
-        "uuid": "GPU-aaa", "gpu_index": "3", "device": "nvidia3", "model_name": "NVIDIA H100 80GB HBM3",
-        "hostname": "rack7-host-31", "container": "box", "pod": "pod-1", "namespace": "space", "value": 42.5,
-        "labels_raw": 'DCGM_FI_DRIVER_VERSION="535.129.03",gpu="3"',
+        "row_num": 0, "ingested_unix_ns": 0, "sample_unix_ns": 0, "metric_name": "BOARD_WATTS",
+        "uuid": "GPU-north-6", "gpu_index": "6", "device": "accel6", "model_name": "Corvid X2 96GB",
+        "hostname": "node-k12", "container": "trainer", "pod": "run-88", "namespace": "lab", "value": 317.25,
+        "labels_raw": 'firmware="9.4.1",slot="6"',
     }
     assert row.ingested_unix_ns == row.sample_unix_ns > 1_700_000_000_000_000_000
 
 
 def test_bad_rows_are_set_aside_and_later_rows_still_arrive(spark, tmp_path, rows_of):
     folder = write_csv(
-        tmp_path, csv_line("GPU-1", "5", stamp="this-is-not-a-date"), csv_line("GPU-2", "not-a-number"),
-        "only,three,columns", csv_line("GPU-3", "6", extra=",more"), csv_line("GPU-4", ""), csv_line("GPU-5", "32768"),
+        tmp_path, csv_line("GPU-1", "5", stamp="some day"), csv_line("GPU-2", "warm"),
+        "only,three,columns", csv_line("GPU-3", "6", extra=",more"), csv_line("GPU-4", ""), csv_line("GPU-5", "4096"),
     )
     split = split_rows(numbered(spark, folder))
     assert rows_of(split.good, "row_num", "uuid", "value", "container", "pod", "namespace") == [
-        (0, "GPU-1", 5.0, "", "", ""), (5, "GPU-5", 32768.0, "", "", "")
+        (0, "GPU-1", 5.0, "", "", ""), (5, "GPU-5", 4096.0, "", "", "")
     ]
     assert rows_of(split.dead_letter, "row_num", "reason", "raw.uuid") == [
         (1, "value", "GPU-2"), (2, "column_count", None), (3, "column_count", "GPU-3"), (4, "value", "GPU-4")
@@ -55,7 +55,7 @@ def test_row_numbers_over_many_splits_and_files(spark, tmp_path):
     try:
         scan = read_csv(spark, str(folder))
         assert scan.rdd.getNumPartitions() > 10
-        got = with_row_numbers(scan).select("row_num", "uuid").orderBy("row_num").collect()
+        got = with_row_numbers([scan]).select("row_num", "uuid").orderBy("row_num").collect()
         assert got == numbered(spark, str(folder)).select("row_num", "uuid").orderBy("row_num").collect()
     finally:
         spark.conf.set(key, usual)
@@ -104,10 +104,10 @@ def test_topic_and_member_names(spark, rows_of):
 
 
 def test_replay_repeats_all_rows_with_new_stamps(spark, tmp_path):
-    folder = write_csv(tmp_path, csv_line("GPU-aaa"), csv_line("GPU-aaa", "2"), csv_line("GPU-bbb"))
+    folder = write_csv(tmp_path, csv_line("GPU-one"), csv_line("GPU-one", "2"), csv_line("GPU-two"))
     fed = replay(numbered(spark, folder), 2, 3, interval_ms=100, start_us=5)
     got = fed.orderBy("stamp_ns").select("uuid", "pass", "row_num", "stamp_ns").collect()
-    assert [r.uuid for r in got] == ["GPU-aaa", "GPU-aaa", "GPU-bbb"] * 2
+    assert [r.uuid for r in got] == ["GPU-one", "GPU-one", "GPU-two"] * 2
     assert [(r["pass"], r.row_num) for r in got] == [(p, n) for p in range(2) for n in range(3)]
     assert [r.stamp_ns for r in got] == [5000 + n * 100_000_000 for n in range(6)]
     assert replay(numbered(spark, folder), 2, 3, interval_ms=0).select("stamp_ns").distinct().count() == 6
@@ -149,4 +149,25 @@ def test_csv_stream_reads_the_same_rows(spark, tmp_path, rows_of):
     run = (stream_csv(spark, folder).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
            .trigger(availableNow=True).start(out))
     assert run.awaitTermination(120)
-    assert rows_of(spark.read.parquet(out)) == rows_of(read_csv(spark, folder))
+    assert rows_of(spark.read.parquet(out).drop("_file")) == rows_of(read_csv(spark, folder))
+
+
+def test_quoted_line_breaks_and_odd_lines(spark, tmp_path, rows_of):
+    long = csv_line("GPU-1")[:-1] + '"first\n\nthird, ""x"""'
+    folder = write_csv(tmp_path / "in", csv_line("GPU-0"), long, "   ", csv_line("GPU-2"), "", csv_line("GPU-3"), name="a.csv")
+    write_csv(tmp_path / "in", csv_line("GPU-4"), csv_line("GPU-5")[:-1] + '"never closed', csv_line("GPU-6"), name="b c.csv")
+    write_csv(tmp_path / "in", csv_line("GPU-7"), name="c.csv")
+    forms = split_by_form(spark, folder)
+    assert [len(held) for held in forms] == [1, 2, 1]
+    assert read_csv(spark, folder).count() == 8
+    rows = numbered(spark, folder)
+    split = split_rows(rows)
+    assert rows_of(split.good, "row_num", "uuid", "labels_raw") == sorted([
+        (0, "GPU-0", "x"), (1, "GPU-1", 'first\n\nthird, "x"'), (3, "GPU-2", "x"), (4, "GPU-3", "x"), (5, "GPU-4", "x"),
+        (7, "GPU-7", "x")], key=repr)
+    assert rows_of(split.dead_letter, "row_num") == [(2,), (6,)]
+
+
+def test_replay_without_passes(spark, tmp_path):
+    folder = write_csv(tmp_path, csv_line(), csv_line())
+    assert replay(numbered(spark, folder), 0, 2).count() == 0

@@ -1,10 +1,10 @@
-import re
-
 from pyspark.sql import functions as F
 
 from helpers import messages, plan_of, record
 from rackpulse.operators import progress
 from rackpulse.operators.numbering import number_rows
+from rackpulse.operators.routing import route
+from rackpulse.schemas import TELEMETRY_RECORD
 from rackpulse.sources.log_files import read_log, to_messages
 
 
@@ -31,11 +31,11 @@ def test_offsets_continue_after_heads(spark, rows_of):
     assert rows_of(progress.assign_offsets(rows, "seq", heads), "seq", "offset") == [(1, 7), (2, 8), (3, 0)]
 
 
-def test_numbering_does_not_depend_on_the_block(spark):
+def test_numbering_does_not_depend_on_the_tasks(spark):
     rows = spark.range(-500, 1500).select((F.col("id") * 7).alias("seq"), F.pmod("id", F.lit(3)).alias("k"))
     want = None
-    for block in (1, 10, 1 << 18):
-        got = {(r.k, r.seq): r.n for r in number_rows(rows, ["k"], "seq", "n", block).collect()}
+    for tasks in (1, 10):
+        got = {(r.k, r.seq): r.n for r in number_rows(rows.repartition(tasks), ["k"], "seq", "n").collect()}
         assert want in (None, got)
         want = got
     for key in range(3):
@@ -43,12 +43,11 @@ def test_numbering_does_not_depend_on_the_block(spark):
         assert [n for _, n in mine] == list(range(len(mine)))
 
 
-def test_a_hot_group_is_spread_over_blocks(spark):
+def test_a_hot_group_is_spread_over_tasks(spark):
     rows = spark.range(100_000).select("id", F.lit(0).alias("k"))
-    numbered = number_rows(rows, ["k"], "id", "n", block=1000)
+    numbered = number_rows(rows, ["k"], "id", "n")
     assert numbered.where("n <> id").count() == 0
-    numbering_window = re.search(r"row_number\(\).*\n.*Sort.*\n.*Exchange (.*)", plan_of(numbered)).group(1)
-    assert "_block" in numbering_window
+    assert "Window" not in plan_of(numbered)
 
 
 def test_heads_tails_and_reading(spark, rows_of):
@@ -110,18 +109,69 @@ def test_envelope(spark):
     again = to_messages(log.select("topic", "partition", "offset", "payload.*"), F.lit(7))
     row = again.first()
     assert (row.topic, row.partition, row.offset, row.headers, row.timestamp_ns) == ("telemetry", 0, 0, {}, 7)
-    assert row.payload.uuid == "GPU-aaa"
+    assert row.payload.uuid == "GPU-one"
 
 
-def test_small_tables_are_broadcast_and_large_ones_are_not(spark):
-    from rackpulse.operators.sizes import broadcast_if_small
+def test_written_sides_are_broadcast_by_their_size(spark):
+    from rackpulse.operators.sizes import written
 
     big = spark.range(1_000_000).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in plan_of(big.join(broadcast_if_small(spark.range(9).toDF("k")), "k"))
+    side = spark.range(100_000).groupBy((F.col("id") % 9).alias("k")).count()
+    assert "BroadcastHashJoin" in plan_of(big.join(written(side), "k"))
     usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
     try:
-        side = broadcast_if_small(spark.range(50).toDF("k"), most=49)
-        assert "SortMergeJoin" in plan_of(big.join(side, "k"))
+        assert "SortMergeJoin" in plan_of(big.join(written(side), "k"))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_no_row_is_lost_in_numbering(spark, rows_of):
+    rows = spark.createDataFrame(
+        [("a", 5), ("a", None), (None, 7), (None, None), ("a", -(1 << 60)), ("b", 1 << 60)], "k string, at bigint")
+    assert rows_of(number_rows(rows, ["k"], "at", "n")) == sorted([
+        ("a", None, 0), ("a", -(1 << 60), 1), ("a", 5, 2), (None, None, 0), (None, 7, 1), ("b", 1 << 60, 0)], key=repr)
+    assert number_rows(rows.limit(0), ["k"], "at", "n").count() == 0
+
+
+def test_routing_accounts_for_every_row(spark, rows_of):
+    rows = spark.createDataFrame(
+        [("t", -1, 3), (None, -1, 4), ("t", -1, None), ("t", 2, None), ("t", 99, 1), ("t", None, 2), ("t", -1, 9)],
+        "topic string, partition int, at bigint")
+    split = route(rows, 10, "at")
+    assert rows_of(split.good) == sorted([("t", 0, 3), ("t", 1, 9), ("t", 2, None)], key=repr)
+    assert rows_of(split.dead_letter, "at", "reason") == sorted([
+        (4, "topic_missing"), (None, "arrival_missing"), (1, "partition_unknown"), (2, "partition_unknown")], key=repr)
+
+
+def test_sparse_arrival_is_numbered_in_many_tasks(spark):
+    rows = spark.range(20_000).select(F.lit("t").alias("k"), (F.col("id") * 1_000_000_007).alias("at"))
+    numbered = number_rows(rows, ["k"], "at", "n")
+    assert numbered.where(F.col("n") * 1_000_000_007 == F.col("at")).count() == 20_000
+    assert "Window" not in plan_of(numbered)
+
+
+def test_appends_read_the_manifest_and_not_the_log(spark, tmp_path, rows_of):
+    from rackpulse.sources.log_files import append_log, manifest_heads
+
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("t", 0, i) for i in range(5)], "topic string, partition int, at bigint")
+    rows = rows.join(spark.createDataFrame([tuple(record()[n] for n in TELEMETRY_RECORD.names)], TELEMETRY_RECORD))
+    for _ in range(2):
+        append_log(rows, log, "at")
+    assert rows_of(manifest_heads(spark, log)) == [("t", 0, 10)]
+    assert rows_of(read_log(spark, log), "offset") == sorted([(n,) for n in range(10)], key=repr)
+    assert all("/log_heads/" in name for name in manifest_heads(spark, log).inputFiles())
+
+
+def test_resume_skips_old_segments(spark, tmp_path, rows_of):
+    from rackpulse.schemas import SEGMENT
+    from rackpulse.sources.log_files import write_log
+
+    log = str(tmp_path / "log")
+    write_log(spark.createDataFrame([("t", p, o) for p in (0, 1) for o in (1, SEGMENT + 1)], "topic string, partition int, offset bigint"), log)
+    stored = spark.read.parquet(log)
+    commits = spark.createDataFrame([("t", "g", 0, SEGMENT)], "topic string, consumer_group string, partition int, committed bigint")
+    left = progress.resume(stored, commits, "t", "g")
+    assert rows_of(left, "partition", "offset") == sorted([(0, SEGMENT + 1), (1, 1), (1, SEGMENT + 1)], key=repr)
+    assert "segment" in plan_of(left).split("PartitionFilters: [")[1].split("]")[0]

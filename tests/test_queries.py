@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import plan_of
-from rackpulse.operators.paging import sample_page
+from rackpulse.operators.paging import page, sample_page
+from rackpulse.operators.sizes import written
 from rackpulse.plans import queries
 from rackpulse.plans.params import GpuFilter, TelemetryFilter
 from rackpulse.schemas import GPUS, TELEMETRY_SAMPLES
@@ -15,7 +16,7 @@ T0 = datetime(2026, 5, 1, 12)
 @pytest.fixture(scope="module")
 def gpus(spark):
     rows = [(f"GPU-{n:02d}", None if n == 3 else "0", "nvidia0",
-             "NVIDIA H100 80GB HBM3" if n < 12 else "NVIDIA A100 40GB", None if n % 5 == 0 else f"Host-{n}", T0, T0)
+             "Corvid H100 80GB HBM3" if n < 12 else "Corvid A100 40GB", None if n % 5 == 0 else f"Host-{n}", T0, T0)
             for n in range(16)]
     return spark.createDataFrame(rows, GPUS)
 
@@ -37,7 +38,7 @@ def ids(df):
 
 def test_models(gpus):
     assert [tuple(r) for r in queries.count_models(gpus).collect()] == [
-        ("NVIDIA H100 80GB HBM3", 12), ("NVIDIA A100 40GB", 4)
+        ("Corvid H100 80GB HBM3", 12), ("Corvid A100 40GB", 4)
     ]
 
 
@@ -52,7 +53,12 @@ def test_gpu_filters(gpus):
     assert uuids(queries.list_gpus(gpus, GpuFilter(model_name="a100", hostname="host"))) == ["GPU-12", "GPU-13", "GPU-14"]
     assert uuids(queries.list_gpus(gpus, GpuFilter(limit=2, offset=3))) == ["GPU-03", "GPU-04"]
     assert uuids(queries.list_gpus(gpus, GpuFilter(offset=99))) == []
-    assert len(uuids(queries.list_gpus(gpus, GpuFilter(limit=0, offset=-1)))) == 16
+    for wrong in (GpuFilter(limit=0), GpuFilter(offset=-1), GpuFilter(offset=3_000_000_000)):
+        with pytest.raises(ValueError, match="limit|offset"):
+            queries.list_gpus(gpus, wrong)
+    for offset in (0, 3, 12, 16):
+        want = uuids(queries.list_gpus(gpus, GpuFilter(limit=5, offset=offset)))
+        assert uuids(page(gpus, ["uuid"], 5, offset, shallow=2)) == want
     assert len(uuids(queries.list_all_gpus(gpus))) == 16
 
 
@@ -88,15 +94,27 @@ def test_search(samples, gpus):
     both = TelemetryFilter(model_name="a100", metric_name="util", uuid="GPU-13", end=T0 + timedelta(seconds=10))
     assert ids(queries.search_samples(samples, gpus, both)) == [13, 29]
     assert ids(queries.search_samples(samples, gpus, TelemetryFilter(limit=3, offset=5))) == [5, 6, 7]
-    assert len(ids(queries.search_samples(samples, gpus, TelemetryFilter(limit=0)))) == 100
+    with pytest.raises(ValueError, match="limit"):
+        queries.search_samples(samples, gpus, TelemetryFilter(limit=1 << 31))
+    orphans = queries.search_samples(samples, gpus.where("uuid < 'GPU-02'"), TelemetryFilter(limit=500))
+    assert ids(orphans) == [n for n in range(160) if n % 16 < 2]
     assert ids(queries.search_samples(samples, gpus, TelemetryFilter(model_name="none"))) == []
 
 
 def test_search_plan(samples, gpus):
+    gpus = written(gpus)
     plan = plan_of(queries.search_samples(samples, gpus, TelemetryFilter(model_name="h100")))
     assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert "Exchange hashpartitioning" not in plan
-    assert "Join" not in plan_of(queries.search_samples(samples, gpus, TelemetryFilter(metric_name="util")))
+    assert "LeftSemi" in plan_of(queries.search_samples(samples, gpus, TelemetryFilter(metric_name="util")))
+
+
+def test_pages_put_rows_without_a_time_last(spark):
+    rows = spark.createDataFrame([(i, T0 + timedelta(seconds=i) if i % 3 else None) for i in range(30)], "id bigint, sample_at timestamp")
+    want = [i for i in range(30) if i % 3] + [i for i in range(30) if i % 3 == 0]
+    for offset in (0, 7, 17, 19, 20, 25, 29, 30):
+        for shallow in (100, 4):
+            assert ids(sample_page(rows, 4, offset, shallow=shallow)) == want[offset:offset + 4]
 
 
 @pytest.mark.parametrize("limit, offset", [(10, 0), (7, 30), (50, 100), (30, 150), (10, 159), (10, 160), (10, 5000)])

@@ -137,3 +137,48 @@ def test_empty_tables_read_as_no_rows(spark, tmp_path):
     assert tables.devices().count() == tables.samples().count() == tables.acks().count() == 0
     counts = {r.table_name: r.row_count for r in merge.table_counts(tables.devices(), tables.samples()).collect()}
     assert counts == {"gpus": 0, "telemetry_samples": 0}
+
+
+def test_batches_of_two_checkpoints_keep_each_other(spark, tmp_path, rows_of):
+    tables = tables_in(spark, tmp_path)
+    apply_batch(tables, messages(spark, [(0, 0, record("GPU-1", MAY)), (0, 1, None)]), "g", 1)
+    tables.compact_devices()
+    # A new checkpoint numbers its batches from 0 again.
+    apply_batch(tables, messages(spark, [(1, 0, record("GPU-2", MAY)), (1, 1, None)]), "g", 0)
+    apply_batch(tables, messages(spark, [(2, 0, record("GPU-3", MAY))]), "g", 0)
+    assert rows_of(tables.devices(), "uuid") == [("GPU-1",), ("GPU-2",), ("GPU-3",)]
+    assert rows_of(tables.acks(), "partition") == [(0,), (1,), (2,)]
+    assert rows_of(tables.dead_letters(), "partition", "offset") == [(0, 1), (1, 1)]
+    tables.compact_devices()
+    assert rows_of(tables.devices(), "uuid") == [("GPU-1",), ("GPU-2",), ("GPU-3",)]
+
+
+def test_compacted_batches_are_not_read(spark, tmp_path):
+    tables = tables_in(spark, tmp_path)
+    apply_batch(tables, messages(spark, [(0, 0, record("GPU-1", MAY))]), "g", 0)
+    tables.compact_devices()
+    apply_batch(tables, messages(spark, [(0, 1, record("GPU-2", MAY))]), "g", 1)
+    filters = [part.split("]")[0] for part in plan_of(tables.device_states()).split("PartitionFilters: [")[1:]]
+    assert any("batch" in held for held in filters)
+    read = tables.device_states().inputFiles()
+    assert sum("gpus/changes" in name for name in read) == 1
+
+
+def test_two_topics_have_ids_of_their_own(spark, tmp_path, rows_of):
+    tables = tables_in(spark, tmp_path)
+    for topic in ("b", "a", "b"):
+        rows = [(p, o, record(f"GPU-{topic}", MAY + (10 * o + p) * 1000)) for o in range(4) for p in range(2)]
+        apply_batch(tables, messages(spark, rows, topic), "g", 0)
+    assert tables.samples().count() == tables.samples().select("id").distinct().count() == 16
+
+
+def test_messages_without_a_place_are_set_aside(spark, tmp_path, rows_of):
+    tables = tables_in(spark, tmp_path)
+    rows = messages(spark, [(0, 0, record("GPU-1", MAY)), (10, 0, record("GPU-2", MAY)), (None, 1, record("GPU-3", MAY))])
+    apply_batch(tables, rows.unionByName(messages(spark, [(0, 5, record("GPU-4", MAY))], None)), "g", 0)
+    assert rows_of(tables.samples(), "uuid") == [("GPU-1",)]
+    assert rows_of(tables.dead_letters(), "payload.uuid", "reason") == [("GPU-2", "place"), ("GPU-3", "place"), ("GPU-4", "place")]
+
+
+def test_dead_letters_of_empty_tables(spark, tmp_path):
+    assert tables_in(spark, tmp_path).dead_letters().count() == 0

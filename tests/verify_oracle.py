@@ -6,6 +6,7 @@ Usage: python tests/verify_oracle.py [table folder] [name part ...]
 from __future__ import annotations
 
 import pathlib
+import os
 import sys
 import time
 
@@ -56,7 +57,7 @@ def check(spark, con, sf_dir: str, name: str) -> str:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = build_session("verify", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    spark = build_session("verify", f"local[{os.environ.get("VERIFY_CPUS", "8")}]", **{"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -116,66 +117,109 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield np.empty(0, _U64)
 
 
-def bucket_members(rows: DataFrame) -> DataFrame:
-    """Members of all buckets that hold at least two nodes.
+class Buckets(NamedTuple):
+    """What the buckets with at least two nodes say.
 
-    ``rows`` has ``band``, ``key``, ``node`` and ``weight``, a node once per bucket.
-    Adds the bucket's size and its leader, the node with the smallest hash in that
-    band, so that a large group has other leaders in other bands. Counting combines
-    before the shuffle and the join may be split where a bucket is hot.
+    ``pairs`` are the two nodes of each bucket that holds just two; ``members`` are the
+    rows of the larger ones, with the bucket's size and its leader.
     """
-    order = F.struct(F.xxhash64("node", "band").alias("draw"), F.col("node"), F.col("weight"))
-    buckets = (
-        rows.groupBy("band", "key").agg(F.count("*").alias("held"), F.min(order).alias("lead"))
-        .where("held > 1")
-        .select("band", "key", "held", F.col("lead.node").alias("leader"), F.col("lead.weight").alias("leader_weight"))
+
+    pairs: DataFrame
+    members: DataFrame
+
+
+def buckets_of(rows: DataFrame) -> Buckets:
+    """Group ``rows`` (``band``, ``key``, ``node``, ``weight``; a node once per bucket) by band and key.
+
+    A bucket is named by a hash of both. Counting combines before the shuffle and keeps
+    three numbers per bucket, so buckets of one or two nodes, which are nearly all, are
+    settled by that one narrow shuffle. Only the larger ones are looked up again, by a
+    broadcast of their names if their count allows. The leader is the node with the
+    smallest hash in its bucket, so a large group has other leaders in other bands.
+    """
+    named = rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "weight")
+    held = stored(
+        named.groupBy("bucket").agg(F.count("*").alias("held"), F.min("node").alias("a"), F.max("node").alias("b"))
+        .where("held > 1"),
+        "buckets",
+    )
+    large = held.where("held > 2").select("bucket", "held")
+    members = stored(named.join(small_side(large, large.count()), "bucket"), "members")
+    lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "weight")).alias("lead"))
+    led = members.join(lead, "bucket").select(
+        "bucket", "node", "weight", "held", F.col("lead.node").alias("leader"), F.col("lead.weight").alias("leader_weight")
     )
-    return rows.join(buckets, ["band", "key"])
+    return Buckets(held.where("held = 2 and a < b").select("a", "b").distinct(), stored(led, "members"))
 
 
-def first_pairs(members: DataFrame, fits) -> DataFrame:
+def first_pairs(buckets: Buckets, weights: DataFrame, fits) -> DataFrame:
     """Candidate pairs ``a < b``: all pairs of small buckets, leader pairs of large ones.
 
-    ``fits(left, right)`` says whether two weights can belong to a match at all. The
-    pairs grow in proportion to the members.
+    ``weights`` maps ``node`` to ``weight``; ``fits(left, right)`` says whether two weights
+    can belong to a match at all. The pairs grow in proportion to the members.
     """
+    members = buckets.members
+    left = weights.select(F.col("node").alias("a"), F.col("weight").alias("weight_a"))
+    right = weights.select(F.col("node").alias("b"), F.col("weight").alias("weight_b"))
+    twos = buckets.pairs.join(left, "a").join(right, "b").where(
+        fits(F.col("weight_a"), F.col("weight_b"))
+    ).select("a", "b")
     led = members.where((F.col("held") > SMALL_BUCKET) & (F.col("node") != F.col("leader"))).where(
         fits(F.col("weight"), F.col("leader_weight"))
     ).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    small = members.where(F.col("held") <= SMALL_BUCKET).select("band", "key", "node", "weight")
-    other = small.select("band", "key", F.col("node").alias("other"), F.col("weight").alias("other_weight"))
-    paired = small.join(other, ["band", "key"]).where(F.col("node") < F.col("other")).where(
+    small = members.where(F.col("held") <= SMALL_BUCKET).select("bucket", "node", "weight")
+    other = small.select("bucket", F.col("node").alias("other"), F.col("weight").alias("other_weight"))
+    paired = small.join(other, "bucket").where(F.col("node") < F.col("other")).where(
         fits(F.col("weight"), F.col("other_weight"))
     ).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    return led.unionByName(paired).distinct()
+    return twos.unionByName(led).unionByName(paired).distinct()
 
 
-def stray_pairs(members: DataFrame, groups: DataFrame, fits) -> DataFrame:
+def stray_pairs(buckets: Buckets, groups: DataFrame, fits) -> DataFrame:
     """The pairs of large buckets that can still join two groups.
 
     ``groups`` maps ``node`` to ``root`` after the first pairs were verified. Where a
     member is not in its leader's group, it is paired with all members of the bucket
     that are in another group than its own. Pairs inside a group change nothing.
     """
-    large = members.where(F.col("held") > SMALL_BUCKET)
+    large = buckets.members.where(F.col("held") > SMALL_BUCKET)
     of_leader = groups.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
     placed = (
         large.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
         .join(of_leader, "leader", "left")
         .withColumn("leader_root", F.coalesce("leader_root", "leader"))
-        .select("band", "key", "node", "weight", "root", "leader_root")
+        .select("bucket", "node", "weight", "root", "leader_root")
     )
     stray = placed.where("root != leader_root").select(
-        "band", "key", F.col("node").alias("stray"), F.col("weight").alias("stray_weight"),
-        F.col("root").alias("stray_root"),
+        "bucket", F.col("node").alias("stray"), F.col("weight").alias("stray_weight"), F.col("root").alias("stray_root"),
     )
     return (
-        stray.join(placed, ["band", "key"]).where(F.col("root") != F.col("stray_root"))
+        stray.join(placed, "bucket").where(F.col("root") != F.col("stray_root"))
         .where(fits(F.col("weight"), F.col("stray_weight")))
         .select(F.least("node", "stray").alias("a"), F.greatest("node", "stray").alias("b")).distinct()
     )
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of some pairs, as ``node``."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def linked_groups(buckets: Buckets, weights: DataFrame, fits, check, name: str) -> tuple[DataFrame, DataFrame]:
+    """Verified edges and the groups they connect.
+
+    ``check(pairs, nodes)`` returns the pairs that hold; ``nodes`` are their ends.
+    """
+    pairs = stored(first_pairs(buckets, weights, fits), "pairs")
+    edges = stored(check(pairs, ends(pairs)), "links")
+    groups = connected(edges, name)
+    more = stored(stray_pairs(buckets, groups, fits).join(pairs, ["a", "b"], "left_anti"), "strays")
+    if more.head(1):
+        edges = stored(edges.unionByName(check(more, ends(more))), "links")
+        groups = connected(edges, name)
+    return edges, groups
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """``node`` -> ``root``, the smallest node it is connected with; only nodes with an edge.
 

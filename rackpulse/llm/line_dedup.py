@@ -11,9 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import (
-    bucket_members, connected, first_pairs, mix64, sized_words, small_side, stored, stray_pairs,
-)
+from rackpulse.llm.common import buckets_of, linked_groups, mix64, sized_words, small_side, stored
 
 # Lines with fewer words than the first bound are never removed, lines with fewer than
 # the second are only compared for equality.
@@ -241,24 +239,19 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distanc
     masks = block_keys(choose_blocks(fuzzy.count(), distance), distance)
     signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
     keys = F.array(*(F.col("simhash").bitwiseAND(F.lit(mask)) for mask in signed))
-    members = stored(bucket_members(
-        fuzzy.select("node", F.struct("simhash", "chars").alias("weight"), F.posexplode(keys).alias("band", "key"))
-    ), "buckets")
+    weight = F.struct("simhash", "chars").alias("weight")
 
     def fits(left, right):
         longer = F.greatest(left["chars"], right["chars"])
         apart = F.bit_count(left["simhash"].bitwiseXOR(right["simhash"]))
         return (F.least(left["chars"], right["chars"]) >= longer * similarity) & (apart <= FARTHEST)
 
-    pairs = stored(first_pairs(members, fits), "pairs")
-    some = members.select("node").distinct()
-    wanted = stored(nodes.join(some, "node", "left_semi").select("node", "place.*"), "places")
-    texts = stored(line_texts(docs, wanted, wanted.count()), "texts")
-    edges = stored(verified(pairs, texts, similarity), "links")
-    groups = connected(edges, "groups")
-    more = stored(stray_pairs(members, groups, fits).join(pairs, ["a", "b"], "left_anti"), "strays")
-    if more.head(1):
-        groups = connected(edges.unionByName(verified(more, texts, similarity)), "groups")
+    def check(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+        wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "place.*"), "places")
+        return verified(pairs, stored(line_texts(docs, wanted, wanted.count()), "texts"), similarity)
+
+    rows = fuzzy.select("node", weight, F.posexplode(keys).alias("band", "key"))
+    _, groups = linked_groups(buckets_of(rows), fuzzy.select("node", weight), fits, check, "groups")
     grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("place").alias("keep"), F.sum("uses").alias("uses")).where("uses > 1")
     kept = stored(grouped.select("node", "root").join(first, "root").select("node", "keep"), "kept")

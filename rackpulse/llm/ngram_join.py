@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import (
-    bucket_members, connected, first_pairs, mix64, shingle_sets, small_side, stored, stray_pairs,
-)
+from rackpulse.llm.common import buckets_of, linked_groups, mix64, shingle_sets, small_side, stored
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 128
 
@@ -141,23 +139,22 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     sketched = stored(sketches(docs, width, bands, rows), "sketches")
     alike = ["grams", "digest_a", "digest_b"]
-    copies = (
+    copies = stored(
         sketched.where("grams > 0 and doc_id is not null").groupBy(*alike)
-        .agg(F.min("doc_id").alias("copy_id"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("copy_id"), F.first("keys").alias("keys")),
+        "copies",
     )
     spread = copies.select(
         F.col("copy_id").alias("node"), F.col("grams").alias("weight"), F.posexplode("keys").alias("band", "key")
     )
-    members = stored(bucket_members(spread.dropDuplicates(["band", "key", "node"])), "buckets")
-    pairs = stored(first_pairs(members, fits), "pairs")
-    nodes = members.select("node").distinct()
-    sets = stored(gram_sets(docs, nodes, nodes.count(), width), "grams")
-    edges = stored(verified(pairs, sets, threshold), "links")
-    groups = connected(edges, "groups")
-    more = stored(stray_pairs(members, groups, fits).join(pairs, ["a", "b"], "left_anti"), "strays")
-    if more.head(1):
-        edges = stored(edges.unionByName(verified(more, sets, threshold)), "links")
-        groups = connected(edges, "groups")
+    weights = copies.select(F.col("copy_id").alias("node"), F.col("grams").alias("weight")).dropDuplicates(["node"])
+
+    def check(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        nodes = stored(nodes, "nodes")
+        return verified(pairs, stored(gram_sets(docs, nodes, nodes.count(), width), "grams"), threshold)
+
+    buckets = buckets_of(spread)
+    edges, groups = linked_groups(buckets, weights, fits, check, "groups")
     linked = edges.select(F.col("a").alias("copy_id")).unionByName(edges.select(F.col("b").alias("copy_id")))
     known = (
         groups.select(F.col("node").alias("copy_id"), "root")

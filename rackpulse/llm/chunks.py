@@ -62,66 +62,75 @@ def cut_points(raw: np.ndarray, least: int = LEAST, bits: int = MASK_BITS, most:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    """``doc_id``, text, and the key of the document: its id, or a hash of its text where that is null."""
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("doc"),
         F.col("text").cast("string").alias("text"),
     )
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Every chunk: its document, number and bytes, the words that begin in it, its digest."""
-    schema = ("doc_id bigint, text_key bigint, number int, start bigint, stop bigint, words int, "
-              "digest_a bigint, digest_b bigint")
+def digests(text: bytes, ends: list[int]) -> np.ndarray:
+    """64-bit digests of the chunks of a text."""
+    found = b"".join(xxhash.xxh3_64_digest(text[a:b]) for a, b in zip([0, *ends], ends))
+    return np.frombuffer(found, np.int64)
+
 
+def chunked(docs: DataFrame) -> DataFrame:
+    """``digest`` and ``doc`` of every different chunk of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 500):
                 batch = whole.slice(low, 500)
-                rows, stops, words, digests = [], [], [], []
-                for text in batch.column(2).cast(pa.binary()).to_pylist():
-                    raw = np.frombuffer(text or b"", np.uint8)
-                    ends = cut_points(raw)
-                    rows.append(len(ends))
-                    if not ends:
-                        continue
-                    blank = _BLANK[raw]
-                    begins = np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))
-                    stops.append(np.array(ends, np.int64))
-                    words.append(np.diff(begins[stops[-1] - 1], prepend=0))
-                    digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                count = np.array(rows, np.int64)
-                if not count.sum():
-                    continue
-                owner = pa.array(np.repeat(np.arange(len(rows)), count))
-                stop = np.concatenate(stops)
-                first = np.cumsum(count) - count
-                number = np.arange(len(stop)) - np.repeat(first, count)
-                start = np.where(number == 0, 0, np.concatenate([[0], stop[:-1]]))
-                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(owner), batch.column(1).take(owner), pa.array(number.astype(np.int32)),
-                    pa.array(start), pa.array(stop), pa.array(np.concatenate(words).astype(np.int32)),
-                    pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
-                ], ["doc_id", "text_key", "number", "start", "stop", "words", "digest_a", "digest_b"])
-
-    return _documents(docs).mapInArrow(run, schema)
+                found = []
+                for text in batch.column("text").cast(pa.binary()).to_pylist():
+                    found.append(np.unique(digests(text or b"", cut_points(np.frombuffer(text or b"", np.uint8)))))
+                owner = np.repeat(np.arange(len(found)), np.array([len(held) for held in found], np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found)), batch.column("doc").take(pa.array(owner))], ["digest", "doc"]
+                )
+
+    return _documents(docs).mapInArrow(run, "digest bigint, doc bigint")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Per document (``doc_id``, ``text_key``) its chunks that stand elsewhere too.
+    """Per document (``doc``) the chunks that other documents hold too.
 
-    ``chunks`` is an array of number, start, stop, words and ``later``: whether the
-    chunk stood before, in the order of document and chunk. Counting combines before
-    the shuffle; a chunk that many documents share is split in the join.
+    ``chunks`` is an array of digest and ``own``: whether the document is the first of
+    those that hold it. Two numbers per chunk go through the shuffles. Counting combines
+    before them; a chunk that many documents share is split in the join.
     """
     found = stored(chunked(docs), "chunks")
-    place = F.struct("doc_id", "text_key", "number")
-    shared = found.groupBy("digest_a", "digest_b").agg(F.count("*").alias("uses"), F.min(place).alias("first")).where(
-        "uses > 1"
-    ).select("digest_a", "digest_b", "first")
-    joined = found.join(shared, ["digest_a", "digest_b"])
-    chunk = F.struct("number", "start", "stop", "words", (place != F.col("first")).alias("later"))
-    return joined.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(chunk)).alias("chunks"))
+    shared = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(
+        F.col("first") < F.col("last")
+    ).select("digest", "first")
+    chunk = F.struct("digest", (F.col("doc") == F.col("first")).alias("own"))
+    return found.join(shared, "digest").groupBy("doc").agg(F.collect_set(chunk).alias("chunks"))
+
+
+def placed_chunks(text: bytes, chunks: list[dict]) -> list[dict]:
+    """The chunks of a text that stand elsewhere too, with their bytes and words.
+
+    ``later`` says whether the chunk stood before, in an earlier document or in this one.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    ends = cut_points(raw)
+    if not ends:
+        return []
+    held = digests(text, ends)
+    different, first, uses = np.unique(held, return_index=True, return_counts=True)
+    several = set(different[uses > 1].tolist())
+    first = dict(zip(different.tolist(), first.tolist(), strict=True))
+    elsewhere = {chunk["digest"]: chunk["own"] for chunk in chunks}
+    blank = _BLANK[raw]
+    begins = np.cumsum(~blank & np.concatenate([[True], blank[:-1]]))
+    words = np.diff(begins[np.array(ends) - 1], prepend=0).tolist()
+    return [
+        {"number": number, "start": start, "stop": stop, "words": words[number],
+         "later": not elsewhere.get(digest, True) or first[digest] != number}
+        for number, (start, stop, digest) in enumerate(zip([0, *ends[:-1]], ends, held.tolist(), strict=True))
+        if digest in elsewhere or digest in several
+    ]
 
 
 def passages(chunks: list[dict], least_words: int, later: bool) -> list[dict]:
@@ -150,19 +159,21 @@ def dedup_substrings(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Dat
     """Per row of ``docs`` its repeated passages and its text without those that stood before.
 
     ``shared`` are the byte spans of passages that stand elsewhere too, ``later`` those
-    that stood before, in the order of id, text and place; ``text`` lacks the latter.
+    that stood before, in the order of id and place; ``text`` lacks the latter.
     ``n_repeated`` counts the chunks that stand elsewhere. Cuts depend on the sixteen
-    bytes before them, so after an insertion the chunks soon agree again.
+    bytes before them, so after an insertion the chunks soon agree again. Chunks are told
+    apart by 64 bits; a passage is at least three of them, so chance makes none.
 
-    A null text gives an empty one without passages. Null ids order first and are kept.
-    Rows with the same id and text are one document and stay alike. Further columns are
-    not read; an empty table gives no rows.
+    A null text gives an empty one without passages. A row with a null id is kept and
+    ordered by a hash of its text. Rows with the same id, or with a null id and the same
+    text, are one document: what only they share stays. Further columns are not read; an
+    empty table gives no rows.
     """
     rows = _documents(docs).alias("d")
     found = repeated_chunks(docs).alias("c")
-    joined = rows.join(
-        found, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")), "left"
-    ).select("d.doc_id", F.col("d.text").alias("text"), F.col("c.chunks").alias("chunks"))
+    joined = rows.join(found, "doc", "left").select(
+        F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("c.chunks").alias("chunks")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,7 +182,8 @@ def dedup_substrings(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> Dat
                 out: list[tuple] = []
                 texts = batch.column(1).cast(pa.binary()).to_pylist()
                 for text, chunks in zip(texts, batch.column(2).to_pylist(), strict=True):
-                    text, chunks = text or b"", chunks or []
+                    text = text or b""
+                    chunks = placed_chunks(text, chunks or [])
                     shared, later = passages(chunks, passage_words, False), passages(chunks, passage_words, True)
                     kept, at = [], 0
                     for span in later:

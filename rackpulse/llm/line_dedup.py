@@ -186,9 +186,9 @@ def within(one: str, other: str, most: int) -> bool | None:
         return False
     if alignment_cost(one.split(" "), other.split(" ")) <= most:
         return True
-    # Every edit changes the counts of the characters by at most one surplus on each side.
-    left, right = Counter(one), Counter(other)
-    if max((left - right).total(), (right - left).total()) > most:
+    # An edit takes at most two pairs of neighbouring characters away and adds at most two.
+    left, right = Counter(zip(one, one[1:])), Counter(zip(other, other[1:]))
+    if max((left - right).total(), (right - left).total()) > 2 * most:
         return False
     return None
 
@@ -251,7 +251,7 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distanc
         return verified(pairs, stored(line_texts(docs, wanted, wanted.count()), "texts"), similarity)
 
     rows = fuzzy.select("node", weight, F.posexplode(keys).alias("band", "key"))
-    _, groups = linked_groups(buckets_of(rows), fuzzy.select("node", weight), fits, check, "groups")
+    _, groups = linked_groups(buckets_of(rows, "simhash", FARTHEST), fuzzy.select("node", weight), fits, check, "groups")
     grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("place").alias("keep"), F.sum("uses").alias("uses")).where("uses > 1")
     kept = stored(grouped.select("node", "root").join(first, "root").select("node", "keep"), "kept")

@@ -33,10 +33,10 @@ class Shape(NamedTuple):
 
 
 class Training(NamedTuple):
-    """Rounds over the corpus; in each, every ``stride``-th token of all documents is predicted."""
+    """Rounds over the corpus; in each, every ``stride``-th token of all documents is predicted: by default every one."""
 
     rounds: int = 2
-    stride: int = 8
+    stride: int = 1
     batch: int = 4096
     rate: float = 0.01
 
@@ -217,13 +217,18 @@ class Model(NamedTuple):
     shape: Shape
 
 
+def targets(number: int, words: int, how: Training) -> np.ndarray:
+    """The places predicted in a round, out of ``words``; mixed, as neighbouring tokens would make like batches."""
+    return np.random.default_rng(words).permutation(np.arange(number % how.stride, words, how.stride))
+
+
 def train(docs: DataFrame, shape: Shape = Shape(), how: Training = Training()) -> Model:
     """Fit the network on all documents.
 
     A round starts every partition from the same network; each fits it to its own
     documents, and the mean of the results, weighed by the tokens used, starts the next
     round. The sums run as a grouping by parameter, so the driver sees one network a
-    round. The tokens used are a fixed share of all tokens.
+    round. By default every round predicts every token of all documents.
     """
     counts = stored(word_counts(docs), "words")
     top = counts.orderBy(F.desc("held"), "word").limit(shape.common).collect()
@@ -248,9 +253,7 @@ def _round(docs: DataFrame, model: Model, how: Training, number: int) -> np.ndar
         for batch in _parts(batches):
             words, first = word_hashes(batch.column(1).to_pylist())
             classes = vocabulary.classes(words)
-            at = np.arange(number % how.stride, len(words), how.stride)
-            # Neighbouring tokens would make like batches.
-            at = np.random.default_rng(len(words)).permutation(at)
+            at = targets(number, len(words), how)
             seen.append(contexts(classes, first, at, shape))
             target.append(classes[at])
             waiting += len(at)

@@ -88,6 +88,13 @@ def test_held_out_texts_beat_word_frequencies_and_shuffled_texts(spark):
     assert (logs > other).all()
 
 
+def test_every_token_is_predicted_by_default():
+    how = Training()
+    for words in (0, 1, 7, 1001):
+        for number in range(how.rounds):
+            assert sorted(lm_score.targets(number, words, how)) == list(range(words))
+
+
 def test_odd_rows(spark):
     docs = corpus.clashing(corpus.odd_documents(spark))
     got = lm_score.score(docs).collect()

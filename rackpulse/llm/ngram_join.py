@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import buckets_of, linked_groups, mix64, shingle_sets, small_side, stored
+from rackpulse.llm.common import SMALL_BUCKET, buckets_of, linked_groups, mix64, shingle_sets, small_side, stored
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 128
+# A class is counted in blocks of about so many nodes, and of about so many n-grams.
+BLOCK, BLOCK_GRAMS = 256, 250_000
 
 _U64 = np.uint64
 
@@ -110,8 +112,86 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def shared_counts(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the first list shares with each of the second."""
+    both = [*one, *other]
+    sizes = np.array([len(held) for held in both], np.int64)
+    out = np.zeros((len(one), len(other)), np.float64)
+    if not sizes.sum():
+        return out
+    _, column, uses = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    # A value of a single set is shared by none.
+    often = uses > 1
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(often.sum()), 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        held = np.zeros((len(both), 4096), np.float32)
+        held[row[part], column[part] - low] = 1
+        out += held[:len(one)] @ held[len(one):].T
+    return out
+
+
+def alike(one: list[np.ndarray], other: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of two lists have at least ``threshold`` Jaccard similarity."""
+    shared = shared_counts(one, other)
+    left, right = (np.array([len(held) for held in some], np.float64) for some in (one, other))
+    return shared / np.maximum(left[:, None] + right - shared, 1) >= threshold
+
+
+def counted_links(docs: DataFrame, members: DataFrame, groups: DataFrame, weights: DataFrame, width: int,
+                  threshold: float) -> DataFrame | None:
+    """``node`` and its number of links, for all classes with nodes of large buckets; None if there are none.
+
+    There the candidates were not all pairs, so all pairs of the class are compared: its
+    nodes are dealt to blocks by a hash, each pair of blocks is one task's work, and a
+    task gives one count per node. The rows sent are a node's n-grams once per block of
+    its class.
+    """
+    large = members.where(F.col("held") > SMALL_BUCKET).select("node").distinct().withColumn("large", F.lit(True))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("weight") / BLOCK_GRAMS)).cast("int")
+    classes = stored(
+        groups.join(weights, "node").join(large, "node", "left").groupBy("root")
+        .agg(blocks.alias("blocks"), F.max("large").alias("large")).where("large").select("root", "blocks"),
+        "classes",
+    )
+    count = classes.count()
+    if not count:
+        return None
+    placed = stored(groups.join(small_side(classes, count), "root").select("node", "root", "blocks"), "placed")
+    sets = gram_sets(docs, placed.select("node"), placed.count(), width)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = placed.join(sets, "node").withColumn("block", block).select(
+        "root", "node", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        grams = table.column("grams").combine_chunks()
+        ends, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+        sets = [values[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        links = alike([sets[at] for at in first], [sets[at] for at in second], threshold)
+        if low == high:
+            np.fill_diagonal(links, False)
+            held, counts = node[first], links.sum(axis=1)
+        else:
+            held = np.concatenate([node[first], node[second]])
+            counts = np.concatenate([links.sum(axis=1), links.sum(axis=0)])
+        return pa.table({"node": pa.array(held, pa.int64()), "links": pa.array(counts, pa.int64())})
+
+    pairs = dealt.select(
+        "root", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "grams"
+    )
+    found = pairs.groupBy("root", "low", "high").applyInArrow(run, "node bigint, links bigint")
+    return found.groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL,
-                    most_hashes: int = MOST_HASHES) -> tuple[DataFrame, DataFrame]:
+                    most_hashes: int = MOST_HASHES, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """Documents with their class, and the links between different texts.
 
     The first table has a row per row of ``docs``: ``doc_id``, ``copy_id`` (smallest id
@@ -123,9 +203,11 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     Buckets of up to eight nodes are compared pair by pair. In larger ones every node
     is compared with the bucket's leader, another one in each band, and then every
     node outside its leader's class with all members outside its own. So no two nodes
-    that share a band and are linked end up in different classes, while a group's links
-    grow with its size and not with its square: inside a large class ``n_links`` counts
-    the verified links that hold it together.
+    that share a band and are linked end up in different classes, while the second table
+    grows with a group and not with its square: of a class with nodes of large buckets it
+    has the links that hold the class together. ``n_links`` counts all links: in such a
+    class every pair is compared, block against block, and only counts leave the tasks.
+    Without ``count_links`` it counts the links of the second table.
 
     Documents without words, null or empty, are linked to nothing: each is its own
     class. A text of fewer words than ``width`` has one n-gram. Rows that share an id
@@ -138,9 +220,9 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         return F.least(left, right) >= threshold * F.greatest(left, right)
 
     sketched = stored(sketches(docs, width, bands, rows), "sketches")
-    alike = ["grams", "digest_a", "digest_b"]
+    same = ["grams", "digest_a", "digest_b"]
     copies = stored(
-        sketched.where("grams > 0 and doc_id is not null").groupBy(*alike)
+        sketched.where("grams > 0 and doc_id is not null").groupBy(*same)
         .agg(F.min("doc_id").alias("copy_id"), F.first("keys").alias("keys")),
         "copies",
     )
@@ -160,7 +242,12 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
         groups.select(F.col("node").alias("copy_id"), "root")
         .join(linked.groupBy("copy_id").agg(F.count("*").alias("n_links")), "copy_id", "left")
     )
-    folded = sketched.select("doc_id", *alike).join(copies.drop("keys"), alike, "left")
+    counted = counted_links(docs, buckets.members, groups, weights, width, threshold) if count_links else None
+    if counted is not None:
+        known = known.join(counted.withColumnRenamed("node", "copy_id"), "copy_id", "left").select(
+            "copy_id", "root", F.coalesce("links", "n_links").alias("n_links")
+        )
+    folded = sketched.select("doc_id", *same).join(copies.drop("keys"), same, "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("grams") == 0, F.col("doc_id")).otherwise(F.col("copy_id"))
     result = folded.withColumn("copy_id", own).join(known, "copy_id", "left").select(
         "doc_id", "copy_id", F.coalesce("root", "copy_id").alias("class_id"),
@@ -174,7 +261,7 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
 
     Where rows share an id, they stay or go together.
     """
-    classes, _ = similarity_join(docs, **options)
+    classes, _ = similarity_join(docs, count_links=False, **options)
     gone = stored(classes.where("class_id < doc_id").select("doc_id").distinct(), "gone")
     side = small_side(gone, gone.count()).alias("g")
     return docs.alias("d").join(side, F.col("d.doc_id").cast("bigint") == F.col("g.doc_id"), "left_anti")

@@ -1,6 +1,7 @@
 import random
 
 import corpus
+from rackpulse.llm import ngram_join
 from rackpulse.llm.ngram_join import choose_bands, one_per_class, similarity_join
 
 
@@ -53,6 +54,23 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert one_per_class(docs).count() == len(set(root.values()))
 
 
+def test_links_of_a_large_group_against_all_pairs(spark, monkeypatch):
+    # Several blocks, so that pairs within a block and across blocks are counted.
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rng = random.Random(14)
+    base, other = corpus.text(rng, 20), corpus.text(rng, 3)
+    texts = [base] + [edited(rng, base, rng.choice([0.01, 0.02, 0.03])) for _ in range(60)]
+    docs = corpus.documents(spark, texts + [other, edited(rng, other, 0.01), base])
+    classes, edges = similarity_join(docs)
+    sets = {r.doc_id: corpus.shingles(r.text) for r in docs.collect()}
+    first = {i: min(k for k in sets if sets[k] == sets[i]) for i in sets}
+    nodes = set(first.values())
+    want = {i: sum(k != first[i] and corpus.jaccard(sets[first[i]], sets[k]) >= 0.8 for k in nodes) for i in sets}
+    assert {r.doc_id: r.n_links for r in classes.collect()} == want
+    # The candidates alone would not give these counts.
+    assert edges.count() < sum(want[i] for i in nodes) // 2
+
+
 def test_odd_rows(spark):
     docs = corpus.clashing(corpus.odd_documents(spark))
     got = {(r.doc_id, r.class_id, r.n_links) for r in similarity_join(docs)[0].collect()}

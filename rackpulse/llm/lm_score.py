@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ class Shape(NamedTuple):
         return self.classes - self.hashed
 
 
+def grown(words: int) -> Shape:
+    """The network for a corpus of so many distinct words: its classes follow their square root."""
+    groups = max(Shape().groups, math.ceil(math.sqrt(1.6 * math.sqrt(words))))
+    return Shape(groups=groups, hashed=groups * groups // 16)
+
+
 class Training(NamedTuple):
     """Rounds over the corpus; in each, every ``stride``-th token of all documents is predicted: by default every one."""
 
@@ -202,6 +210,7 @@ class Vocabulary:
         self.words, self.rank, self.shape = words[order], order, shape
 
     def classes(self, words: np.ndarray) -> np.ndarray:
+        """The class of each word; ``hashed_class`` says the same of the words without their own."""
         other = (self.shape.common + (words >> np.uint64(40)) % np.uint64(self.shape.hashed)).astype(np.int64)
         if not len(self.words):
             return other
@@ -209,12 +218,18 @@ class Vocabulary:
         return np.where(self.words[place] == words, self.rank[place], other)
 
 
+def hashed_class(shape: Shape):
+    """Column with the shared class of ``word``."""
+    return F.lit(shape.common) + F.shiftrightunsigned("word", 40) % shape.hashed
+
+
 class Model(NamedTuple):
-    """What the scoring needs: about 55,000 numbers whatever the corpus."""
+    """The network, about 50 numbers a class, and how often each class was seen (None: not known)."""
 
     vocabulary: Vocabulary
     flat: np.ndarray
     shape: Shape
+    held: np.ndarray | None = None
 
 
 def targets(number: int, words: int, how: Training) -> np.ndarray:
@@ -222,7 +237,12 @@ def targets(number: int, words: int, how: Training) -> np.ndarray:
     return np.random.default_rng(words).permutation(np.arange(number % how.stride, words, how.stride))
 
 
-def train(docs: DataFrame, shape: Shape = Shape(), how: Training = Training()) -> Model:
+def train(docs: DataFrame, shape: Shape | None = None, how: Training = Training()) -> Model:
+    """The network fitted on all documents; without ``shape`` its size follows the corpus."""
+    return fit(docs, stored(word_counts(docs), "words"), shape, how)
+
+
+def fit(docs: DataFrame, counts: DataFrame, shape: Shape | None, how: Training) -> Model:
     """Fit the network on all documents.
 
     A round starts every partition from the same network; each fits it to its own
@@ -230,21 +250,24 @@ def train(docs: DataFrame, shape: Shape = Shape(), how: Training = Training()) -
     round. The sums run as a grouping by parameter, so the driver sees one network a
     round. By default every round predicts every token of all documents.
     """
-    counts = stored(word_counts(docs), "words")
+    shape = shape or grown(counts.count())
     top = counts.orderBy(F.desc("held"), "word").limit(shape.common).collect()
     vocabulary = Vocabulary(np.array([row["word"] for row in top], np.int64).view(np.uint64), shape)
     held = np.zeros(shape.classes)
     held[:len(top)] = [row["held"] for row in top]
-    total = counts.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-    held[shape.common:] = (total - held.sum()) / shape.hashed
+    for row in counts.groupBy(hashed_class(shape).alias("class")).agg(F.sum("held").alias("held")).collect():
+        held[row["class"]] = row["held"]
+    # The words with a class of their own do not count for the shared ones.
+    own = Vocabulary(np.empty(0, np.uint64), shape).classes(np.array([row["word"] for row in top], np.int64).view(np.uint64))
+    held[shape.common:] -= np.bincount(own, held[:len(top)], shape.classes)[shape.common:]
     flat = initial(shape, held)
     for number in range(how.rounds):
         flat = _round(docs, Model(vocabulary, flat, shape), how, number)
-    return Model(vocabulary, flat, shape)
+    return Model(vocabulary, flat, shape, held)
 
 
 def _round(docs: DataFrame, model: Model, how: Training, number: int) -> np.ndarray:
-    vocabulary, start, shape = model
+    vocabulary, start, shape, _ = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = start.copy()
@@ -282,12 +305,9 @@ def _round(docs: DataFrame, model: Model, how: Training, number: int) -> np.ndar
     return flat
 
 
-RESULT = "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double"
-
-
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probability of each text."""
-    vocabulary, flat, shape = model
+    """Tokens and summed log-probability of each text's classes."""
+    vocabulary, flat, shape, _ = model
     net = unpack(flat, shape)
     words, first = word_hashes(texts)
     classes = vocabulary.classes(words)
@@ -298,23 +318,62 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.n
     return np.diff(first), np.diff(np.cumsum(logs)[first])
 
 
-def score(docs: DataFrame, shape: Shape = Shape(), how: Training = Training()) -> DataFrame:
+def shared_words(texts: list[str | None], model: Model) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Per text its words without a class of their own, their uses, and the summed log of their classes' counts."""
+    words, first = word_hashes(texts)
+    classes = model.vocabulary.classes(words)
+    shared = classes >= model.shape.common
+    logs = np.zeros(len(words) + 1)
+    logs[1:][shared] = np.log(model.held[classes[shared]])
+    found = [
+        np.unique(words[low:high][shared[low:high]], return_counts=True)
+        for low, high in zip(first[:-1], first[1:], strict=True)
+    ]
+    return [word for word, _ in found], [uses for _, uses in found], np.diff(np.cumsum(logs)[first])
+
+
+def _list(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(kind.to_pandas_dtype()), kind))
+
+
+def score(docs: DataFrame, shape: Shape | None = None, how: Training = Training()) -> DataFrame:
     """Per row of ``docs``: tokens, summed and mean log-probability of every token given both sides.
 
-    Tokens are lower-cased words. Each is predicted from the two words on either side,
-    by a network trained on the same corpus. A null or empty text has no tokens, sum 0
-    and a null mean; null ids are kept; equal rows score alike; further columns are not
-    read; an empty table gives no rows.
+    Tokens are lower-cased words. The class of each is predicted from the two words on
+    either side, by a network trained on the same corpus. A word that shares its class
+    has in it the share of its count, which a join with the counts of all words brings.
+    A null or empty text has no tokens, sum 0 and a null mean; null ids are kept; equal
+    rows score alike; further columns are not read; an empty table gives no rows.
     """
-    model = train(docs, shape, how)
+    counts = stored(word_counts(docs), "words")
+    model = fit(docs, counts, shape, how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in _parts(batches):
-            tokens, logs = score_texts(batch.column(1).to_pylist(), model)
-            mean = np.divide(logs, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+            texts = batch.column(1).to_pylist()
+            tokens, logs = score_texts(texts, model)
+            words, uses, apart = shared_words(texts, model)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens), pa.array(logs), pa.array(mean, mask=tokens == 0)],
-                ["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
+                [batch.column(0), pa.array(np.arange(row, row + len(texts))), pa.array(tokens), pa.array(logs - apart),
+                 _list([some.view(np.int64) for some in words], pa.int64()), _list(uses, pa.int32())],
+                ["doc_id", "row", "n_tokens", "log_prob", "words", "uses"],
             )
-
-    return _texts(docs).mapInArrow(run, RESULT)
+            row += len(texts)
+
+    scored = stored(_texts(docs).mapInArrow(
+        run, "doc_id bigint, row bigint, n_tokens bigint, log_prob double, words array<bigint>, uses array<int>"
+    ), "scored")
+    # The log of a count of one is nothing.
+    shares = counts.where("held > 1").select("word", F.log("held").alias("share"))
+    terms = (
+        scored.select("row", F.explode(F.arrays_zip("words", "uses")).alias("of"))
+        .select("row", F.col("of.words").alias("word"), F.col("of.uses").alias("uses"))
+        .join(shares, "word").groupBy("row").agg(F.sum(F.col("uses") * F.col("share")).alias("more"))
+    )
+    total = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.select("doc_id", "row", "n_tokens", "log_prob").join(terms, "row", "left").select(
+        "doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob")
+    )

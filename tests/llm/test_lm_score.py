@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -95,6 +96,30 @@ def test_every_token_is_predicted_by_default():
             assert sorted(lm_score.targets(number, words, how)) == list(range(words))
 
 
+def test_words_of_a_class_have_their_share_of_it(spark):
+    rng = random.Random(52)
+    texts = [" ".join(f"r{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(30)) for _ in range(20)]
+    docs, how = corpus.documents(spark, texts), Training(rounds=1, batch=64)
+    model = lm_score.train(docs, SMALL, how)
+    counts = collections.Counter(word for text in texts for word in text.split())
+    words, first = word_hashes(texts)
+    classes = model.vocabulary.classes(words)
+    held = np.bincount(classes, minlength=SMALL.classes)
+    assert held.tolist() == model.held.tolist()
+    _, logs = lm_score.score_texts(texts, model)
+    got = {r.doc_id: r.log_prob for r in lm_score.score(docs, SMALL, how).collect()}
+    for number, text in enumerate(texts):
+        of = classes[first[number]:first[number + 1]]
+        share = sum(math.log(counts[word] / held[k]) for word, k in zip(text.split(), of))
+        assert share < 0 and abs(logs[number] + share - got[number]) < 1e-3
+
+
+def test_classes_grow_with_the_words():
+    assert lm_score.grown(0) == lm_score.grown(1000) == Shape()
+    sizes = [lm_score.grown(10 ** power).common for power in (5, 6, 7, 8)]
+    assert sizes == sorted(set(sizes))
+
+
 def test_odd_rows(spark):
     docs = corpus.clashing(corpus.odd_documents(spark))
     got = lm_score.score(docs).collect()

@@ -13,6 +13,7 @@ from rackpulse.llm.mixing import plan_mix
 from rackpulse.llm.ngram_join import similarity_join
 from rackpulse.llm.packing import pack
 from rackpulse.llm.quality import judge
+from rackpulse.llm.token_align import with_pair_counts
 from rackpulse.llm.topk import top_k
 from rackpulse.llm.url_rules import judge_urls
 
@@ -92,10 +93,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every document, and how common its linked id pairs are."""
+    import public_tokenizers
+
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    return with_pair_counts(_table(spark, sf_dir, "documents"), pieces=pieces, **vocabulary())
+
+
 QUERIES = {
     query.__name__: query for query in (
         op1_topk, op2_line_dedup, op3_packing, op4_substring_dedup, op5_license_scan, op6_url_filter, op7_quality,
-        op8_ngram_join, op9_lm_score, op10_mixing,
+        op8_ngram_join, op9_lm_score, op10_mixing, op13_token_align,
     )
 }
 

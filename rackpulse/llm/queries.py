@@ -16,6 +16,7 @@ from rackpulse.llm.quality import judge
 from rackpulse.llm.token_align import with_pair_counts
 from rackpulse.llm.topk import top_k
 from rackpulse.llm.url_rules import judge_urls
+from rackpulse.llm.whitening import whitened_rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of all vectors, scaled to unit variance."""
+    return whitened_rows(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two tokenizers cut every document, and how common its linked id pairs are."""
     import public_tokenizers
@@ -104,7 +110,7 @@ def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query for query in (
         op1_topk, op2_line_dedup, op3_packing, op4_substring_dedup, op5_license_scan, op6_url_filter, op7_quality,
-        op8_ngram_join, op9_lm_score, op10_mixing, op13_token_align,
+        op8_ngram_join, op9_lm_score, op10_mixing, op12_whitening, op13_token_align,
     )
 }
 

@@ -20,7 +20,7 @@ BLANK = "▁"
 # A pair table beyond the broadcast bound is joined by a shuffle, every id pair in so many parts.
 SALTS = 16
 
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 DETAIL = ("doc_id bigint, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, "
           "over_a array<int>, over_b array<int>, cut_a array<int>, cut_b array<int>")
 

@@ -9,6 +9,7 @@ from rackpulse.llm.chunks import dedup_substrings
 from rackpulse.llm.licenses import scan
 from rackpulse.llm.line_dedup import without_lines
 from rackpulse.llm.lm_score import score
+from rackpulse.llm.minmax_dedup import near_duplicates
 from rackpulse.llm.mixing import plan_mix
 from rackpulse.llm.ngram_join import similarity_join
 from rackpulse.llm.packing import pack
@@ -94,6 +95,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near copies."""
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the leading components of all vectors, scaled to unit variance."""
     return whitened_rows(_table(spark, sf_dir, "embeddings"))
@@ -110,7 +116,7 @@ def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query for query in (
         op1_topk, op2_line_dedup, op3_packing, op4_substring_dedup, op5_license_scan, op6_url_filter, op7_quality,
-        op8_ngram_join, op9_lm_score, op10_mixing, op12_whitening, op13_token_align,
+        op8_ngram_join, op9_lm_score, op10_mixing, op11_minmax_dedup, op12_whitening, op13_token_align,
     )
 }
 

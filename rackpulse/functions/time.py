@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, TimestampNTZType
 
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def ns_to_timestamp(ns: Column) -> Column:
@@ -26,13 +26,13 @@ def micros_of(instant: datetime) -> int:
     """Unix microseconds; a datetime without a zone counts as UTC."""
     if instant.tzinfo is None:
         instant = instant.replace(tzinfo=timezone.utc)
-    return (instant - _EPOCH) // timedelta(microseconds=1)
+    return (instant - EPOCH) // timedelta(microseconds=1)
 
 
 def instant_literal(instant: datetime, like: DataType) -> Column:
     """Literal of the column's own timestamp type, so that a bound reaches the scan."""
     if isinstance(like, TimestampNTZType):
-        utc = _EPOCH.replace(tzinfo=None) + timedelta(microseconds=micros_of(instant))
+        utc = EPOCH.replace(tzinfo=None) + timedelta(microseconds=micros_of(instant))
         return F.lit(utc.isoformat(sep=" ")).cast("timestamp_ntz")
     return F.timestamp_micros(F.lit(micros_of(instant)))
 

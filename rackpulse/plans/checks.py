@@ -82,10 +82,10 @@ _VIEWS = {
 _WITH = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _VIEWS.items()) + "\n"
 _GPU_COLUMNS = """uuid, coalesce(gpu_index, '') AS gpu_index, coalesce(device, '') AS device, model_name,
     coalesce(hostname, '') AS hostname, created_at, updated_at"""
-_SAMPLE_COLUMNS = """s.id, s.uuid, s.metric_name, s.ingested_at, s.sample_at, s.value,
+SAMPLE_COLUMNS = """s.id, s.uuid, s.metric_name, s.ingested_at, s.sample_at, s.value,
     coalesce(s.container, '') AS container, coalesce(s.pod, '') AS pod, coalesce(s.namespace, '') AS namespace,
     coalesce(s.labels_raw, '') AS labels_raw"""
-_RECORD_COLUMNS = """metric_name, uuid, gpu_index, device, model_name, hostname, container, pod, namespace,
+RECORD_COLUMNS = """metric_name, uuid, gpu_index, device, model_name, hostname, container, pod, namespace,
     value, labels_raw"""
 RECORD_NAMES = ["metric_name", "uuid", *GPU_ATTRIBUTES, "container", "pod", "namespace", "value", "labels_raw"]
 
@@ -139,7 +139,7 @@ def gpus_deep_page(spark, sf):
     return queries.gpu_output(page(views.gpus(spark, sf), ["uuid"], 8, 5, shallow=3))
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s
            WHERE s.uuid = 'GPU-000008' AND s.metric_name = 'EVT_CLICK'
              AND s.sample_at >= TIMESTAMP '2024-01-02 00:00:00' AND s.sample_at <= TIMESTAMP '2024-01-28 12:30:00.5'
            ORDER BY s.sample_at, s.id LIMIT 50 OFFSET 1""")
@@ -149,7 +149,7 @@ def gpu_samples_range(spark, sf):
                                datetime(2024, 1, 2, tzinfo=timezone.utc), end, 50, 1)
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
            WHERE s.metric_name = 'EVT_VIEW' AND g.model_name ILIKE '%build%'
              AND s.sample_at >= TIMESTAMP '2024-01-05 00:00:00' AND s.sample_at <= TIMESTAMP '2024-01-25 22:00:00'
            ORDER BY s.sample_at, s.id LIMIT 200 OFFSET 10""")
@@ -161,14 +161,14 @@ def telemetry_search(spark, sf):
     return queries.search_samples(views.samples(spark, sf), views.gpus(spark, sf), wanted)
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
            ORDER BY s.sample_at, s.id LIMIT 1000 OFFSET 25""")
 def telemetry_search_nofilter(spark, sf):
     wanted = TelemetryFilter.parse(limit=5000, offset=25)
     return queries.search_samples(views.samples(spark, sf), views.gpus(spark, sf), wanted)
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s
            WHERE EXISTS (SELECT 1 FROM gpus_partial g WHERE g.uuid = s.uuid)
            ORDER BY s.sample_at, s.id LIMIT 1000 OFFSET 25""")
 def telemetry_search_orphans(spark, sf):
@@ -176,7 +176,7 @@ def telemetry_search_orphans(spark, sf):
     return queries.search_samples(views.samples(spark, sf), views.gpus_partial(spark, sf), wanted)
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
            WHERE g.model_name ILIKE '%machinery%'""")
 def model_samples(spark, sf):
     found = queries.matching_samples(views.samples(spark, sf), views.gpus(spark, sf),
@@ -184,14 +184,14 @@ def model_samples(spark, sf):
     return queries.sample_output(found)
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s WHERE s.metric_name = 'EVT_SIGNUP'
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s WHERE s.metric_name = 'EVT_SIGNUP'
            ORDER BY s.sample_at, s.id LIMIT 300 OFFSET 150""")
 def samples_deep_page(spark, sf):
     found = equals(views.samples(spark, sf), metric_name="EVT_SIGNUP")
     return queries.sample_output(sample_page(found, 300, 150, shallow=100))
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM
            (SELECT * REPLACE (date_trunc('day', sample_at) AS sample_at) FROM telemetry_samples) s
            ORDER BY s.sample_at, s.id LIMIT 150 OFFSET 321""")
 def samples_deep_page_ties(spark, sf):
@@ -238,7 +238,7 @@ def row_number_scan(spark, sf):
     )
 
 
-@query(f"SELECT event_id AS row_num, {_RECORD_COLUMNS} FROM csv_rows WHERE problem IS NULL")
+@query(f"SELECT event_id AS row_num, {RECORD_COLUMNS} FROM csv_rows WHERE problem IS NULL")
 def ingest_good(spark, sf):
     rows = read_numbered_csv(spark, views.write_csv(spark, sf))
     good = split_rows(rows).good
@@ -602,7 +602,7 @@ def log_group_progress(spark, sf):
 
 @query(f"""SELECT CAST(event_id % 10 AS INT) AS part_id,
              row_number() OVER (PARTITION BY event_id % 10 ORDER BY sample_at >= TIMESTAMP '2024-01-15 00:00:00', event_id)
-               - 1 AS msg_offset, 0 AS header_count, epoch_us(sample_at) * 1000 AS sample_unix_ns, {_RECORD_COLUMNS}
+               - 1 AS msg_offset, 0 AS header_count, epoch_us(sample_at) * 1000 AS sample_unix_ns, {RECORD_COLUMNS}
            FROM records""")
 def log_append_read(spark, sf):
     path = scratch_dir(spark, "log")
@@ -618,7 +618,7 @@ def log_append_read(spark, sf):
 
 
 @query(f"""SELECT CAST(event_id % 12 AS INT) AS part_id,
-             row_number() OVER (PARTITION BY event_id % 12 ORDER BY event_id) - 1 AS msg_offset, {_RECORD_COLUMNS}
+             row_number() OVER (PARTITION BY event_id % 12 ORDER BY event_id) - 1 AS msg_offset, {RECORD_COLUMNS}
            FROM (SELECT * REPLACE (CASE WHEN problem = 'uuid' THEN uuid || repeat('x', 64) ELSE uuid END AS uuid)
                  FROM csv_rows WHERE problem IS NULL OR problem = 'uuid')
            WHERE event_id % 12 < 10""")
@@ -640,7 +640,7 @@ def _produced(spark, sf):
 
 
 @query(f"""SELECT CAST(row_num % 12 AS INT) AS part_id,
-             row_number() OVER (PARTITION BY row_num % 12 ORDER BY event_id) - 1 AS msg_offset, {_RECORD_COLUMNS}
+             row_number() OVER (PARTITION BY row_num % 12 ORDER BY event_id) - 1 AS msg_offset, {RECORD_COLUMNS}
            FROM (SELECT * REPLACE (CASE WHEN problem = 'uuid' THEN uuid || repeat('x', 64) ELSE uuid END AS uuid),
                    event_id - min(event_id) OVER (PARTITION BY event_id * 4 // (SELECT count(*) FROM events)) AS row_num
                  FROM csv_rows)
@@ -663,10 +663,10 @@ def stream_csv_to_log(spark, sf):
     return _log_names(message_records(read_log(spark, log)).select("partition", "offset", *RECORD_NAMES))
 
 
-_STORED = """SELECT event_id AS id, uuid, metric_name, sample_at, value, container, pod, namespace, labels_raw FROM records"""
+STORED_SQL = """SELECT event_id AS id, uuid, metric_name, sample_at, value, container, pod, namespace, labels_raw FROM records"""
 
 
-def _stored(tables: Tables) -> DataFrame:
+def stored_columns(tables: Tables) -> DataFrame:
     return tables.samples().select(
         "id", "uuid", "metric_name", F.col("sample_at").cast("timestamp_ntz").alias("sample_at"), "value",
         "container", "pod", "namespace", "labels_raw",
@@ -695,9 +695,9 @@ def _streamed(spark, sf) -> Tables:
     return tables
 
 
-@query(_STORED)
+@query(STORED_SQL)
 def stream_ingest_equals_batch(spark, sf):
-    return _stored(_streamed(spark, sf))
+    return stored_columns(_streamed(spark, sf))
 
 
 @query("""SELECT uuid, gpu_index, device, model_name, coalesce(hostname, '') AS hostname, created_at, updated_at
@@ -712,7 +712,7 @@ def stream_ingest_acks(spark, sf):
     return _log_names(progress.committed(_streamed(spark, sf).acks()))
 
 
-@query(_STORED)
+@query(STORED_SQL)
 def batch_ingest_repeated(spark, sf):
     tables = Tables(spark, scratch_dir(spark, "tables"))
     messages = read_log(spark, _delivered(spark, sf))
@@ -720,7 +720,7 @@ def batch_ingest_repeated(spark, sf):
     apply_batch(tables, early, "collector", 0)
     apply_batch(tables, early, "collector", 0)
     apply_batch(tables, messages, "collector", 1)
-    return _stored(tables)
+    return stored_columns(tables)
 
 
 @query("""SELECT uuid, gpu_index, device, model_name, coalesce(hostname, '') AS hostname, created_at, updated_at
@@ -798,7 +798,7 @@ def ingest_poison_messages(spark, sf):
     return _log_names(tables.dead_letters().select("partition", "offset", "reason"))
 
 
-@query(f"""SELECT {_SAMPLE_COLUMNS} FROM telemetry_samples s WHERE s.uuid = 'GPU-000008'
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s WHERE s.uuid = 'GPU-000008'
            AND s.sample_at >= TIMESTAMP '2024-01-03 06:00:00' AND s.sample_at <= TIMESTAMP '2024-01-20 00:00:00'
            ORDER BY s.sample_at, s.id LIMIT 100""")
 def stored_samples_range(spark, sf):

@@ -7,13 +7,16 @@ loses a file under its plan and a repeated batch changes nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
+from rackpulse.operators.filters import equals
 from rackpulse.operators.merge import first_wins, insert_if_absent, merge_states
+from rackpulse.operators.seek import Cursor, seek
 from rackpulse.operators.sizes import written
 from rackpulse.schemas import ACK_LOG, GPUS, SAMPLE_KEY, TELEMETRY_RECORD, TELEMETRY_SAMPLES
 
@@ -43,6 +46,14 @@ ID_RANGES = StructType([
 ID_RANGE = 1 << 52
 MOST_RANGES = 1 << 11
 
+# Parquet options of the samples: what a lookup by device or metric compares, a row group
+# can rule out by its Bloom filter where its smallest and largest value cannot.
+SKIPPABLE = {
+    f"parquet.bloom.filter.{option}#{name}": "true" for name in ("uuid", "metric_name") for option in ("enabled", "adaptive.enabled")
+}
+# A day is compacted into files of about so many bytes.
+TARGET_BYTES = 256 << 20
+
 # Days whose times a lookup names one by one; more days are named by their dates alone.
 MOST_DAYS = 64
 
@@ -127,6 +138,71 @@ class Tables:
         """The fact table, with ``sample_date`` for pruning."""
         return self._read("telemetry_samples", STORED_SAMPLES)
 
+    def sample_days(self) -> list[date]:
+        """The days that have samples, from the folder names."""
+        return sorted(date.fromisoformat(name) for name in self._folders("telemetry_samples") if name[:1].isdigit())
+
+    def newest_samples(self, limit: int, cursor: Cursor | None = None, **wanted: str) -> DataFrame:
+        """The latest samples, or those before a cursor, of one ``uuid`` or ``metric_name`` if given."""
+        return seek(equals(self.samples(), **wanted), self.sample_days(), limit, cursor)
+
+    def sample_files(self) -> DataFrame:
+        """Files and bytes per day; ``small`` counts the files below half of ``TARGET_BYTES``."""
+        path = f"{self.root}/telemetry_samples"
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        return files.groupBy(F.col("sample_date").cast("date").alias("sample_date")).agg(
+            F.count("*").alias("files"), F.sum("length").alias("bytes"),
+            F.count_if(F.col("length") < TARGET_BYTES // 2).alias("small"),
+        )
+
+    def compact_samples(self, target_bytes: int = TARGET_BYTES, row_group_bytes: int | None = None) -> list[date]:
+        """Rewrite the days that have several small files; returns them.
+
+        Run between batches. The rows are laid out by range again, in as many files as a
+        day has multiples of ``target_bytes``, and written beside the table first. Only
+        then do they replace the days' folders; if that is cut short, the next
+        compaction or insert finishes it from the complete copy.
+        """
+        self._finish_compaction()
+        if not self.sample_days():
+            return []
+        crowded = self.sample_files().where("small > 1").select(
+            "sample_date", F.ceil(F.col("bytes") / target_bytes).cast("int").alias("bins")
+        ).collect()
+        if not crowded:
+            return []
+        days = sorted(row["sample_date"] for row in crowded)
+        rows = self.samples().where(F.col("sample_date").isin(days))
+        writer = self._laid_out(rows, sum(row["bins"] for row in crowded))
+        if row_group_bytes:
+            writer = writer.option("parquet.block.size", row_group_bytes)
+        writer.mode("overwrite").partitionBy("sample_date").parquet(self._copy)
+        self._finish_compaction()
+        return days
+
+    @property
+    def _copy(self) -> str:
+        return f"{self.root}/telemetry_samples_compacted"
+
+    def _finish_compaction(self) -> None:
+        """Put a complete copy of compacted days in place of their folders."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        copy, table = jvm.Path(self._copy), jvm.Path(f"{self.root}/telemetry_samples")
+        files = copy.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(jvm.Path(copy, "_SUCCESS")):
+            for status in files.listStatus(copy):
+                if status.isDirectory():
+                    old = jvm.Path(table, status.getPath().getName())
+                    files.delete(old, True)
+                    files.rename(status.getPath(), old)
+        files.delete(copy, True)
+
+    def _laid_out(self, rows: DataFrame, parts: int | None = None) -> DataFrameWriter:
+        """Files cut by date, device, metric and time, with Bloom filters."""
+        layout = ["sample_date", *SAMPLE_KEY]
+        ranged = rows.repartitionByRange(parts, *layout) if parts else rows.repartitionByRange(*layout)
+        return ranged.sortWithinPartitions(*layout).write.options(**SKIPPABLE)
+
     def _candidates(self, rows: DataFrame) -> DataFrame:
         """Stored samples from the times of a batch; only those can repeat its keys."""
         micros = F.unix_micros("sample_at")
@@ -171,6 +247,7 @@ class Tables:
         the range layout reads them twice. Files are cut by date, device, metric and time,
         so one device's range is few row groups and a busy device or day is spread.
         """
+        self._finish_compaction()
         first = first_wins(samples, RECORD_ORDER)
         fresh = insert_if_absent(first, self._candidates(samples))
         ranges = self._id_start(samples, partitions)
@@ -178,11 +255,7 @@ class Tables:
             "id": F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition"),
             "sample_date": F.to_date("sample_at"),
         }).select(*STORED_SAMPLES.names), "fresh")
-        layout = ["sample_date", *SAMPLE_KEY]
-        (
-            rows.repartitionByRange(*layout).sortWithinPartitions(*layout)
-            .write.mode("append").partitionBy("sample_date").parquet(f"{self.root}/telemetry_samples")
-        )
+        self._laid_out(rows).mode("append").partitionBy("sample_date").parquet(f"{self.root}/telemetry_samples")
 
     # Progress and rejected messages.
 

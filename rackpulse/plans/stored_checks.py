@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rackpulse.operators import progress
+from rackpulse.operators.records import check_records, with_times
 from rackpulse.operators.seek import pages
+from rackpulse.operators.sizes import written
 from rackpulse.plans import queries, views
-from rackpulse.plans.checks import ORACLE, QUERIES, SAMPLE_COLUMNS, STORED_SQL, query, stored_columns
+from rackpulse.plans.checks import (
+    ORACLE,
+    QUERIES,
+    RECORD_COLUMNS,
+    RECORD_NAMES,
+    SAMPLE_COLUMNS,
+    STORED_SQL,
+    query,
+    stored_columns,
+)
 from rackpulse.plans.ingest import apply_batch
+from rackpulse.schemas import MESSAGE_LOG, SAMPLE_KEY
 from rackpulse.session import scratch_dir
-from rackpulse.sources.log_files import append_log, read_log
+from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log, write_log
+from rackpulse.sources.subscribe import subscribe
 from rackpulse.sources.tables import Tables
+from rackpulse.streaming.ingest import dedup_within
+from rackpulse.streaming.state import (
+    STATE_CONF,
+    kept_commits,
+    kept_devices,
+    kept_heads,
+    kept_model_counts,
+    start_commits,
+    start_devices,
+    start_heads,
+)
 
 __all__ = ["ORACLE", "QUERIES"]  # those of plans/checks.py, with the queries of this module
 
@@ -67,3 +94,126 @@ def samples_keyset_pages(spark, sf):
         for number, page in enumerate(pages(samples, days, size))
     ]
     return reduce(DataFrame.unionByName, numbered)
+
+
+@query(f"""SELECT CAST(place AS INT) AS part_id, msg_offset, {RECORD_COLUMNS} FROM (
+             SELECT *, event_id % 10 AS place, row_number() OVER (PARTITION BY event_id % 10 ORDER BY event_id) - 1 AS msg_offset,
+               count(*) OVER (PARTITION BY event_id % 10) AS head FROM records)
+           WHERE place = 9 OR msg_offset * 10 >= head * (place + 1)""")
+def stream_resume(spark, sf):
+    """A subscription from the committed offsets, stopped and started again while the log grows."""
+    log, out, place = (scratch_dir(spark, name) for name in ("log", "resumed", "checkpoint"))
+    rows = views.records(spark, sf)
+    total = rows.groupBy("partition").agg(F.count("*").alias("head"))
+    acks = total.where("partition < 9").select(
+        F.lit(views.TOPIC).alias("topic"), F.lit(views.GROUP).alias("consumer_group"), "partition",
+        (F.ceil(F.col("head") * (F.col("partition") + 1) / 10) - 1).cast("bigint").alias("offset"),
+    )
+    early = F.col("event_id") < views.table(spark, sf, "events").count() // 2
+    for part in (early, ~early):
+        append_log(rows.where(part), log, "event_id")
+        feed = subscribe(spark, log, views.TOPIC, progress.committed(acks), views.GROUP)
+        run = feed.writeStream.format("parquet").option("checkpointLocation", place).trigger(availableNow=True).start(out)
+        run.awaitTermination()
+    found = spark.read.schema(MESSAGE_LOG).parquet(out)
+    return message_records(found).select(
+        F.col("partition").alias("part_id"), F.col("offset").alias("msg_offset"), *RECORD_NAMES
+    )
+
+
+# State kept by running queries.
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """The provider that the stateful queries need, for as long as they run."""
+    usual = {name: spark.conf.get(name) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in usual.items():
+            spark.conf.set(name, value)
+
+
+def _device_stream(spark, sf, out: str) -> DataFrame:
+    """A log whose records change every device's attributes, put through the device state in some micro-batches.
+
+    Returns what ``out`` names: the devices, or the counts per model.
+    """
+    log, checkpoint, deltas = (scratch_dir(spark, name) for name in ("log", "checkpoint", "deltas"))
+    rows, event = views.records(spark, sf), F.col("event_id")
+    changing = rows.withColumns({
+        "gpu_index": (event % 8).cast("string"), "device": F.col("metric_name"),
+        "model_name": F.concat(F.lit("MODEL "), "metric_name"), "hostname": F.concat(F.lit("host-"), event.cast("string")),
+    })
+    append_log(changing, log, "event_id")
+    timed = with_times(message_records(stream_log(spark, log, max_files=4)))
+    with _state_store(spark):
+        start_devices(check_records(timed).devices, checkpoint, deltas).awaitTermination()
+        return written(kept_devices(spark, checkpoint) if out == "devices" else kept_model_counts(spark, deltas), out)
+
+
+_LATEST = """SELECT * FROM (
+    SELECT uuid, CAST(event_id % 8 AS VARCHAR) AS gpu_index, metric_name AS device, 'MODEL ' || metric_name AS model_name,
+      'host-' || event_id AS hostname, min(sample_at) OVER (PARTITION BY uuid) AS created_at,
+      max(sample_at) OVER (PARTITION BY uuid) AS updated_at,
+      row_number() OVER (PARTITION BY uuid ORDER BY sample_at DESC, event_id % 10 DESC, event_id DESC) AS place FROM records)
+  WHERE place = 1"""
+
+
+@query(f"SELECT uuid, gpu_index, device, model_name, hostname, created_at, updated_at FROM ({_LATEST})")
+def stream_device_state(spark, sf):
+    times = {name: F.col(name).cast("timestamp_ntz") for name in ("created_at", "updated_at")}
+    return _device_stream(spark, sf, "devices").withColumns(times)
+
+
+@query(f"SELECT model_name, CAST(count(*) AS INT) AS gpu_count FROM ({_LATEST}) GROUP BY model_name")
+def models_count_incremental(spark, sf):
+    return _device_stream(spark, sf, "models")
+
+
+@query("SELECT part_id, head, tail FROM log_heads")
+def log_heads_stream(spark, sf):
+    log, checkpoint = scratch_dir(spark, "messages"), scratch_dir(spark, "checkpoint")
+    write_log(views.messages(spark, sf), log)
+    feed = spark.readStream.schema(spark.read.parquet(log).schema).option("maxFilesPerTrigger", 4).parquet(log)
+    with _state_store(spark):
+        start_heads(feed, checkpoint).awaitTermination()
+        found = written(kept_heads(spark, checkpoint, views.CAPACITY), "heads")
+    return found.select(F.col("partition").cast("int").alias("part_id"), "head", "tail")
+
+
+@query("SELECT part_id, committed FROM committed")
+def log_commits_stream(spark, sf):
+    path, checkpoint = scratch_dir(spark, "acks"), scratch_dir(spark, "checkpoint")
+    acks = views.acks(views.stored_messages(spark, sf))
+    acks.repartition(6).write.parquet(path)
+    feed = spark.readStream.schema(acks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    with _state_store(spark):
+        start_commits(feed, checkpoint).awaitTermination()
+        found = written(kept_commits(spark, checkpoint), "commits")
+    return found.select(F.col("partition").alias("part_id"), "committed")
+
+
+@query("SELECT DISTINCT uuid, metric_name, sample_at FROM telemetry_samples")
+def stream_bounded_dedup(spark, sf):
+    """Samples in time order, every third one twice, and very late repeats at the end: bounded state drops both."""
+    path, out, checkpoint = (scratch_dir(spark, name) for name in ("samples", "deduped", "checkpoint"))
+    rows = views.samples(spark, sf).select(*SAMPLE_KEY[:2], F.col("sample_at").cast("timestamp").alias("sample_at"), "id")
+    rows = rows.unionByName(rows.where("id % 3 = 0"))
+    day = F.to_date("sample_at")
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    span = (last - first) / 4
+    bounds = [first + span * part for part in range(1, 4)] + [last]
+    for place, high in enumerate(bounds):
+        part = rows.where((day <= F.lit(high)) & (day > F.lit(bounds[place - 1]) if place else day <= F.lit(high)))
+        if place == 3:
+            part = part.unionByName(rows.where(day <= F.lit(bounds[0])))
+        part.coalesce(1).write.mode("append").parquet(path)
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with _state_store(spark):
+        run = dedup_within(feed, "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start(out).awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(out)
+    return found.select(*SAMPLE_KEY[:2], F.col("sample_at").cast("timestamp_ntz").alias("sample_at"))

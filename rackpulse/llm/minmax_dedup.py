@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -205,14 +205,15 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def links_of_strays(docs: DataFrame, members: DataFrame, groups: DataFrame, percent: int, width: int) -> DataFrame | None:
+def links_of_strays(docs: DataFrame, members: DataFrame, groups: DataFrame, percent: float, width: int,
+                    sets_of: Callable[[DataFrame, DataFrame, int, int], DataFrame] = shingle_table) -> DataFrame | None:
     """Links in large buckets between groups that the leaders did not join; None if there are no such groups.
 
     In each bucket the members outside its largest group are compared with all others.
     Both are dealt to blocks and every pair of blocks is one task's work, which holds
     two blocks of bounded size and returns the links that join two groups, fewer
     than it has members. So no pair is ever a row, and rows grow with the members times the
-    blocks of those outside.
+    blocks of those outside. ``sets_of`` gives the ``grams`` of documents, as ``shingle_table`` does.
     """
     placed = members.where(F.col("held") > SMALL_BUCKET).join(groups, "node", "left").select(
         "bucket", "node", "weight", F.coalesce("root", "node").alias("root")
@@ -239,7 +240,7 @@ def links_of_strays(docs: DataFrame, members: DataFrame, groups: DataFrame, perc
     )
     work = stored(work, "strays")
     nodes = stored(work.select("node").distinct(), "nodes")
-    sets = shingle_table(docs, nodes, nodes.count(), width)
+    sets = sets_of(docs, nodes, nodes.count(), width)
     drawn = F.xxhash64("node", "bucket")
     dealt = work.join(sets, "node")
     strays = dealt.where("stray").select(

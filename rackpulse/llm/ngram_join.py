@@ -10,7 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import SMALL_BUCKET, buckets_of, linked_groups, mix64, shingle_sets, small_side, stored
+from rackpulse.llm.common import (
+    SMALL_BUCKET,
+    buckets_of,
+    connected,
+    ends,
+    first_pairs,
+    mix64,
+    shingle_sets,
+    small_side,
+    stored,
+)
+from rackpulse.llm.minmax_dedup import links_of_strays
 
 WIDTH, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.998, 128
 # A class is counted in blocks of about so many nodes, and of about so many n-grams.
@@ -201,9 +212,10 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     Equal sets are folded first, so a group of copies is one node whatever its size.
     Buckets of up to eight nodes are compared pair by pair. In larger ones every node
-    is compared with the bucket's leader, another one in each band, and then every
-    node outside its leader's class with all members outside its own. So no two nodes
-    that share a band and are linked end up in different classes, while the second table
+    is compared with the bucket's leader, another one in each band; where that leaves
+    several classes in a bucket, the nodes outside the largest are compared with all,
+    block against block inside tasks, and only links that join two classes come out. So no two
+    nodes that share a band and are linked end up in different classes, while the second table
     grows with a group and not with its square: of a class with nodes of large buckets it
     has the links that hold the class together. ``n_links`` counts all links: in such a
     class every pair is compared, block against block, and only counts leave the tasks.
@@ -231,12 +243,17 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     )
     weights = copies.select(F.col("copy_id").alias("node"), F.col("grams").alias("weight")).dropDuplicates(["node"])
 
-    def check(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        nodes = stored(nodes, "nodes")
+    def check(pairs: DataFrame) -> DataFrame:
+        nodes = stored(ends(pairs), "nodes")
         return verified(pairs, stored(gram_sets(docs, nodes, nodes.count(), width), "grams"), threshold)
 
     buckets = buckets_of(spread)
-    edges, groups = linked_groups(buckets, weights, fits, check, "groups")
+    edges = stored(check(stored(first_pairs(buckets, weights, fits), "pairs")), "links")
+    groups = connected(edges, "groups")
+    more = links_of_strays(docs, buckets.members, groups, threshold * 100, width, gram_sets)
+    if more is not None:
+        edges = stored(edges.unionByName(check(stored(more.distinct(), "strays"))), "links")
+        groups = connected(edges, "groups")
     linked = edges.select(F.col("a").alias("copy_id")).unionByName(edges.select(F.col("b").alias("copy_id")))
     known = (
         groups.select(F.col("node").alias("copy_id"), "root")

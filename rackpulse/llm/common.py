@@ -156,11 +156,27 @@ def buckets_of(rows: DataFrame, bits: str | None = None, farthest: int = 0) -> B
     return Buckets(held.where("held = 2 and a < b").select("a", "b").distinct(), stored(led, "members"))
 
 
-def first_pairs(buckets: Buckets, weights: DataFrame, fits) -> DataFrame:
+def pairs_inside(members: DataFrame, fits) -> DataFrame:
+    """The fitting pairs ``a < b`` of small buckets, found inside each bucket's array of members.
+
+    A pair that does not fit never becomes a row, so buckets that were met by chance,
+    whose number grows faster than the rows where keys are short, cost their members only.
+    """
+    held = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "weight")).alias("held"))
+
+    def partners(one):
+        fitting = F.filter("held", lambda other: (one["node"] < other["node"]) & fits(one["weight"], other["weight"]))
+        return F.transform(fitting, lambda other: F.struct(one["node"].alias("a"), other["node"].alias("b")))
+
+    return held.select(F.explode(F.flatten(F.transform("held", partners))).alias("pair")).select("pair.a", "pair.b")
+
+
+def first_pairs(buckets: Buckets, weights: DataFrame, fits, inside: bool = False) -> DataFrame:
     """Candidate pairs ``a < b``: all pairs of small buckets, leader pairs of large ones.
 
     ``weights`` maps ``node`` to ``weight``; ``fits(left, right)`` says whether two weights
-    can belong to a match at all. The pairs grow in proportion to the members.
+    can belong to a match at all. The pairs grow in proportion to the members. With
+    ``inside`` they are screened before they are rows, for keys that many rows share by chance.
     """
     members = buckets.members
     left = weights.select(F.col("node").alias("a"), F.col("weight").alias("weight_a"))
@@ -172,6 +188,8 @@ def first_pairs(buckets: Buckets, weights: DataFrame, fits) -> DataFrame:
         fits(F.col("weight"), F.col("leader_weight"))
     ).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     small = members.where(F.col("held") <= SMALL_BUCKET).select("bucket", "node", "weight")
+    if inside:
+        return twos.unionByName(led).unionByName(pairs_inside(small, fits)).distinct()
     other = small.select("bucket", F.col("node").alias("other"), F.col("weight").alias("other_weight"))
     paired = small.join(other, "bucket").where(F.col("node") < F.col("other")).where(
         fits(F.col("weight"), F.col("other_weight"))
@@ -214,7 +232,7 @@ def linked_groups(buckets: Buckets, weights: DataFrame, fits, check, name: str)
 
     ``check(pairs, nodes)`` returns the pairs that hold; ``nodes`` are their ends.
     """
-    pairs = stored(first_pairs(buckets, weights, fits), "pairs")
+    pairs = stored(first_pairs(buckets, weights, fits, inside=True), "pairs")
     edges = stored(check(pairs, ends(pairs)), "links")
     groups = connected(edges, name)
     more = stored(stray_pairs(buckets, groups, fits).join(pairs, ["a", "b"], "left_anti"), "strays")

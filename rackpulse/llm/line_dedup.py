@@ -110,8 +110,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
+            for low in range(0, whole.num_rows, 250):
+                batch = whole.slice(low, 250)
                 lines, per_text = _split(batch.column(2).to_pylist())
                 words, first, sizes = sized_words(lines)
                 counts = np.diff(first)
@@ -134,8 +134,8 @@ def line_texts(docs: DataFrame, places: DataFrame, count: int) -> DataFrame:
     """``node`` and its normalised text, read at the given places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
+            for low in range(0, whole.num_rows, 250):
+                batch = whole.slice(low, 250)
                 texts = batch.column("text").to_pylist()
                 nodes, out = [], []
                 for text, lines in zip(texts, batch.column("lines").to_pylist(), strict=True):

@@ -80,7 +80,7 @@ _VIEWS = {
         FROM log_heads h LEFT JOIN committed c ON h.part_id = c.part_id""",
 }
 _WITH = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _VIEWS.items()) + "\n"
-_GPU_COLUMNS = """uuid, coalesce(gpu_index, '') AS gpu_index, coalesce(device, '') AS device, model_name,
+GPU_COLUMNS = """uuid, coalesce(gpu_index, '') AS gpu_index, coalesce(device, '') AS device, model_name,
     coalesce(hostname, '') AS hostname, created_at, updated_at"""
 SAMPLE_COLUMNS = """s.id, s.uuid, s.metric_name, s.ingested_at, s.sample_at, s.value,
     coalesce(s.container, '') AS container, coalesce(s.pod, '') AS pod, coalesce(s.namespace, '') AS namespace,
@@ -112,29 +112,29 @@ def models_count(spark, sf):
     return queries.count_models(views.gpus(spark, sf))
 
 
-@query(f"""SELECT {_GPU_COLUMNS} FROM gpus
+@query(f"""SELECT {GPU_COLUMNS} FROM gpus
            WHERE model_name ILIKE '%build%' AND hostname ILIKE '%NATION%' ORDER BY uuid LIMIT 20 OFFSET 2""")
 def gpus_filter_page(spark, sf):
     wanted = GpuFilter.parse(model_name="build", hostname="NATION", limit="20", offset="2")
     return queries.list_gpus(views.gpus(spark, sf), wanted)
 
 
-@query(f"SELECT {_GPU_COLUMNS} FROM gpus WHERE model_name ILIKE '%m_c%n%Y%' ORDER BY uuid LIMIT 100")
+@query(f"SELECT {GPU_COLUMNS} FROM gpus WHERE model_name ILIKE '%m_c%n%Y%' ORDER BY uuid LIMIT 100")
 def gpus_wildcard_filter(spark, sf):
     return queries.list_gpus(views.gpus(spark, sf), GpuFilter.parse(model_name="m_c%n%Y"))
 
 
-@query(f"SELECT {_GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 10000")
+@query(f"SELECT {GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 10000")
 def gpus_list_capped(spark, sf):
     return queries.list_gpus(views.gpus(spark, sf), GpuFilter(limit=10_000))
 
 
-@query(f"SELECT {_GPU_COLUMNS} FROM gpus")
+@query(f"SELECT {GPU_COLUMNS} FROM gpus")
 def gpus_list_all(spark, sf):
     return queries.list_all_gpus(views.gpus(spark, sf))
 
 
-@query(f"SELECT {_GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 8 OFFSET 5")
+@query(f"SELECT {GPU_COLUMNS} FROM gpus ORDER BY uuid LIMIT 8 OFFSET 5")
 def gpus_deep_page(spark, sf):
     return queries.gpu_output(page(views.gpus(spark, sf), ["uuid"], 8, 5, shallow=3))
 

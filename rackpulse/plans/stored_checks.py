@@ -13,8 +13,10 @@ from rackpulse.operators import progress
 from rackpulse.operators.records import check_records, with_times
 from rackpulse.operators.seek import pages
 from rackpulse.operators.sizes import written
+from rackpulse.operators.trigrams import posting_lists, search, write_postings
 from rackpulse.plans import queries, views
 from rackpulse.plans.checks import (
+    GPU_COLUMNS,
     ORACLE,
     QUERIES,
     RECORD_COLUMNS,
@@ -25,8 +27,10 @@ from rackpulse.plans.checks import (
     stored_columns,
 )
 from rackpulse.plans.ingest import apply_batch
+from rackpulse.plans.params import TelemetryFilter
 from rackpulse.schemas import MESSAGE_LOG, SAMPLE_KEY
 from rackpulse.session import scratch_dir
+from rackpulse.sources.bucketed import save_bucketed
 from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log, write_log
 from rackpulse.sources.subscribe import subscribe
 from rackpulse.sources.tables import Tables
@@ -217,3 +221,29 @@ def stream_bounded_dedup(spark, sf):
         run.trigger(availableNow=True).start(out).awaitTermination()
     found = spark.read.schema(rows.schema).parquet(out)
     return found.select(*SAMPLE_KEY[:2], F.col("sample_at").cast("timestamp_ntz").alias("sample_at"))
+
+
+# Layouts for lookups and joins.
+
+@query(f"SELECT {GPU_COLUMNS} FROM gpus WHERE model_name ILIKE '%l_buil%ing%'")
+def gpus_trigram_search(spark, sf):
+    devices, path = written(views.gpus(spark, sf), "devices"), scratch_dir(spark, "postings")
+    write_postings(posting_lists(devices, "uuid", "model_name"), path)
+    return queries.gpu_output(search(devices, spark.read.parquet(path), "uuid", "model_name", "l_buil%ing"))
+
+
+@query(f"""SELECT {SAMPLE_COLUMNS} FROM telemetry_samples s JOIN gpus g ON s.uuid = g.uuid
+           WHERE s.metric_name = 'EVT_VIEW' AND g.model_name ILIKE '%build%'
+             AND s.sample_at >= TIMESTAMP '2024-01-05 00:00:00' AND s.sample_at <= TIMESTAMP '2024-01-25 22:00:00'
+           ORDER BY s.sample_at, s.id LIMIT 200 OFFSET 10""")
+def telemetry_search_bucketed(spark, sf):
+    """The search of ``telemetry_search`` over tables that are bucketed by device."""
+    paths = [scratch_dir(spark, name) for name in ("samples", "gpus")]
+    names = [f"rackpulse_{path.rpartition('-')[2]}" for path in paths]
+    facts = save_bucketed(views.samples(spark, sf), names[0], paths[0], 8, ["uuid", "metric_name", "sample_at"])
+    devices = save_bucketed(views.gpus(spark, sf), names[1], paths[1], 8)
+    wanted = TelemetryFilter.parse(
+        metric_name="EVT_VIEW", model_name="build", start_time="2024-01-05T00:00:00Z",
+        end_time="2024-01-26T00:00:00+02:00", limit=200, offset=10,
+    )
+    return queries.search_samples(facts, devices, wanted)

@@ -1,0 +1,67 @@
+import random
+
+import pytest
+from helpers import plan_of
+from pyspark.sql import functions as F
+from rackpulse.operators.filters import contains
+from rackpulse.operators.merge import with_device
+from rackpulse.operators.trigrams import candidates, posting_lists, search, wanted_trigrams, write_postings
+from rackpulse.plans.params import TelemetryFilter
+from rackpulse.plans.queries import matching_samples
+from rackpulse.sources.bucketed import read_bucketed, save_bucketed
+
+TEXTS = ["H100", "h100 SXM", "a%b c_d", "Straße Köln", "STRASSE", "İstanbul", "a\\b", "xy", "", "aaaa", "A100-80GB", "K", "ſ sharp", "10.0.0.1"]
+WANTED = ["h100", "H1", "100 s", "a%d", "a_b c", "\\%b c", "straße", "STRASSE", "istanbul", "a\\\\b", "aaa", "zzz", "100-80", "%", "___", "0.0", "k", "ss s", "s sharp"]
+
+
+@pytest.fixture(scope="module")
+def devices(spark):
+    rng = random.Random(5)
+    rows = [(f"g{n}", text) for n, text in enumerate(TEXTS)] + [("none", None)]
+    rows += [(f"r{n}", "".join(rng.choice("abcABC %_-") for _ in range(rng.randrange(14)))) for n in range(300)]
+    return spark.createDataFrame(rows, "uuid string, model_name string")
+
+
+@pytest.mark.parametrize("text", [*WANTED, "ab", "aBc", "a%c-", "b_c", "-b-"])
+def test_search_equals_the_scan(spark, devices, tmp_path_factory, text):
+    path = str(tmp_path_factory.getbasetemp() / "postings")
+    try:
+        postings = spark.read.parquet(path)
+    except Exception:  # the first case writes the lists
+        write_postings(posting_lists(devices, "uuid", "model_name"), path)
+        postings = spark.read.parquet(path)
+    got = search(devices, postings, "uuid", "model_name", text).select("uuid").collect()
+    assert sorted(got) == sorted(contains(devices, model_name=text).select("uuid").collect())
+
+
+def test_only_wanted_lists_are_read(spark, devices):
+    assert wanted_trigrams("h100%sx_m abc") == [" ab", "100", "abc", "h10", "m a"]
+    assert wanted_trigrams("a\\%bc") == ["%bc", "a%b"] and wanted_trigrams("a%b") == wanted_trigrams("") == []
+    assert candidates(posting_lists(devices, "uuid", "model_name"), "uuid", "h100").count() == 2
+    assert candidates(posting_lists(devices, "uuid", "model_name"), "uuid", "h1") is None
+
+
+def test_join_of_bucketed_tables_exchanges_nothing(spark, tmp_path, rows_of):
+    samples = spark.range(4000).select(
+        "id", F.concat(F.lit("g"), (F.col("id") % 90).cast("string")).alias("uuid"), F.lit("m").alias("metric_name"),
+        F.timestamp_seconds("id").alias("sample_at"),
+    )
+    models = spark.range(80).select(
+        F.concat(F.lit("g"), F.col("id").cast("string")).alias("uuid"), F.concat(F.lit("Model "), (F.col("id") % 3).cast("string")).alias("model_name")
+    )
+    save_bucketed(samples, "bucketed_samples", str(tmp_path / "samples"), 6, ["uuid", "sample_at"])
+    save_bucketed(models, "bucketed_gpus", str(tmp_path / "gpus"), 6)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts, dimension = read_bucketed(spark, "bucketed_samples"), read_bucketed(spark, "bucketed_gpus")
+        wanted = TelemetryFilter(model_name="model 2")
+        found = matching_samples(facts, dimension, wanted)
+        assert "Exchange" not in plan_of(found) and "SortMergeJoin" in plan_of(found)
+        assert rows_of(found, "id") == rows_of(matching_samples(samples, models, wanted), "id")
+        assert "Exchange" not in plan_of(facts.groupBy("uuid").count())
+        assert "Exchange" in plan_of(with_device(samples, models))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+        spark.sql("DROP TABLE bucketed_samples")
+        spark.sql("DROP TABLE bucketed_gpus")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import combinations
 
 import numpy as np
@@ -104,6 +107,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers, and their peaks with them."""
+    gc.collect()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line with enough words: its place, the hash of its words, its SimHash."""
     schema = "doc_id bigint, text_key bigint, line bigint, node bigint, words bigint, chars bigint, simhash bigint"
@@ -126,6 +136,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     pa.array(_line_keys(words, counts)[keep].view(np.int64)), pa.array(counts[keep]),
                     pa.array(chars[keep]), pa.array(simhashes(words, counts)[keep].view(np.int64)),
                 ], ["doc_id", "text_key", "line", "node", "words", "chars", "simhash"])
+        give_back()
 
     return _rows(docs).mapInArrow(run, schema)
 

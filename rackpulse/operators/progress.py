@@ -124,8 +124,9 @@ def resume(log: DataFrame, commits: DataFrame, topic: str, group: str) -> DataFr
     log = log.where(F.col("topic") == topic)
     columns = log.columns
     if "segment" in columns:
-        # One filter per partition with a commit: its older segments are skipped. Commits
-        # of more partitions than a plan should list are bounded by the lowest one.
+        # One filter per partition with a commit: its older segments are skipped. More
+        # partitions than a plan should list are bounded by the join alone, as one without
+        # a commit is read from its first segment.
         known = done.where("_done is not null").limit(MOST_BOUNDS + 1).collect()
         if len(known) <= MOST_BOUNDS:
             for row in known:

@@ -334,6 +334,19 @@ def ns_to_timestamps(spark, sf):
     )
 
 
+@query("""SELECT event_id AS row_num, 1777636800000000000 + event_id * 1500 AS stamp_ns,
+            make_timestamp((1777636800000000000 + event_id * 1500) // 1000) AS sample_at
+          FROM csv_rows WHERE problem IS NULL OR problem <> 'value'""")
+def records_stamped(spark, sf):
+    """Both times of a record are the stamp of its row, here of a clock that goes on by 1.5 microseconds a row."""
+    clock = F.lit(1_777_636_800_000_000_000) + F.col("row_num") * 1500
+    good = split_rows(read_numbered_csv(spark, views.write_csv(spark, sf)), clock).good
+    return good.where("ingested_unix_ns = sample_unix_ns").select(
+        "row_num", F.col("ingested_unix_ns").alias("stamp_ns"),
+        ns_to_timestamp(F.col("sample_unix_ns")).cast("timestamp_ntz").alias("sample_at"),
+    )
+
+
 # Tables: first wins, last wins, merge, reference.
 
 @query("""SELECT id, uuid, metric_name, sample_at, value FROM (
@@ -466,6 +479,17 @@ def log_known_topics(spark, sf):
     )
 
 
+@query("""SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN 'consumer_id_missing' ELSE 'ok' END AS reason
+          FROM events""")
+def log_named_members(spark, sf):
+    kind = F.col("event_type")
+    consumer = F.when(kind == "error", "").when(kind != "view", F.concat(F.lit("consumer-"), "user_id"))
+    split = routing.named_members(views.table(spark, sf, "events").select("event_id", consumer.alias("consumer_id")))
+    return split.good.select("event_id", F.lit("ok").alias("reason")).unionByName(
+        split.dead_letter.select("event_id", "reason")
+    )
+
+
 @query("SELECT part_id, msg_offset, event_id FROM message_log")
 def log_offsets(spark, sf):
     return _log_names(views.messages(spark, sf)).select("part_id", "msg_offset", "event_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rackpulse.functions.numbers import is_finite
@@ -14,7 +14,8 @@ from rackpulse.schemas import GPUS, TELEMETRY_SAMPLES
 _TIMES = {"created_at", "updated_at", "ingested_at", "sample_at"}
 
 
-def _row(df: DataFrame, names: list[str], optional: set[str]) -> DataFrame:
+def _texts(names: list[str], optional: set[str]) -> Column:
+    """JSON of some fields; those that are NULL, or optional and empty, are left out."""
     fields = []
     for name in names:
         column = F.col(name)
@@ -23,21 +24,29 @@ def _row(df: DataFrame, names: list[str], optional: set[str]) -> DataFrame:
         elif name in optional:
             column = null_if_empty(column)
         fields.append(column.alias(name))
-    return df.withColumn("json", F.to_json(F.struct(*fields)))
+    return F.to_json(F.struct(*fields))
+
+
+def _joined(*objects: Column) -> Column:
+    """One JSON object of the fields of several."""
+    inner = [F.substring(text, F.lit(2), F.length(text) - 2) for text in objects]
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.array(*inner), lambda text: text != ""), ","), F.lit("}"))
 
 
 def gpu_json(devices: DataFrame) -> DataFrame:
     """Adds ``json`` with all device fields."""
-    return _row(devices, GPUS.names, set())
+    return devices.withColumn("json", _texts(GPUS.names, set()))
 
 
 def sample_json(samples: DataFrame) -> DataFrame:
     """Adds ``json`` with the sample fields; empty optional texts are left out.
 
-    JSON has no NaN or infinity: such a value becomes null. Spark writes it as a
-    quoted word, and quotes inside a text field are escaped, so only the field
-    itself can match.
+    JSON has no NaN or infinity: such a value becomes null.
     """
-    rows = _row(samples, TELEMETRY_SAMPLES.names, NULLABLE_SAMPLE)
-    nulled = F.regexp_replace("json", r'"value":"(?:NaN|-?Infinity)"', '"value":null')
-    return rows.withColumn("json", F.when(is_finite(F.col("value")), F.col("json")).otherwise(nulled))
+    names = TELEMETRY_SAMPLES.names
+    place = names.index("value")
+    number = F.when(is_finite(F.col("value")), F.col("value")).alias("value")
+    return samples.withColumn("json", _joined(
+        _texts(names[:place], NULLABLE_SAMPLE), F.to_json(F.struct(number), {"ignoreNullFields": "false"}),
+        _texts(names[place + 1:], NULLABLE_SAMPLE),
+    ))

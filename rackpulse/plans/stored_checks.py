@@ -28,7 +28,7 @@ from rackpulse.plans.checks import (
 )
 from rackpulse.plans.ingest import apply_batch
 from rackpulse.plans.params import TelemetryFilter
-from rackpulse.schemas import MESSAGE_LOG, SAMPLE_KEY
+from rackpulse.schemas import DEFAULT_PARTITIONS, MESSAGE_LOG, SAMPLE_KEY
 from rackpulse.session import scratch_dir
 from rackpulse.sources.bucketed import save_bucketed
 from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log, write_log
@@ -82,6 +82,22 @@ def samples_compacted(spark, sf):
     return stored_columns(tables)
 
 
+@query("SELECT event_id AS id, uuid, metric_name, sample_at, value FROM records WHERE event_id % 10 IN (2, 5, 7)")
+def stored_absent(spark, sf):
+    """What an insert of all records would add to tables that miss three log partitions of each day."""
+    tables, path = Tables(spark, scratch_dir(spark, "tables")), scratch_dir(spark, "log")
+    append_log(views.records(spark, sf), path, "event_id")
+    messages = read_log(spark, path)
+    late = F.col("partition").isin(2, 5, 7)
+    apply_batch(tables, messages.where(~late), "collector")
+    samples = check_records(with_times(message_records(messages))).samples
+    absent = tables.absent_samples(samples.withColumn("sample_date", F.to_date("sample_at")))
+    return absent.select(
+        (F.col("offset") * DEFAULT_PARTITIONS + F.col("partition")).alias("id"), "uuid", "metric_name",
+        F.col("sample_at").cast("timestamp_ntz").alias("sample_at"), "value",
+    )
+
+
 @query("""SELECT event_id AS id, date_trunc('day', ts) AS sample_at,
             (row_number() OVER (ORDER BY date_trunc('day', ts) DESC, event_id DESC) - 1)
               // ((SELECT count(*) FROM events) // 5 + 1) AS page_number FROM events""")

@@ -172,7 +172,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
 
 
 def stream_csv(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same rows from files as they arrive in a folder, with their ``_file``.
+    """The same rows from files as they arrive in a folder, with their ``_file`` and when it was ``_modified``.
 
     A file is the unit of a stream and is parsed as a whole, so quoted line breaks are kept.
     """
@@ -180,7 +180,9 @@ def stream_csv(spark: SparkSession, path: str, max_files: int = 1000) -> DataFra
         spark.readStream.schema(RAW_CSV_SCAN).options(**OPTIONS)
         .option("maxFilesPerTrigger", max_files).option("multiLine", True).csv(path)
     )
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    return rows.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_modified")
+    )
 
 
 def read_numbered_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -19,6 +20,7 @@ from rackpulse.operators.merge import first_wins, insert_if_absent, merge_states
 from rackpulse.operators.seek import Cursor, seek
 from rackpulse.operators.sizes import written
 from rackpulse.schemas import ACK_LOG, GPUS, SAMPLE_KEY, TELEMETRY_RECORD, TELEMETRY_SAMPLES
+from rackpulse.sources.sample_keys import KEY_FILTER, filter_rows, held_keys, possibly_held
 
 # A later record wins by time, then by its place in the log.
 RECORD_ORDER = ["ingested_unix_ns", "topic", "partition", "offset"]
@@ -203,36 +205,86 @@ class Tables:
         ranged = rows.repartitionByRange(parts, *layout) if parts else rows.repartitionByRange(*layout)
         return ranged.sortWithinPartitions(*layout).write.options(**SKIPPABLE)
 
+    def _days_of(self, rows: DataFrame) -> list[date]:
+        return [row["sample_date"] for row in rows.select("sample_date").distinct().collect()]
+
+    def _key_filter(self, days: list[date]) -> DataFrame:
+        return self._read("sample_keys", KEY_FILTER).where(F.col("sample_date").isin(days))
+
+    def _remember(self, rows: DataFrame, mode: str = "append") -> None:
+        """Put the keys of ``rows`` into the filter."""
+        held = held_keys(self._key_filter(self._days_of(rows) if mode == "append" else []))
+        filter_rows(rows, held).write.mode(mode).partitionBy("sample_date").parquet(f"{self.root}/sample_keys")
+
+    def _complete_filter(self) -> None:
+        """Build the filter of samples that were stored before there was one."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        done = jvm.Path(f"{self.root}/sample_keys/_SUCCESS")
+        if self.sample_days() and not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            self._remember(self.samples(), "overwrite")
+
+    def absent_samples(self, rows: DataFrame) -> DataFrame:
+        """The rows, one per key and with ``sample_date``, whose key is not stored.
+
+        The filter of the keys tells nearly all new rows. The others are looked up among
+        the samples of their own days, times and devices; without any, no sample is read.
+        """
+        self._complete_filter()
+        filters = self._key_filter(self._days_of(rows))
+        maybe = written(possibly_held(rows, filters, held_keys(filters)), "maybe")
+        repeated = self._candidates(maybe).select(*SAMPLE_KEY).join(maybe.select(*SAMPLE_KEY), SAMPLE_KEY, "left_semi")
+        return insert_if_absent(rows, repeated)
+
     def _candidates(self, rows: DataFrame) -> DataFrame:
-        """Stored samples from the times of a batch; only those can repeat its keys."""
+        """Stored samples from the times and devices of some rows; only those can repeat their keys."""
         micros = F.unix_micros("sample_at")
-        spans = (
-            rows.groupBy(F.to_date("sample_at").alias("day"))
-            .agg(F.min(micros).alias("low"), F.max(micros).alias("high"))
+        spans = rows.groupBy("sample_date").agg(
+            F.min(micros).alias("low"), F.max(micros).alias("high"), F.min("uuid").alias("first"), F.max("uuid").alias("last")
         )
         stored = self.samples()
         days = spans.collect()
         if not days:
             return stored.limit(0)
         if len(days) > MOST_DAYS:
-            return stored.where(F.col("sample_date").isin([span.day for span in days]))
-        low_high = "timestamp_micros({0.low}) AND timestamp_micros({0.high})"
-        touched = " OR ".join(
-            f"(sample_date = date '{span.day}' AND sample_at BETWEEN {low_high.format(span)})" for span in days
-        )
-        return stored.where(touched)
+            return stored.where(F.col("sample_date").isin([span.sample_date for span in days]))
+        return stored.where(reduce(Column.__or__, [
+            (F.col("sample_date") == F.lit(span.sample_date))
+            & F.col("sample_at").between(F.timestamp_micros(F.lit(span.low)), F.timestamp_micros(F.lit(span.high)))
+            & F.col("uuid").between(span.first, span.last) for span in days
+        ]))
+
+    def _claimed(self, number: int) -> int:
+        """The first free number from ``number`` on, taken by creating its file.
+
+        Of two writers that start at once only one creates a file; the other goes on to
+        the next number, or fails and is repeated.
+        """
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        files = jvm.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(jvm.Path(f"{self.root}/id_claims"))
+        while not files.createNewFile(jvm.Path(f"{self.root}/id_claims/{number}")):
+            number += 1
+        return number
 
     def _id_start(self, rows: DataFrame, partitions: int) -> DataFrame:
-        """``topic`` and the number of its id range, given out when a topic first comes."""
+        """``topic`` and the number of its id range, given out when a topic first comes.
+
+        A number is claimed before it is stored, so it is never given twice, and a topic
+        that two writers register at once may own two ranges.
+        """
         known = self._read("id_ranges", ID_RANGES)
         rows = rows.where(F.col("topic").isNotNull()).select("topic").distinct()
         mine = known.where(F.col("partitions") == partitions).select("topic")
         new = sorted(row["topic"] for row in rows.join(mine, "topic", "left_anti").limit(MOST_RANGES + 1).collect())
         if new:
             first = known.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
-            if first + len(new) > MOST_RANGES:
-                raise ValueError(f"the tables hold at most {MOST_RANGES} topics")
-            ranges = [(topic, partitions, first + place) for place, topic in enumerate(new)]
+            ranges = []
+            for topic in new:
+                first = self._claimed(first)
+                if first >= MOST_RANGES:
+                    raise ValueError(f"the tables hold at most {MOST_RANGES} topics")
+                ranges.append((topic, partitions, first))
+                first += 1
             self.spark.createDataFrame(ranges, ID_RANGES).coalesce(1).write.mode("append").parquet(f"{self.root}/id_ranges")
         return self._read("id_ranges", ID_RANGES).where(F.col("partitions") == partitions).groupBy("topic").agg(
             F.min("number").alias("_number")
@@ -245,16 +297,17 @@ class Tables:
         which is stored and never given to another topic or number of partitions, so ids
         stay unique over topics. The new rows are written once to the scratch folder, as
         the range layout reads them twice. Files are cut by date, device, metric and time,
-        so one device's range is few row groups and a busy device or day is spread.
+        so one device's range is few row groups and a busy device or day is spread. The
+        keys go into the filter first: a crash before the samples leaves keys that are
+        looked up in vain, never samples that the filter does not know.
         """
         self._finish_compaction()
-        first = first_wins(samples, RECORD_ORDER)
-        fresh = insert_if_absent(first, self._candidates(samples))
-        ranges = self._id_start(samples, partitions)
-        rows = written(fresh.join(ranges, "topic").withColumns({
-            "id": F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition"),
-            "sample_date": F.to_date("sample_at"),
-        }).select(*STORED_SAMPLES.names), "fresh")
+        first = written(first_wins(samples, RECORD_ORDER).withColumn("sample_date", F.to_date("sample_at")), "first")
+        ranges = self._id_start(first, partitions)
+        number = F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition")
+        fresh = self.absent_samples(first).join(ranges, "topic").withColumn("id", number)
+        rows = written(fresh.select(*STORED_SAMPLES.names), "fresh")
+        self._remember(rows)
         self._laid_out(rows).mode("append").partitionBy("sample_date").parquet(f"{self.root}/telemetry_samples")
 
     # Progress and rejected messages.

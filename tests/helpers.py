@@ -45,3 +45,22 @@ def messages(spark, rows, topic="telemetry"):
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scanned_rows(df):
+    """Rows that the plan's file scans hand on, after row groups were skipped."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    waiting, total = [execution.executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            waiting.append(node.plan())
+        if node.nodeName().startswith("Scan"):
+            total += node.metrics().get("numOutputRows").get().value()
+        children = node.children().iterator()
+        while children.hasNext():
+            waiting.append(children.next())
+    return total

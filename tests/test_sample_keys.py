@@ -1,0 +1,98 @@
+import pytest
+from helpers import messages, record, scanned_rows
+from pyspark.sql import functions as F
+from rackpulse.plans.ingest import apply_batch
+from rackpulse.sources import sample_keys
+from rackpulse.sources.sample_keys import KEY_FILTER, filter_rows, held_keys, possibly_held
+from rackpulse.sources.tables import Tables
+
+MAY = 1_777_636_800_000_000_000  # 2026-05-01 12:00:00 UTC
+
+
+def keys(spark, low, high, days=3):
+    number = F.col("id")
+    sample_at = F.timestamp_micros(MAY // 1000 + number % days * 86_400_000_000 + number * 1000)
+    return spark.range(low, high).select(
+        F.concat(F.lit("GPU-"), number % 50).alias("uuid"), F.lit("m").alias("metric_name"),
+        sample_at.alias("sample_at"), F.to_date(sample_at).alias("sample_date"),
+    )
+
+
+def test_no_stored_key_is_missed_and_few_new_ones_are_taken_for_stored(spark, tmp_path):
+    path, levels = str(tmp_path / "filter"), set()
+    empty = spark.createDataFrame([], KEY_FILTER)
+    for part in range(4):
+        held = held_keys(spark.read.schema(KEY_FILTER).parquet(path) if part else empty)
+        filter_rows(keys(spark, part * 9000, (part + 1) * 9000), held).write.mode("append").partitionBy("sample_date").parquet(path)
+    filters = spark.read.schema(KEY_FILTER).parquet(path)
+    held = held_keys(filters)
+    for row in held.collect():
+        assert row.keys <= sample_keys.KEYS_PER_BLOCK * 4 ** row.level
+        levels.add(row.level)
+    assert len(levels) > 1 and sum(row.keys for row in held.collect()) == 36_000
+    stored, new = keys(spark, 0, 36_000), keys(spark, 40_000, 76_000)
+    assert possibly_held(stored, filters, held).count() == 36_000
+    assert possibly_held(new, filters, held).count() < 36_000 / 300
+    assert possibly_held(new.limit(0), filters, held).count() == 0
+    assert possibly_held(new, empty, held_keys(empty)).count() == 0
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    return Tables(spark, str(tmp_path / "tables"))
+
+
+def batch(spark, low, high, topic="telemetry"):
+    rows = [(0, n, record(f"GPU-{n % 7}", MAY + n * 1_000_000, value=float(n))) for n in range(low, high)]
+    return messages(spark, rows, topic)
+
+
+def stored_keys(tables):
+    return sorted((row.uuid, row.sample_at) for row in tables.samples().collect())
+
+
+def with_dates(rows):
+    return rows.select("uuid", "metric_name", "sample_at", F.to_date("sample_at").alias("sample_date"))
+
+
+def samples_of(spark, low, high):
+    """The keys of ``batch``, made without reading a file."""
+    sample_at = F.timestamp_micros(MAY // 1000 + F.col("id") * 1000)
+    return spark.range(low, high).select(
+        F.concat(F.lit("GPU-"), F.col("id") % 7).alias("uuid"), F.lit("m").alias("metric_name"),
+        sample_at.alias("sample_at"), F.to_date(sample_at).alias("sample_date"), "id",
+    )
+
+
+def test_new_keys_are_inserted_without_a_look_at_the_samples(spark, tables):
+    apply_batch(tables, batch(spark, 0, 200), "g", partitions=1)
+    new = tables.absent_samples(samples_of(spark, 1000, 1200))
+    assert new.count() == 200 and scanned_rows(new) == 0
+    some = tables.absent_samples(samples_of(spark, 197, 400))
+    # Three keys from the filter and, of the 200 samples, at most those of one row group.
+    assert sorted(row.id for row in some.collect()) == list(range(200, 400)) and 0 < scanned_rows(some) < 220
+    assert tables.absent_samples(samples_of(spark, 0, 200)).count() == 0
+    apply_batch(tables, batch(spark, 100, 300), "g", partitions=1)
+    assert [row.value for row in tables.samples().orderBy("value").collect()] == [float(n) for n in range(300)]
+
+
+def test_filter_of_older_tables_is_built_and_a_crash_loses_nothing(spark, tables):
+    apply_batch(tables, batch(spark, 0, 60), "g", partitions=1)
+    older = Tables(spark, tables.root + "_older")
+    tables.samples().write.partitionBy("sample_date").parquet(f"{older.root}/telemetry_samples")
+    apply_batch(older, batch(spark, 30, 90), "g", partitions=1)
+    assert older.samples().count() == 90
+    # Keys that were put into the filter just before a crash do not hide their samples.
+    ahead = with_dates(older.samples()).withColumn("sample_at", F.timestamp_micros(F.unix_micros("sample_at") + 90_000))
+    older._remember(ahead)
+    apply_batch(older, batch(spark, 90, 180), "g", partitions=1)
+    assert older.samples().count() == 180
+
+
+def test_number_claimed_by_another_writer_is_not_given_out(spark, tables):
+    apply_batch(tables, batch(spark, 0, 5), "g", partitions=1)
+    assert tables._claimed(1) == 1  # another writer took the number and has not stored it yet
+    apply_batch(tables, batch(spark, 5, 10, "other"), "g", partitions=1)
+    numbers = {row.topic: row.number for row in spark.read.parquet(f"{tables.root}/id_ranges").collect()}
+    assert numbers == {"telemetry": 0, "other": 2}
+    assert tables.samples().select("id").distinct().count() == 10

@@ -2,7 +2,7 @@ import shutil
 from datetime import datetime, timezone
 
 import pytest
-from helpers import messages, record
+from helpers import messages, record, scanned_rows
 from pyspark.sql import functions as F
 from rackpulse.operators.seek import Cursor, pages, seek
 from rackpulse.plans.ingest import apply_batch
@@ -12,23 +12,6 @@ DAY = 86_400_000_000_000
 MAY = 1_777_636_800_000_000_000  # 2026-05-01 12:00:00 UTC
 
 
-def scanned_rows(df):
-    """Rows that the plan's file scans hand on, after row groups were skipped."""
-    execution = df._jdf.queryExecution()
-    execution.toRdd().count()
-    waiting, total = [execution.executedPlan()], 0
-    while waiting:
-        node = waiting.pop()
-        if node.nodeName() == "AdaptiveSparkPlan":
-            waiting.append(node.executedPlan())
-        if node.nodeName().startswith("Scan"):
-            total += node.metrics().get("numOutputRows").get().value()
-        children = node.children().iterator()
-        while children.hasNext():
-            waiting.append(children.next())
-    return total
-
-
 @pytest.fixture(scope="module")
 def filled(spark, tmp_path_factory):
     """Four batches of samples over six days, all days in every batch."""

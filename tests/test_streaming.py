@@ -1,11 +1,13 @@
 from pyspark.sql import functions as F
 
-from helpers import record
+from helpers import csv_line, record, write_csv
+from rackpulse.plans.ingest import apply_batch
 from rackpulse.schemas import TELEMETRY_RECORD
-from rackpulse.sources.log_files import append_log, stream_log
+from rackpulse.sources.csv import stream_csv
+from rackpulse.sources.log_files import append_log, message_records, read_log, stream_log
 from rackpulse.sources.replay import replay_stream
 from rackpulse.sources.tables import Tables
-from rackpulse.streaming.ingest import dedup_within, start_ingest
+from rackpulse.streaming.ingest import dedup_within, start_ingest, start_produce
 
 MAY = 1_777_636_800_000_000_000
 
@@ -63,3 +65,15 @@ def test_bounded_dedup(spark, tmp_path):
         availableNow=True).start(out)
     assert run.awaitTermination(180)
     assert sorted(r.value for r in spark.read.parquet(out).collect()) == [1.0, 2.0]
+
+
+def test_rows_appended_again_carry_the_same_stamps(spark, tmp_path, rows_of):
+    log, folder = str(tmp_path / "log"), tmp_path / "csv"
+    write_csv(folder, csv_line("GPU-a", "1"), csv_line("GPU-a", "2"), csv_line("GPU-b", "3"))
+    for checkpoint in ("c1", "c2"):  # the second run stands for a repeat whose note was lost
+        assert start_produce(stream_csv(spark, str(folder)), log, str(tmp_path / checkpoint), "t", 1, 1).awaitTermination(300)
+    rows = message_records(read_log(spark, log))
+    assert rows.count() == 6 and rows.select("uuid", "metric_name", "sample_unix_ns").distinct().count() == 3
+    tables = Tables(spark, str(tmp_path / "tables"))
+    apply_batch(tables, read_log(spark, log), "g", partitions=1)
+    assert rows_of(tables.samples(), "value") == [(1.0,), (2.0,), (3.0,)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,11 +157,11 @@ def template_spans(words: list[bytes], machine: Automaton, least: int = LEAST_MA
     spans = []
     for which, found in segments.items():
         chains: list[list[int]] = []  # text start, text stop, template stop, covered
+        stops: list[tuple[int, int]] = []  # text stop and number of each chain, sorted
         for start, at, length in sorted(found):
             grown = None
-            for chain in reversed(chains):
-                if start - chain[1] > gap:
-                    break
+            for _, number in reversed(stops[bisect_left(stops, (start - gap, 0)):]):
+                chain = chains[number]
                 skip = max(0, chain[1] - start, chain[2] - at)
                 if skip < length and start + skip - chain[1] <= gap:
                     held = [chain[0], start + length, at + length, chain[3] + length - skip]
@@ -168,6 +169,7 @@ def template_spans(words: list[bytes], machine: Automaton, least: int = LEAST_MA
                         grown = held
             alone = [start, start + length, at + length, length]
             chains.append(grown if grown and grown[3] > length else alone)
+            insort(stops, (chains[-1][1], len(chains) - 1))
         best: dict[int, list[int]] = {}
         for chain in chains:
             if chain[0] not in best or chain[3] > best[chain[0]][3]:
@@ -184,8 +186,11 @@ def scan_text(text: bytes, machine: Automaton, templates=TEMPLATES, cover: float
     for phrase, label in BASE.items():
         sought = b" " + phrase.encode() + b" "
         at = joined.find(sought)
+        counted = word = 0  # words before the place ``counted``
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word += joined.count(b" ", counted, at)
+            counted = at
+            places.append(word)
             found.add(label)
             at = joined.find(sought, at + 1)
     spans = template_spans(words, machine)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
@@ -30,6 +31,9 @@ RULES = (
 # Mined rules: share of the labelled pages that hold all of a rule's tokens and the
 # label, share of its pages that have the label, and most tokens of a rule.
 LEAST_SUPPORT, LEAST_CONFIDENCE, MOST_TOKENS = 0.002, 0.6, 3
+# However few pages are labelled, a rule rests on so many bad ones, and the share of bad
+# ones among its pages lies so many standard errors above the share among all.
+LEAST_PAGES, ERRORS = 20, 3.0
 BLOCKED = "label=block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,17 +58,16 @@ def listed(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, path parts with digits folded, query keys, length class."""
-    labels = F.transform(F.split(host, r"\."), lambda part: F.concat(F.lit("h="), part))
+    """Distinct tokens: parts of the host, path parts with digits folded, query keys."""
     parts = F.transform(
         F.split(F.lower(path), r"[/._-]+"), lambda part: F.concat(F.lit("p="), F.regexp_replace(part, r"\d+", "0"))
     )
-    words = F.transform(F.split(host, r"[.-]"), lambda part: F.concat(F.lit("w="), part))
+    words = F.transform(F.split(host, r"[.-]"), lambda part: F.concat(F.lit("h="), part))
     keys = F.transform(
         F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)),
         lambda key: F.concat(F.lit("q="), key),
     )
-    return F.filter(F.array_distinct(F.concat(labels, words, parts, keys)), lambda token: F.length(token) > 2)
+    return F.filter(F.array_distinct(F.concat(words, parts, keys)), lambda token: F.length(token) > 2)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -75,29 +78,66 @@ def parsed(pages: DataFrame) -> DataFrame:
     return split.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
 
 
+def _beyond_chance(hits: Column, uses: Column, base: float, errors: float) -> Column:
+    """Whether the lower Wilson bound of ``hits / uses`` lies above ``base``."""
+    share, square = hits / uses, errors * errors
+    margin = errors * F.sqrt(share * (1 - share) / uses + square / (4 * uses * uses))
+    return (share + square / (2 * uses) - margin) / (1 + square / uses) > base
+
+
+def _uses(held: DataFrame, sets: DataFrame, items: DataFrame) -> DataFrame:
+    """How many rows of ``held`` hold each token set, through an index by the set's rarest token."""
+    index = (
+        sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+        .groupBy("tokens").agg(F.min_by("token", F.struct("uses", "token")).alias("anchor"))
+    )
+    asked = held.select("items", F.explode("items").alias("anchor")).join(index, "anchor")
+    return asked.where(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens").agg(F.count("*").alias("uses"))
+
+
 def mine(rows: DataFrame, labels: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE,
-         most: int = MOST_TOKENS) -> DataFrame:
+         most: int = MOST_TOKENS, pages: int = LEAST_PAGES, errors: float = ERRORS) -> DataFrame:
     """``tokens``, ``support`` and ``confidence`` of the rules that point to a bad page.
 
-    A page is bad if any label of its id says low quality or toxic. FP-growth finds the
-    frequent token sets; of the rules for the label those stay that no rule with fewer
-    of the same tokens matches in confidence.
+    A page is bad if any label of its id says low quality or toxic. Only tokens on enough
+    bad pages can be in a rule; of tokens that stand on exactly the same pages the first
+    speaks for all, so a long URL that is often repeated is one token. FP-growth finds the
+    frequent token sets of the bad pages, and the pages that hold each set are counted
+    over all labelled ones. A rule needs ``support``, ``pages`` bad pages, ``confidence``,
+    and more bad pages than chance explains; of such rules those stay that no rule with
+    fewer of the same tokens matches in confidence.
     """
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("page_id")).agg(
         F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
     )
     baskets = stored(
         rows.join(bad, "page_id").select(
-            F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items")
-        ),
-        "baskets",
+            F.monotonically_increasing_id().alias("basket"), "bad", "tokens",
+        ), "baskets",
+    )
+    total, total_bad = baskets.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    least = max(pages, math.ceil(support * total))
+    if total_bad < least:
+        return rows.sparkSession.createDataFrame([], "tokens array<string>, support double, confidence double")
+    uses = baskets.select("basket", "bad", F.explode("tokens").alias("token"))
+    alike = F.sum(F.xxhash64("basket").cast("decimal(38,0)")).alias("alike")
+    items = stored(
+        uses.groupBy("token").agg(F.count("*").alias("uses"), F.sum("bad").alias("hits"), alike).where(F.col("hits") >= least)
+        .groupBy("uses", "alike").agg(F.min("token").alias("token")).select("token", "uses"), "items",
+    )
+    held = stored(
+        uses.join(items.select("token"), "token").groupBy("basket", "bad").agg(F.collect_list("token").alias("items")), "held"
+    )
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total_bad).fit(held.where("bad = 1"))
+    sets = stored(
+        model.freqItemsets.where(F.size("items") <= most).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")),
+        "sets",
     )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    share = F.col("hits") / F.col("uses")
     rules = stored(
-        model.associationRules.where(
-            (F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= most)
-        ).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"),
-        "rules",
+        sets.join(_uses(held, sets, items), "tokens")
+        .where((share >= confidence) & _beyond_chance(F.col("hits"), F.col("uses"), total_bad / total, errors))
+        .select("tokens", (F.col("hits") / total).alias("support"), share.alias("confidence")), "rules",
     )
     # A rule is dropped if leaving out tokens loses nothing; its sub-rules are looked up by key.
     one_less = rules.select(

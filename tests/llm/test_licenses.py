@@ -73,3 +73,8 @@ def test_odd_rows(spark):
     got = sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in scan(docs).collect())
     assert got == sorted(repr((r.doc_id, *base(r.text))) for r in docs.collect())
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_very_many_phrases_in_one_text():
+    got = scan_text(b"cc by " * 300_000, MACHINE)
+    assert got[:5] == (600_000, 300_000, 0, 599_998, "cc-by")

@@ -77,3 +77,29 @@ def test_mined_rules_against_counting(spark):
     unseen = [i for i in verdicts if i % 2]
     right = sum((verdicts[i] == "block") == bool(re.search("pills|casino", urls[i])) for i in unseen)
     assert right >= 0.95 * len(unseen) and BLOCKED
+
+
+def test_rules_rest_on_enough_pages_and_more_than_chance(spark):
+    rng = random.Random(32)
+    pages, labels = [], []
+    for i in range(800):
+        # One word on 15 bad pages only, one on 40 bad pages, and words that say nothing.
+        word = "rare" if i < 15 else "casino" if i < 55 else rng.choice(["news", "blog", "wiki", "shop"])
+        bad = i < 55 or rng.random() < 0.4
+        pages.append((i, f"https://{word}.site{rng.randrange(6)}.org/p{i}/", None))
+        labels.append((i, 0 if bad else 1, 0))
+    rows = parsed(spark.createDataFrame(pages, SCHEMA))
+    labels = spark.createDataFrame(labels, LABELS).selectExpr("*", "'x' AS tokens", "0 AS bad", "'y' AS token")
+    assert [rule.tokens for rule in mine(rows, labels).collect()] == [["h=casino"]]
+    assert "h=rare" in {t for rule in mine(rows, labels, pages=10).collect() for t in rule.tokens}
+    assert mine(rows, labels.limit(0)).count() == 0 and mine(rows.limit(0), labels).count() == 0
+
+
+def test_long_urls_that_repeat_are_one_token(spark):
+    path = "/".join(f"part-{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    pages = [(i, f"http://host.org/{path}/x" if i % 2 else f"http://other.org/{'a' * 200_000 if i == 0 else 'y'}", None) for i in range(200)]
+    labels = [(i, 0 if i % 2 else 1, 0) for i in range(200)]
+    pages, labels = spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, LABELS)
+    rules = mine(parsed(pages), labels).collect()
+    assert len(rules) == 1 and len(rules[0].tokens) == 1 and rules[0].confidence == 1.0
+    assert {r.page_id % 2: r.verdict for r in judge_urls(pages, labels).collect()} == {0: "allow", 1: "block"}

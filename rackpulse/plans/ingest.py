@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rackpulse.operators.merge import latest_state
 from rackpulse.operators.records import check_records, split_rows, with_times
 from rackpulse.operators.routing import in_partitions, tag_partition
+from rackpulse.operators.sizes import written
 from rackpulse.schemas import CSV_COLUMNS, DEFAULT_PARTITIONS, LOG_KEY, TELEMETRY_RECORD
 from rackpulse.sources.log_files import message_records
 from rackpulse.sources.tables import RECORD_ORDER, Tables
@@ -68,10 +69,10 @@ def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int =
     crash between two steps heals when the batch is repeated. What is written is named
     by the messages themselves; ``batch_id`` is not, as numbers start again with a new
     checkpoint. With ``cache``, for a micro-batch, the messages are held for the steps;
-    without it each step reads the columns it needs again.
+    without it they are written once to the scratch folder, and each step reads the columns
+    it needs from there instead of running the source again.
     """
-    if cache:
-        messages = messages.persist()
+    messages = messages.persist() if cache else written(messages, "batch")
     try:
         batch = batch_key(messages, group)
         # A message without a place in the log has no id.

@@ -680,7 +680,7 @@ def stream_csv_to_log(spark, sf):
         .select(*CSV_COLUMNS, "quarter").write.partitionBy("quarter")
         .options(header="true", escape='"', emptyValue="").csv(path)
     )
-    feed = stream_csv(spark, f"{path}/*", max_files=3)
+    feed = stream_csv(spark, f"{path}/*", max_files=3, with_times=True)
     for _ in range(2):  # the second run finds nothing new
         run = start_produce(feed, log, f"{log}_checkpoint", views.TOPIC, producers=12)
         run.awaitTermination()

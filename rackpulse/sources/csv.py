@@ -171,18 +171,17 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
     return reduce(DataFrame.unionByName, [*parts.scans, *(rows.select(*RAW_CSV_SCAN.names) for rows in parts.records)])
 
 
-def stream_csv(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same rows from files as they arrive in a folder, with their ``_file`` and when it was ``_modified``.
+def stream_csv(spark: SparkSession, path: str, max_files: int = 1000, with_times: bool = False) -> DataFrame:
+    """The same rows from files as they arrive in a folder, with their ``_file``.
 
-    A file is the unit of a stream and is parsed as a whole, so quoted line breaks are kept.
+    ``with_times`` adds when it was ``_modified``. A file is the unit of a stream and is parsed as a whole, so quoted line breaks are kept.
     """
     rows = (
         spark.readStream.schema(RAW_CSV_SCAN).options(**OPTIONS)
         .option("maxFilesPerTrigger", max_files).option("multiLine", True).csv(path)
     )
-    return rows.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_modified")
-    )
+    times = [F.col("_metadata.file_modification_time").alias("_modified")] if with_times else []
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), *times)
 
 
 def read_numbered_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:

@@ -40,9 +40,10 @@ def start_produce(rows: DataFrame, log: str, checkpoint: str, topic: str, produc
     Rows are numbered from 0 in each file, in file order, and offsets follow file name and
     row. A micro-batch that is delivered again after it was appended is left out: the
     batches that are done are listed beside the log, under the checkpoint's own id. After a
-    crash between the append and its note the messages are appended again, but with the
-    same stamps, so the tables take each sample once: a row is stamped with the time its
-    file was modified and a microsecond per row before it.
+    crash between the append and its note the messages are appended again. If the stream
+    was read with times they carry the same stamps then, so the tables take each sample
+    once: a row is stamped with the time its file was modified and a microsecond per row
+    before it. Else the wall clock of the batch is taken.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -53,7 +54,7 @@ def start_produce(rows: DataFrame, log: str, checkpoint: str, topic: str, produc
         # A file is parsed by one task, so the ids grow along its rows.
         rows_of_files = batch.withColumn("_id", F.monotonically_increasing_id())
         numbered = number_rows(rows_of_files, ["_file"], "_id", "row_num")
-        stamp = (F.unix_micros("_modified") + F.col("row_num")) * 1000
+        stamp = (F.unix_micros("_modified") + F.col("row_num")) * 1000 if "_modified" in batch.columns else None
         made = produce(numbered, topic, producers, partitions, stamp, arrival="_file")
         append_log(made.records, log, ["_file", "row_num"])
         if dead_letter:

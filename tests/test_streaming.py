@@ -71,7 +71,8 @@ def test_rows_appended_again_carry_the_same_stamps(spark, tmp_path, rows_of):
     log, folder = str(tmp_path / "log"), tmp_path / "csv"
     write_csv(folder, csv_line("GPU-a", "1"), csv_line("GPU-a", "2"), csv_line("GPU-b", "3"))
     for checkpoint in ("c1", "c2"):  # the second run stands for a repeat whose note was lost
-        assert start_produce(stream_csv(spark, str(folder)), log, str(tmp_path / checkpoint), "t", 1, 1).awaitTermination(300)
+        feed = stream_csv(spark, str(folder), with_times=True)
+        assert start_produce(feed, log, str(tmp_path / checkpoint), "t", 1, 1).awaitTermination(300)
     rows = message_records(read_log(spark, log))
     assert rows.count() == 6 and rows.select("uuid", "metric_name", "sample_unix_ns").distinct().count() == 3
     tables = Tables(spark, str(tmp_path / "tables"))

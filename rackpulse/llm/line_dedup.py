@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import buckets_of, linked_groups, mix64, sized_words, small_side, stored
+from rackpulse.llm.common import buckets_of, linked_groups, mix64, sized_words, small_side, spread, stored
 
-# Lines with fewer words than the first bound are never removed, lines with fewer than
-# the second are only compared for equality.
-LEAST_WORDS, FUZZY_WORDS = 2, 8
 EDIT_SIMILARITY = 0.9
-# SimHashes up to the first distance are sure to share a block choice. Farther ones may do
-# so too; beyond the second they are not compared.
-BITS, MOST_DISTANCE, FARTHEST = 64, 3, 10
+# The features of a line are its words, those of a line with fewer words its runs of bytes.
+GRAM_WORDS, GRAM = 8, 3
+# SimHashes up to that distance are sure to share a block choice, farther ones may do so
+# too. Six blocks make 20 keys of about 32 bits; more blocks make longer keys, which fewer
+# lines share by chance.
+BITS, MOST_DISTANCE, BLOCKS = 64, 3, 6
 
 _U64 = np.uint64
 # Everything but letters, digits and non-ASCII characters becomes a blank.
@@ -42,14 +42,6 @@ def block_keys(blocks: int, distance: int = MOST_DISTANCE, bits: int = BITS) ->
     return [sum(choice) for choice in combinations(whole, blocks - distance)]
 
 
-def choose_blocks(lines: int, distance: int = MOST_DISTANCE, bits: int = BITS) -> int:
-    """The fewest blocks whose masks tell that many lines apart (8 bits to spare, if any can)."""
-    blocks = distance + 2
-    while blocks < 2 * distance + 4 and (1 << (bits * (blocks - distance) // blocks)) < 8 * lines:
-        blocks += 1
-    return blocks
-
-
 def numbered(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The words' hashes, those of a line's second, third, ... use of a word changed.
 
@@ -83,6 +75,32 @@ def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``GRAM`` bytes of some normalised lines, and their number per line.
+
+    A blank stands before and behind a line, so each line that is not empty has some.
+    """
+    held = [b" " + line.encode() + b" " for line in lines]
+    counts = np.array([len(line) - GRAM + 1 for line in held], np.int64)
+    raw = np.frombuffer(b"".join(held), np.uint8).astype(_U64)
+    rolled = np.zeros(max(0, len(raw) - GRAM + 1), _U64)
+    for step in range(GRAM):
+        rolled = (rolled << _U64(8)) | raw[step:step + len(rolled)]
+    starts = np.cumsum(counts + GRAM - 1) - counts - GRAM + 1
+    return mix64(rolled + _U64(1))[spread(starts, counts)], counts
+
+
+def line_hashes(lines: list[str], words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash of each line, given the hashes and numbers of its words."""
+    out = np.zeros(len(counts), _U64)
+    few = (counts > 0) & (counts < GRAM_WORDS)
+    many = counts >= GRAM_WORDS
+    out[many] = simhashes(words[np.repeat(many, counts)], counts[many])
+    if few.any():
+        out[few] = simhashes(*gram_hashes([normalised(lines[at]) for at in np.flatnonzero(few)]))
+    return out
+
+
 def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """All lines of some texts, and the number of lines of each."""
     lines = [(text or "").split("\n") for text in texts]
@@ -115,8 +133,8 @@ def give_back() -> None:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with enough words: its place, the hash of its words, its SimHash."""
-    schema = "doc_id bigint, text_key bigint, line bigint, node bigint, words bigint, chars bigint, simhash bigint"
+    """Every line with a word: its place, the hash of its words, its SimHash."""
+    schema = "doc_id bigint, text_key bigint, line bigint, node bigint, chars bigint, simhash bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,15 +145,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 counts = np.diff(first)
                 upto = np.concatenate([[0], np.cumsum(sizes)])[first]
                 chars = np.diff(upto) + counts - 1
-                keep = counts >= LEAST_WORDS
+                keep = counts > 0
                 owner = np.repeat(np.arange(len(per_text)), per_text)
                 place = np.arange(len(lines)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
                 taken = pa.array(owner[keep])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(taken), batch.column(1).take(taken), pa.array(place[keep]),
-                    pa.array(_line_keys(words, counts)[keep].view(np.int64)), pa.array(counts[keep]),
-                    pa.array(chars[keep]), pa.array(simhashes(words, counts)[keep].view(np.int64)),
-                ], ["doc_id", "text_key", "line", "node", "words", "chars", "simhash"])
+                    pa.array(_line_keys(words, counts)[keep].view(np.int64)),
+                    pa.array(chars[keep]), pa.array(line_hashes(lines, words, counts)[keep].view(np.int64)),
+                ], ["doc_id", "text_key", "line", "node", "chars", "simhash"])
         give_back()
 
     return _rows(docs).mapInArrow(run, schema)
@@ -208,7 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """The pairs whose texts have at least that edit similarity: 1 - distance / longer length.
 
     Most pairs are settled by a bound on their distance; the exact distance is
-    computed for the others.
+    computed for the others, along a band as wide as the distance may be.
     """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -229,40 +247,38 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     settled = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
         run, "a bigint, b bigint, most int, close boolean, one string, other string"
     )
-    exact = F.levenshtein("one", "other") <= F.col("most")
+    exact = F.expr("levenshtein(one, other, most)") >= 0
     return settled.where(F.coalesce("close", exact)).select("a", "b")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distance: int = MOST_DISTANCE) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, blocks: int = BLOCKS) -> DataFrame:
     """The lines to remove: per document (``doc_id``, ``text_key``) an array ``gone`` of line numbers.
 
-    Lines are compared by their lower-cased words. Equal lines are one node. Nodes of
-    enough words whose SimHashes agree on a choice of blocks are candidates, verified by
-    edit similarity; of each connected group the first occurrence in the order of
-    document and line stays. Buckets work as in the n-gram join.
+    Lines are compared by their lower-cased words. Equal lines are one node. Nodes long
+    enough for an edit (10 characters at 0.9) whose SimHashes agree on a choice of blocks
+    are candidates, and edit similarity alone decides on them; of each connected group the
+    first occurrence in the order of document and line stays. Buckets work as in the
+    n-gram join.
     """
     found = stored(occurrences(docs), "lines")
     place = F.struct("doc_id", "text_key", "line")
     nodes = stored(
-        found.groupBy("node", "words", "chars", "simhash").agg(F.min(place).alias("place"), F.count("*").alias("uses")), "nodes"
+        found.groupBy("node", "chars", "simhash").agg(F.min(place).alias("place"), F.count("*").alias("uses")), "nodes"
     )
-    fuzzy = nodes.where(F.col("words") >= FUZZY_WORDS)
-    masks = block_keys(choose_blocks(fuzzy.count(), distance), distance)
-    signed = [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
+    fuzzy = nodes.where(F.col("chars") * (1 - similarity) > 1 - 1e-9)
+    signed = [mask - (1 << 64) if mask >> 63 else mask for mask in block_keys(blocks)]
     keys = F.array(*(F.col("simhash").bitwiseAND(F.lit(mask)) for mask in signed))
-    weight = F.struct("simhash", "chars").alias("weight")
+    weight = F.struct("chars").alias("weight")
 
     def fits(left, right):
-        longer = F.greatest(left["chars"], right["chars"])
-        apart = F.bit_count(left["simhash"].bitwiseXOR(right["simhash"]))
-        return (F.least(left["chars"], right["chars"]) >= longer * similarity) & (apart <= FARTHEST)
+        return F.least(left["chars"], right["chars"]) >= F.greatest(left["chars"], right["chars"]) * similarity
 
     def check(pairs: DataFrame, ends: DataFrame) -> DataFrame:
         wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "place.*"), "places")
         return verified(pairs, stored(line_texts(docs, wanted, wanted.count()), "texts"), similarity)
 
     rows = fuzzy.select("node", weight, F.posexplode(keys).alias("band", "key"))
-    _, groups = linked_groups(buckets_of(rows, "simhash", FARTHEST), fuzzy.select("node", weight), fits, check, "groups")
+    _, groups = linked_groups(buckets_of(rows), fuzzy.select("node", weight), fits, check, "groups")
     grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("place").alias("keep"), F.sum("uses").alias("uses")).where("uses > 1")
     kept = stored(grouped.select("node", "root").join(first, "root").select("node", "keep"), "kept")
@@ -273,15 +289,16 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, distanc
 def without_lines(docs: DataFrame, count_as: str | None = None, **options) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines; ``count_as`` names a column for their number.
 
-    ``n_chars``, where there is such a column, is counted again. Lines of fewer than
-    two words always stay, so empty lines and lone marks do. A null text stays null.
+    ``n_chars``, where there is such a column, is counted again. Lines without a letter,
+    a digit or a non-ASCII character always stay. A null text stays null.
     Null ids order before all others. Rows with the same id and text are one document
     and stay alike. A document may lose all its lines: its text is then empty. Further
     columns pass through; an empty table gives no rows.
     """
     gone = stored(repeated_lines(docs, **options), "gone")
+    numbers = gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0
     joined = docs.alias("d").join(
-        small_side(gone, gone.count()).alias("g"),
+        small_side(gone, numbers).alias("g"),
         F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("g.doc_id"))
         & (F.xxhash64(F.col("d.text")) == F.col("g.text_key")),
         "left",

@@ -3,7 +3,18 @@ import random
 import corpus
 import numpy as np
 from rackpulse.llm.common import word_hashes
-from rackpulse.llm.line_dedup import FARTHEST, alignment_cost, block_keys, choose_blocks, numbered, repeated_lines, simhashes, within, without_lines
+from rackpulse.llm.line_dedup import (
+    BLOCKS,
+    alignment_cost,
+    block_keys,
+    gram_hashes,
+    line_hashes,
+    numbered,
+    repeated_lines,
+    simhashes,
+    within,
+    without_lines,
+)
 
 
 def distance(a, b):
@@ -15,18 +26,22 @@ def distance(a, b):
     return row[-1]
 
 
-def expected(texts):
+def hashed(lines):
+    words, first = word_hashes(lines)
+    return line_hashes(lines, words, np.diff(first)).tolist()
+
+
+def expected(texts, blocks=BLOCKS):
     """Per text the lines that stay, by comparing all lines whose SimHashes share a block choice."""
     lines = [(i, j, " ".join(corpus.plain_words(line))) for i, t in enumerate(texts) for j, line in enumerate(t.split("\n"))]
-    nodes = sorted({line for *_, line in lines if len(line.split()) >= 2})
-    masks = block_keys(choose_blocks(len(nodes)))
-    words, first = word_hashes(nodes)
-    hashes = dict(zip(nodes, simhashes(words, np.diff(first)).tolist()))
+    nodes = sorted({line for *_, line in lines if line})
+    masks = block_keys(blocks)
+    hashes = dict(zip(nodes, hashed(nodes)))
     edges = []
     for a in nodes:
         for b in nodes:
-            if a < b and min(len(a.split()), len(b.split())) >= 8 and any((hashes[a] ^ hashes[b]) & m == 0 for m in masks):
-                if (hashes[a] ^ hashes[b]).bit_count() <= FARTHEST and distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
+            if a < b and any((hashes[a] ^ hashes[b]) & m == 0 for m in masks):
+                if distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
                     edges.append((a, b))
     root = corpus.roots(nodes, edges)
     seen, gone = set(), {}
@@ -45,7 +60,6 @@ def test_blocks_find_all_close_hashes():
         for _ in range(200):
             flips = sum(1 << bit for bit in rng.sample(range(64), rng.randrange(4)))
             assert any(flips & mask == 0 for mask in masks)
-    assert choose_blocks(10) == 5 and choose_blocks(10**9) > choose_blocks(10**6)
 
 
 def test_simhash_by_bits():
@@ -109,3 +123,36 @@ def test_bounds_hold():
         assert alignment_cost(one, other) >= true
         for most in range(6):
             assert within(" ".join(one), " ".join(other), most) in (None, true <= most)
+
+
+def test_grams_of_short_lines():
+    hashes, counts = gram_hashes(["a", "abc ab", "é"])
+    assert counts.tolist() == [1, 6, 2]
+    plain = [line for text in (b" a ", b" abc ab ", " é ".encode()) for line in (text[i:i + 3] for i in range(len(text) - 2))]
+    assert len(set(hashes.tolist())) == len(set(plain)) == len({*zip(hashes.tolist(), plain)})
+    unspaced = "一" * 5 + "二三四五六七八九十" * 3
+    assert hashed([unspaced]) != [0] and hashed(["x y"]) == simhashes(*gram_hashes(["x y"])).tolist()
+
+
+def test_lines_of_a_word_and_very_long_lines(spark):
+    rng = random.Random(15)
+    far = [" ".join(rng.choice("abcdefgh") * 7 for _ in range(2500)) for _ in range(2)]
+    near = far[0][:9000] + "zz" + far[0][9001:]
+    texts = ["Les.\n===", "les\n===", "x", "X\nles", *far, near]
+    found = {r.doc_id: r.gone for r in repeated_lines(corpus.documents(spark, texts)).collect()}
+    assert {key: found[key] for key in found if key < 4} == {1: [0], 3: [0, 1]}
+    assert 5 not in found
+
+
+def test_recall_against_all_pairs_by_edit_similarity(spark):
+    """Pairs come from edits alone, not from the operator's hashes."""
+    rng = random.Random(16)
+    lines = [corpus.sentence(rng, rng.randrange(12, 60)) for _ in range(150)]
+    twins = []
+    for line in lines:
+        at = rng.randrange(len(line))
+        twins.append(line[:at] + "z" + line[at + 1:])
+    assert all(distance(a, b) <= 0.1 * len(a) for a, b in zip(lines, twins))
+    gone = {r.doc_id: r.gone for r in repeated_lines(corpus.documents(spark, lines + twins)).collect()}
+    assert all(key >= len(lines) for key in gone)
+    assert len(gone) >= 0.4 * len(twins)

@@ -16,6 +16,8 @@ from rackpulse.session import scratch_dir
 BROADCAST_ROWS = 1_000_000
 # Buckets up to this size are compared pair by pair, larger ones through a leader.
 SMALL_BUCKET = 8
+# Rows per partition where they are dealt by bucket before they are counted.
+DEALT_ROWS = 500_000
 
 _SLICE = 1 << 22
 _U64 = np.uint64
@@ -128,25 +130,24 @@ class Buckets(NamedTuple):
     members: DataFrame
 
 
-def buckets_of(rows: DataFrame, bits: str | None = None, farthest: int = 0) -> Buckets:
+def buckets_of(rows: DataFrame, expected: int | None = None) -> Buckets:
     """Group ``rows`` (``band``, ``key``, ``node``, ``weight``; a node once per bucket) by band and key.
 
-    ``bits`` may name a 64-bit field of the weight: buckets of two nodes that differ in
-    more than ``farthest`` of its bits are met by chance and left out while counting.
-
     A bucket is named by a hash of both. Counting combines before the shuffle and keeps
     three numbers per bucket, so buckets of one or two nodes, which are nearly all, are
-    settled by that one narrow shuffle. Only the larger ones are looked up again, by a
+    settled by that one narrow shuffle. Where nearly all buckets hold one node, combining
+    only spills: given the number of rows as ``expected``, two numbers per row are dealt
+    into partitions of about half a million rows and counted there. Only the larger ones are looked up again, by a
     broadcast of their names if their count allows. The leader is the node with the
     smallest hash in its bucket, so a large group has other leaders in other bands.
     """
     named = rows.select(F.xxhash64("band", "key").alias("bucket"), "node", "weight")
+    counted = named.select("bucket", "node")
+    if expected is not None:
+        least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counted = counted.repartition(max(least, -(-expected // DEALT_ROWS)), "bucket")
     counts = [F.count("*").alias("held"), F.min("node").alias("a"), F.max("node").alias("b")]
-    wanted = F.col("held") > 1
-    if bits:
-        counts.append(F.bit_xor(F.col("weight")[bits]).alias("apart"))
-        wanted &= (F.col("held") > 2) | (F.bit_count("apart") <= farthest)
-    held = stored(named.groupBy("bucket").agg(*counts).where(wanted).select("bucket", "held", "a", "b"), "buckets")
+    held = stored(counted.groupBy("bucket").agg(*counts).where("held > 1"), "buckets")
     large = held.where("held > 2").select("bucket", "held")
     members = stored(named.join(small_side(large, large.count()), "bucket"), "members")
     lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "weight")).alias("lead"))

@@ -278,7 +278,7 @@ def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, blocks:
         return verified(pairs, stored(line_texts(docs, wanted, wanted.count()), "texts"), similarity)
 
     rows = fuzzy.select("node", weight, F.posexplode(keys).alias("band", "key"))
-    _, groups = linked_groups(buckets_of(rows), fuzzy.select("node", weight), fits, check, "groups")
+    _, groups = linked_groups(buckets_of(rows, fuzzy.count() * len(signed)), fuzzy.select("node", weight), fits, check, "groups")
     grouped = nodes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("place").alias("keep"), F.sum("uses").alias("uses")).where("uses > 1")
     kept = stored(grouped.select("node", "root").join(first, "root").select("node", "keep"), "kept")

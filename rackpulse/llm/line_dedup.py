@@ -47,14 +47,42 @@ def numbered(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     Else a word that fills most of a line would decide all of its bits.
     """
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((words, line))
-    first = np.ones(len(words), bool)
-    first[1:] = (words[order[1:]] != words[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
-    at = np.arange(len(words))
-    use = np.empty(len(words), np.int64)
+    line = np.repeat(np.arange(len(counts), dtype=_U64), counts)
+    marks = words ^ mix64(line + _U64(1))
+    held = np.sort(marks)
+    twice = held[1:][held[1:] == held[:-1]]
+    if not len(twice):
+        return words
+    # Words that share their last bits with a repeated one are numbered too, in vain.
+    seen = np.zeros(1 << 20, bool)
+    seen[twice & _U64(0xFFFFF)] = True
+    some = np.flatnonzero(seen[marks & _U64(0xFFFFF)])
+    order = np.argsort(marks[some], kind="stable")
+    ordered = marks[some[order]]
+    first = np.ones(len(some), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.arange(len(some))
+    use = np.empty(len(some), np.int64)
     use[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return np.where(use == 0, words, mix64(words + use.astype(_U64) * _U64(0x9E3779B97F4A7C15)))
+    out, some, use = words.copy(), some[use > 0], use[use > 0]
+    out[some] = mix64(words[some] + use.astype(_U64) * _U64(0x9E3779B97F4A7C15))
+    return out
+
+
+def bit_counts(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each run's words have each bit set: one row of 64 numbers per run, none empty.
+
+    Eight counters of a byte lie in one number, so a run is summed 255 words at a time.
+    """
+    parts = -(-counts // 255)
+    first = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    starts = np.repeat(np.cumsum(counts) - counts, parts) + 255 * place
+    out = np.empty((len(starts), 8, 8), np.int32)
+    for bit in range(8):
+        sums = np.add.reduceat((words >> _U64(bit)) & _U64(0x0101010101010101), starts)
+        out[:, :, bit] = sums.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(out.reshape(-1, 64), first, axis=0)
 
 
 def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -66,12 +94,8 @@ def simhashes(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for low in range(0, len(filled), 4096):
         some = filled[low:low + 4096]
         part = words[starts[some[0]]:starts[some[-1]] + counts[some[-1]]]
-        ones = np.add.reduceat(
-            np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), starts[some] - starts[some[0]],
-            axis=0, dtype=np.int32,
-        )
-        signs = ones * 2 > counts[some, None]
-        out[some] = np.packbits(signs, axis=1).view(">u8").reshape(-1).astype(_U64)
+        signs = bit_counts(part, counts[some]) * 2 > counts[some, None]
+        out[some] = np.packbits(signs, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers, and their peaks with them."""
+    gc.collect()
+    with suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_side(side: DataFrame, rows: int) -> DataFrame:
     """``side`` with a broadcast hint if its counted ``rows`` stay below the bound."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import suppress
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import buckets_of, linked_groups, mix64, sized_words, small_side, spread, stored
+from rackpulse.llm.common import buckets_of, give_back, linked_groups, mix64, sized_words, small_side, spread, stored
 
 EDIT_SIMILARITY = 0.9
 # The features of a line are its words, those of a line with fewer words its runs of bytes.
@@ -149,13 +146,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Spark keeps its Python workers, and their peaks with them."""
-    gc.collect()
-    with suppress(OSError, AttributeError):  # only the GNU library has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line with a word: its place, the hash of its words, its SimHash."""
     schema = "doc_id bigint, text_key bigint, line bigint, node bigint, chars bigint, simhash bigint"

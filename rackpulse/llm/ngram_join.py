@@ -16,6 +16,7 @@ from rackpulse.llm.common import (
     connected,
     ends,
     first_pairs,
+    give_back,
     mix64,
     shingle_sets,
     small_side,
@@ -90,6 +91,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 [batch.column(0), pa.array(grams), pa.array(digest_a.view(np.int64)), pa.array(digest_b.view(np.int64)), lists],
                 ["doc_id", "grams", "digest_a", "digest_b", "keys"],
             )
+        give_back()
 
     rows_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows_of.mapInArrow(run, schema)
@@ -105,6 +107,7 @@ def gram_sets(docs: DataFrame, nodes: DataFrame, count: int, width: int) -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "grams"]
             )
+        give_back()
 
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text")).join(
         small_side(nodes, count), "node", "left_semi"

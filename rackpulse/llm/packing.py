@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rackpulse.llm.common import byte_hashes, spread
+from rackpulse.llm.common import byte_hashes, give_back, spread
 
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, ids binary")
@@ -240,6 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = 1024, shard_
     rows. A text of any length is cut into as many pieces as it needs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = Encoder(tokenizer, ranks)
         sequence_id = TaskContext.get().partitionId() << 34
         keys: list[int | None] = []
@@ -282,5 +283,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = 1024, shard_
                 tokens += len(ids)
         if held:
             yield from flush()
+        give_back()
 
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, PIECES)

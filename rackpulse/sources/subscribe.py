@@ -78,7 +78,7 @@ class LogReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: StructType) -> None:
         self.path, self.topic = options["path"].rstrip("/"), options["topic"]
         self.first = {int(name): int(value) for name, value in json.loads(options.get("start", "{}")).items()}
-        self.names = schema.names
+        self.schema, self.names = schema, schema.names
         self.held: dict[int, Held] = {}
         self.manifest: dict[str, dict[int, set[int]]] = {}
 
@@ -160,16 +160,23 @@ class LogReader(DataSourceStreamReader):
         import pyarrow as pa
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         system, _ = _opened(self.path)
         stored = [name for name in self.names if name not in ("topic", "partition")]
+        # All batches have one schema, whatever rows and nulls they hold.
+        schema = to_arrow_schema(self.schema)
         for path in partition.files:
             for batch in pq.ParquetFile(path, filesystem=system).iter_batches(columns=stored):
                 offset = batch.column("offset")
                 batch = batch.filter(pc.and_(pc.greater_equal(offset, partition.low), pc.less(offset, partition.high)))
-                places = {"topic": pa.array([self.topic] * len(batch)), "partition": pa.array([partition.partition] * len(batch), pa.int32())}
-                columns = [places[name] if name in places else batch.column(name) for name in self.names]
-                yield pa.RecordBatch.from_arrays(columns, self.names)
+                if not len(batch):
+                    continue
+                places = {"topic": pa.array([self.topic] * len(batch)), "partition": pa.array([partition.partition] * len(batch))}
+                columns = [
+                    (places[field.name] if field.name in places else batch.column(field.name)).cast(field.type) for field in schema
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 class LogSource(DataSource):

@@ -4,7 +4,7 @@ import pytest
 from helpers import record
 from pyspark.sql import functions as F
 from rackpulse.operators.progress import committed, heads, resume
-from rackpulse.schemas import ACK_LOG, TELEMETRY_RECORD
+from rackpulse.schemas import ACK_LOG, MESSAGE_LOG, TELEMETRY_RECORD
 from rackpulse.sources import subscribe as source
 from rackpulse.sources.log_files import append_log, read_log
 from rackpulse.sources.subscribe import Held, LogReader, subscribe
@@ -109,3 +109,20 @@ def test_waiting_ingest_takes_what_is_appended(spark, tmp_path, rows_of):
     commits = committed(tables.acks())
     drain(subscribe(spark, log, "t", commits, "collector"), tmp_path, "other")
     assert rows_of(spark.read.parquet(str(tmp_path / "out")), F.col("payload.value")) == [(10.0,), (11.0,)]
+
+
+def test_a_slice_may_begin_inside_a_file_of_several_batches(spark, tmp_path):
+    """A batch without rows of the slice has the same schema as the others, or is not passed on."""
+    log = str(tmp_path / "log")
+    rows = spark.range(70_000).select(
+        F.col("id").alias("seq"), F.lit("t").alias("topic"), F.lit(0).alias("partition"),
+        *(F.lit(value).cast(TELEMETRY_RECORD[name].dataType).alias(name) for name, value in record().items()),
+    )
+    append_log(rows, log, "seq")
+    reader = LogReader({"path": log, "topic": "t"}, MESSAGE_LOG)
+    reader.latestOffset()
+    (whole,) = reader.partitions({"0": 66_000}, {"0": 70_000})
+    assert (whole.low, whole.high) == (66_000, 70_000)
+    assert sum(len(batch) for batch in reader.read(whole)) == 4000
+    drain(subscribe(spark, log, "t", commits_of(spark, [("t", "g", 0, 65_999)]), "g"), tmp_path)
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.min("offset"), F.count("*")).first() == (66_000, 4000)

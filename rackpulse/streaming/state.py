@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -53,21 +53,24 @@ def _combined(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class DeviceState(StatefulProcessor):
-    """Last record of a device by (time, topic, partition, offset), first and last time seen."""
+    """Last record of a device by (time, topic, partition, offset), first and last time seen.
+
+    Works on rows: a device brings one or a few, for which a pandas frame costs more than the rest.
+    """
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("device", _SEEN)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        now = old
-        for part in rows:
-            for row in part[_SEEN.names].itertuples(index=False, name=None):
-                now = row if now is None else self._later(now, row)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        old = now = None if held is None else tuple(held)
+        for row in rows:
+            row = tuple(row[name] for name in _SEEN.names)
+            now = row if now is None else self._later(now, row)
         if now != old:
             self.state.update(now)
-            held = None if old is None else old[_SEEN.names.index("model_name")]
-            yield pd.DataFrame([[key[0], *now, old is not None, held]], columns=_CHANGE.names)
+            model = None if old is None else old[_SEEN.names.index("model_name")]
+            yield Row(**dict(zip(_CHANGE.names, (key[0], *now, old is not None, model), strict=True)))
 
     @staticmethod
     def _later(one: tuple, other: tuple) -> tuple:
@@ -93,7 +96,7 @@ def device_changes(devices: DataFrame) -> DataFrame:
     ``devices`` are checked device records of a stream, with ``ingested_at``.
     """
     combined = _seen(devices).mapInPandas(_combined, _RECORD)
-    changed = combined.groupBy("uuid").transformWithStateInPandas(DeviceState(), _CHANGE, "Update", "None")
+    changed = combined.groupBy("uuid").transformWithState(DeviceState(), _CHANGE, "Update", "None")
     return changed.select("uuid", *GPU_ATTRIBUTES, *_times(), "known", "old_model")
 
 

@@ -1,5 +1,6 @@
 import pytest
 from helpers import messages, record
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from rackpulse.operators.merge import latest_state
 from rackpulse.operators.progress import committed, heads
@@ -127,3 +128,30 @@ def test_bounded_dedup_forgets_and_drops(rocksdb, tmp_path, rows_of):
     state_of = [progress["stateOperators"][0] for progress in run.recentProgress if progress["stateOperators"]]
     assert sum(step["numRowsDroppedByWatermark"] for step in state_of) == 4
     assert max(step["numRowsTotal"] for step in state_of) <= 36 < 72
+
+
+def test_device_state_works_on_rows():
+    """One lookup per device and batch, and a row out only where the state changes."""
+    class Value:
+        held, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+    value = Value()
+    device = state.DeviceState()
+    device.init(type("Handle", (), {"getValueState": lambda self, name, schema: value})())
+
+    def row(model, micros, offset):
+        return Row(uuid="a", gpu_index="0", device="d", model_name=model, hostname="h", first_us=micros, last_us=micros,
+                   stamp=micros * 1000, topic="t", partition=0, offset=offset)
+
+    (first,) = device.handleInputRows(("a",), iter([row("X", 5, 1), row("Y", 9, 2), row("Z", 1, 3)]), None)
+    assert (first.uuid, first.model_name, first.first_us, first.last_us, first.known, first.old_model) == ("a", "Y", 1, 9, False, None)
+    (second,) = device.handleInputRows(("a",), iter([row("N", 10, 0)]), None)
+    assert (second.model_name, second.known, second.old_model) == ("N", True, "Y")
+    assert list(device.handleInputRows(("a",), iter([row("N", 10, 0)]), None)) == [] and value.asked == 3

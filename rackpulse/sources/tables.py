@@ -56,8 +56,9 @@ SKIPPABLE = {
 # A day is compacted into files of about so many bytes.
 TARGET_BYTES = 256 << 20
 
-# Days whose times a lookup names one by one; more days are named by their dates alone.
-MOST_DAYS = 64
+# Days whose times and devices a lookup names one by one. More days are named by their dates
+# and their common bounds: a filter of very many terms is too long for the JVM to compile.
+MOST_DAYS = 8
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -246,7 +247,12 @@ class Tables:
         if not days:
             return stored.limit(0)
         if len(days) > MOST_DAYS:
-            return stored.where(F.col("sample_date").isin([span.sample_date for span in days]))
+            low, high = min(span.low for span in days), max(span.high for span in days)
+            return stored.where(
+                F.col("sample_date").isin([span.sample_date for span in days])
+                & F.col("sample_at").between(F.timestamp_micros(F.lit(low)), F.timestamp_micros(F.lit(high)))
+                & F.col("uuid").between(min(span.first for span in days), max(span.last for span in days))
+            )
         return stored.where(reduce(Column.__or__, [
             (F.col("sample_date") == F.lit(span.sample_date))
             & F.col("sample_at").between(F.timestamp_micros(F.lit(span.low)), F.timestamp_micros(F.lit(span.high)))

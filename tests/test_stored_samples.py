@@ -113,3 +113,18 @@ def test_cursor_bound_reaches_the_scan(tables):
     assert "LessThanOrEqual(sample_at" in plan and "sample_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
     with pytest.raises(ValueError):
         seek(tables.samples(), [], 0)
+
+
+def test_lookup_over_many_days_is_one_short_filter(spark, tmp_path, monkeypatch):
+    """A lookup over more days than are named one by one is bounded by common times and devices, and stays exact."""
+    tables, path = Tables(spark, str(tmp_path / "tables")), str(tmp_path / "keys")
+    day = 86_400_000_000_000
+    rows = [(0, n, record(f"GPU-{n % 5}", 1_777_636_800_000_000_000 + n * day)) for n in range(12)]
+    apply_batch(tables, messages(spark, rows), "g")
+    again = [(0, 20 + n, rows[n][2]) for n in range(12)] + [(0, 40, record("GPU-0", 1_777_636_800_000_001_000))]
+    maybe = tables.samples().select("sample_date", "uuid", "metric_name", "sample_at")
+    condition = tables._candidates(maybe)._jdf.queryExecution().optimizedPlan().toString()
+    assert condition.count("uuid#") < 8 and condition.count(" OR ") < 2
+    assert tables._candidates(maybe).count() == 12
+    apply_batch(tables, messages(spark, again), "g")
+    assert tables.samples().count() == 13

@@ -116,8 +116,8 @@ def common_words(docs: DataFrame, share: float = COMMON_SHARE, most: int = COMMO
                  language_share: float = LANGUAGE_SHARE) -> dict[str, list[bytes]]:
     """Per large enough language the words that most of its documents hold.
 
-    A word in ``share`` of a language's documents is in ``share`` of them in at least
-    one chunk, so a chunk passes on only the words that reach it there.
+    A chunk passes on the counts of all its words, so the sums are the numbers of documents
+    over the whole corpus, however its rows lie in chunks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -127,7 +127,6 @@ def common_words(docs: DataFrame, share: float = COMMON_SHARE, most: int = COMMO
         def flush() -> pa.RecordBatch:
             out = [(lang, None, count) for lang, count in rows.items()] + [
                 (lang, word, count) for lang, held in found.items() for word, count in held.items()
-                if count >= share * rows[lang]
             ]
             return pa.RecordBatch.from_arrays([
                 pa.array([row[0] for row in out], pa.string()), pa.array([row[1] for row in out], pa.binary()),
@@ -154,7 +153,8 @@ def common_words(docs: DataFrame, share: float = COMMON_SHARE, most: int = COMMO
     total = rows.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     large = rows.where(F.col("docs") >= language_share * total)
     ranked = (
-        sums.where("word is not null").join(large, "lang").where(F.col("held") >= share * F.col("docs"))
+        # At most 1 / language_share rows: the counts are not dealt by language.
+        sums.where("word is not null").join(F.broadcast(large), "lang").where(F.col("held") >= share * F.col("docs"))
         .groupBy("lang")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("held")).alias("rank"), "word"))), 1, most).alias("best"))
     )

@@ -230,11 +230,12 @@ def stream_bounded_dedup(spark, sf):
         part = rows.where((day <= F.lit(high)) & (day > F.lit(bounds[place - 1]) if place else day <= F.lit(high)))
         if place == 3:
             part = part.unionByName(rows.where(day <= F.lit(bounds[0])))
-        part.coalesce(1).write.mode("append").parquet(path)
-    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    with _state_store(spark):
-        run = dedup_within(feed, "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        run.trigger(availableNow=True).start(out).awaitTermination()
+        # A part is a micro-batch of its own, in as many files as it was written by tasks.
+        part.write.mode("append").parquet(path)
+        feed = spark.readStream.schema(rows.schema).parquet(path)
+        with _state_store(spark):
+            run = dedup_within(feed, "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            run.trigger(availableNow=True).start(out).awaitTermination()
     found = spark.read.schema(rows.schema).parquet(out)
     return found.select(*SAMPLE_KEY[:2], F.col("sample_at").cast("timestamp_ntz").alias("sample_at"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rackpulse.operators.merge import latest_state
 from rackpulse.operators.progress import committed, heads
 from rackpulse.operators.records import check_records, with_times
+from rackpulse.plans import stored_checks
 from rackpulse.plans.queries import count_models
 from rackpulse.schemas import ACK_LOG, GPUS, MESSAGE_LOG
 from rackpulse.sources.log_files import message_records
@@ -155,3 +156,10 @@ def test_device_state_works_on_rows():
     (second,) = device.handleInputRows(("a",), iter([row("N", 10, 0)]), None)
     assert (second.model_name, second.known, second.old_model) == ("N", True, "Y")
     assert list(device.handleInputRows(("a",), iter([row("N", 10, 0)]), None)) == [] and value.asked == 3
+
+
+def test_parts_of_the_bounded_dedup_are_not_written_by_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_checks, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    found = stored_checks.stream_bounded_dedup(spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert len(list((tmp_path / "samples").glob("*.parquet"))) > 4

@@ -248,8 +248,11 @@ def linked_groups(buckets: Buckets, weights: DataFrame, fits, check, name: str)
     groups = connected(edges, name)
     more = stored(stray_pairs(buckets, groups, fits).join(pairs, ["a", "b"], "left_anti"), "strays")
     if more.head(1):
-        edges = stored(edges.unionByName(check(more, ends(more))), "links")
-        groups = connected(edges, name)
+        further = stored(check(more, ends(more)), "links")
+        edges = edges.unionByName(further)
+        # The groups stand for the edges that made them.
+        grown = groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(further.select("a", "b"))
+        groups = connected(grown, name)
     return edges, groups
 
 
@@ -261,26 +264,30 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     logarithm of the longest path. Every round is written to the shared folder; the
     driver sees one row a round.
     """
-    now = stored(edges.select("a", "b").where("a != b").distinct(), name)
+    now = stored(
+        edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name
+    )
+    # a is the smaller end throughout.
     while _tangled(now).head(1):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("low").alias("a"), "b").where("a != b")
-        # From here on a is the smaller end.
+        least = _both_ways(now).groupBy("node").agg(F.least(F.min("other"), "node").alias("low"))
+        large = now.join(least.withColumnRenamed("node", "a"), "a").select(F.col("low").alias("a"), "b")
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b")
         now = stored(
-            small.select(F.col("low").alias("a"), F.col("a").alias("b")).where("a != b")
-            .unionByName(small.select(F.col("low").alias("a"), "b")).distinct(),
-            name,
+            small.select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a != b").distinct(), name
         )
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """``node`` and ``other`` of each edge from either end, in one pass over the edges."""
+    ways = [F.struct(F.col(one).alias("node"), F.col(two).alias("other")) for one, two in ("ab", "ba")]
+    return edges.select(F.inline(F.array(*ways)))
+
+
 def _tangled(edges: DataFrame) -> DataFrame:
     """Nodes that keep the edges from being stars: below two others, or below one and above one."""
-    over = edges.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
-    under = edges.select(F.col("b").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below"))
-    uses = over.unionByName(under).groupBy("node").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
+    below = F.col("node") > F.col("other")
+    uses = _both_ways(edges).groupBy("node").agg(F.count_if(~below).alias("above"), F.count_if(below).alias("below"))
     return uses.where("below > 1 or (above > 0 and below > 0)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -223,6 +224,47 @@ def alignment_cost(one: list[str], other: list[str], look: int = 4) -> int:
     return cost + max(sum(map(len, one[i:])) + len(one) - i, sum(map(len, other[j:])) + len(other) - j)
 
 
+def unlike_middles(one: str, other: str) -> tuple[str, str]:
+    """What is left of two texts without their common beginning and end; the edit distance is the same."""
+    shorter = min(len(one), len(other))
+    low = len(commonprefix([one, other]))
+    high = len(commonprefix([one[::-1][:shorter - low], other[::-1][:shorter - low]]))
+    return one[low:len(one) - high], other[low:len(other) - high]
+
+
+def edits_fit(one: str, other: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: Myers' bit vectors, a column of the distance table per step.
+
+    Bit ``i`` of ``up`` and ``down`` says whether the distance grows or falls by one
+    from row ``i`` to the next; ``last`` is the distance in the last row.
+    """
+    if len(one) > len(other):
+        one, other = other, one
+    if not one or len(other) - len(one) > most:
+        return len(other) <= most
+    places: dict[str, int] = {}
+    for place, char in enumerate(one):
+        places[char] = places.get(char, 0) | 1 << place
+    whole, top = (1 << len(one)) - 1, 1 << len(one) - 1
+    up, down, last, left = whole, 0, len(one), len(other)
+    for char in other:
+        equal = places.get(char, 0)
+        across = ((equal & up) + up ^ up) | equal
+        right, back = down | whole & ~(across | up), up & across
+        left -= 1
+        if right & top:
+            last += 1
+        elif back & top:
+            last -= 1
+        # Each further step lowers it by one at most.
+        if last - left > most:
+            return False
+        right = right << 1 | 1
+        steep = equal | down
+        up, down = whole & (back << 1 | ~(steep | right)), whole & right & steep
+    return last <= most
+
+
 def within(one: str, other: str, most: int) -> bool | None:
     """Whether the edit distance is at most ``most``, if two bounds tell; else None."""
     if abs(len(one) - len(other)) > most:
@@ -240,29 +282,24 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """The pairs whose texts have at least that edit similarity: 1 - distance / longer length.
 
     Most pairs are settled by a bound on their distance; the exact distance is
-    computed for the others, along a band as wide as the distance may be.
+    computed for the others.
     """
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
+    def close(one: str, other: str) -> bool:
+        most = int(max(len(one), len(other)) * (1 - similarity) + 1e-9)
+        one, other = unlike_middles(one, other)
+        told = within(one, other, most)
+        return edits_fit(one, other, most) if told is None else told
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            most, close, one, other = [], [], [], []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                most.append(int(max(len(x), len(y)) * (1 - similarity) + 1e-9))
-                close.append(within(x, y, most[-1]))
-                one.append(x if close[-1] is None else None)
-                other.append(y if close[-1] is None else None)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("a"), batch.column("b"), pa.array(most, pa.int32()), pa.array(close, pa.bool_()),
-                pa.array(one, pa.string()), pa.array(other, pa.string()),
-            ], ["a", "b", "most", "close", "one", "other"])
-
-    settled = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a bigint, b bigint, most int, close boolean, one string, other string"
-    )
-    exact = F.expr("levenshtein(one, other, most)") >= 0
-    return settled.where(F.coalesce("close", exact)).select("a", "b")
+            texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([close(*pair) for pair in texts], pa.bool_()))
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def repeated_lines(docs: DataFrame, similarity: float = EDIT_SIMILARITY, blocks: int = BLOCKS) -> DataFrame:

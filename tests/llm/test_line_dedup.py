@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus
 import numpy as np
@@ -7,11 +8,13 @@ from rackpulse.llm.line_dedup import (
     BLOCKS,
     alignment_cost,
     block_keys,
+    edits_fit,
     gram_hashes,
     line_hashes,
     numbered,
     repeated_lines,
     simhashes,
+    unlike_middles,
     within,
     without_lines,
 )
@@ -125,6 +128,26 @@ def test_bounds_hold():
             assert within(" ".join(one), " ".join(other), most) in (None, true <= most)
 
 
+def test_exact_distance():
+    rng = random.Random(15)
+    for _ in range(500):
+        one = "".join(rng.choice("abé ") for _ in range(rng.randrange(12)))
+        other = "".join(c for c in one if rng.random() < 0.8) + "".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+        true = distance(one, other)
+        assert distance(*unlike_middles(one, other)) == true
+        for most in range(6):
+            assert edits_fit(one, other, most) == edits_fit(other, one, most) == (true <= most)
+
+
+def test_long_near_copies_are_settled_fast():
+    rng = random.Random(16)
+    line = [rng.choice("abcdefgh") for _ in range(2000)]
+    other = [rng.choice("xyz") if rng.random() < 0.05 else c for c in line]
+    began = time.process_time()
+    assert all(edits_fit("".join(line), "".join(other), 200) for _ in range(20))
+    assert time.process_time() - began < 2
+
+
 def test_grams_of_short_lines():
     hashes, counts = gram_hashes(["a", "abc ab", "é"])
     assert counts.tolist() == [1, 6, 2]

@@ -9,6 +9,7 @@ from contextlib import suppress
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ SMALL_BUCKET = 8
 # Rows per partition where they are dealt by bucket before they are counted.
 DEALT_ROWS = 500_000
 
-_SLICE = 1 << 22
+_SLICE = 1 << 18
+# Documents that a task takes at once out of a batch.
+PART = 500
 _U64 = np.uint64
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = _WORD_BYTE[0x80:] = True
@@ -43,6 +46,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = PART) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of few rows, so what a task makes of them stays small."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, rows):
+            yield whole.slice(low, rows)
+
+
 def small_side(side: DataFrame, rows: int) -> DataFrame:
     """``side`` with a broadcast hint if its counted ``rows`` stay below the bound."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
@@ -80,7 +90,7 @@ def sized_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
     A word is a run of letters, digits or non-ASCII characters. Text ``i`` owns
     ``hashes[first[i]:first[i + 1]]``. Null and empty texts own none. The work goes
-    over slices of a few MB, so the extra memory does not follow the input.
+    over slices of a quarter MB, so the extra memory does not follow the input.
     """
     hashes, counts, sizes = [], [], []
     at = 0

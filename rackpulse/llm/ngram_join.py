@@ -18,6 +18,7 @@ from rackpulse.llm.common import (
     first_pairs,
     give_back,
     mix64,
+    parts_of,
     shingle_sets,
     small_side,
     stored,
@@ -73,7 +74,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     schema = "doc_id bigint, grams bigint, digest_a bigint, digest_b bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column(1).to_pylist()
             size = len(texts)
             grams, digest_a, digest_b = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
@@ -100,7 +101,7 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 def gram_sets(docs: DataFrame, nodes: DataFrame, count: int, width: int) -> DataFrame:
     """``node`` and its set of n-grams, for the documents named in ``nodes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             sets = [held.view(np.int64) for held in shingle_sets(batch.column(1).to_pylist(), width)]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rackpulse.llm.common import byte_hashes, give_back, spread
+from rackpulse.llm.common import byte_hashes, give_back, parts_of, spread
 
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, ids binary")
@@ -20,7 +20,7 @@ _SPECIAL = "<|endoftext|>"
 _WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 class Encoder:
@@ -124,9 +124,13 @@ class Index:
     def __init__(self, documents: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
         length = np.array([len(ids) for ids in documents], np.int64)
         self.size = len(documents)
-        pairs = np.repeat(np.arange(self.size, dtype=np.int64), length) << 16 | np.concatenate(documents)
+        kind = np.uint32 if self.size <= 1 << 16 else np.uint64
+        pairs = np.repeat(np.arange(self.size, dtype=kind) << kind(16), length)
+        pairs |= np.concatenate(documents)
         pairs.sort()
-        once = np.flatnonzero(np.diff(pairs, prepend=-1))
+        first = np.ones(len(pairs), bool)
+        np.not_equal(pairs[1:], pairs[:-1], out=first[1:])
+        once = np.flatnonzero(first)
         count = np.diff(once, append=len(pairs)).astype(np.float32)
         owner = (pairs[once] >> 16).astype(np.int32)
         self.terms = (pairs[once] & 0xFFFF).astype(np.uint16)
@@ -272,7 +276,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = 1024, shard_
             return pa.RecordBatch.from_arrays(columns, names)
 
         tokens = 0
-        for piece in batches:
+        for piece in parts_of(batches):
             texts = piece.column(1).to_pylist()
             for key, ids in zip(piece.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 if held and tokens + len(ids) > shard_tokens:

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import corpus
 from rackpulse.llm import ngram_join
+from rackpulse.llm.common import word_hashes
 from rackpulse.llm.ngram_join import choose_bands, one_per_class, similarity_join
 
 
@@ -79,3 +81,14 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, None, 3, 3, 5, 6, 7, None, 8]))
     assert similarity_join(docs.limit(0))[0].count() == 0
+
+
+def test_words_of_many_texts_need_little_memory():
+    texts = ["some plain word " * 130] * 2000
+    tracemalloc.start()
+    try:
+        words, _ = word_hashes(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(words) == 780_000 and most < 100_000_000

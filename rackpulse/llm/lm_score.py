@@ -50,7 +50,7 @@ class Training(NamedTuple):
 
 
 _FLUSH = 2_000_000
-_STEP = 1 << 14
+_STEP = 1 << 12
 
 
 def parameter_shapes(shape: Shape) -> dict[str, tuple[int, ...]]:
@@ -84,11 +84,6 @@ def initial(shape: Shape, counts: np.ndarray) -> np.ndarray:
     return flat
 
 
-def log_softmax(values: np.ndarray) -> np.ndarray:
-    values = values - values.max(axis=1, keepdims=True)
-    return values - np.log(np.exp(values).sum(axis=1, keepdims=True))
-
-
 def context_places(shape: Shape) -> np.ndarray:
     """Offsets of the words on both sides; the word itself is left out."""
     return np.concatenate([np.arange(-shape.window, 0), np.arange(1, shape.window + 1)])
@@ -96,24 +91,59 @@ def context_places(shape: Shape) -> np.ndarray:
 
 def contexts(classes: np.ndarray, first: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
     """Classes around the tokens at ``at``; the padding class beyond the ends of their text."""
-    text = np.searchsorted(first, at, side="right") - 1
-    around = at[:, None] + context_places(shape)
-    inside = (around >= first[text][:, None]) & (around < first[text + 1][:, None])
-    return np.where(inside, classes[np.clip(around, 0, max(len(classes) - 1, 0))], shape.classes)
+    # Each text is padded on its left, and the last one on its right too.
+    place = np.arange(len(classes)) + np.repeat(shape.window * np.arange(1, len(first)), np.diff(first))
+    padded = np.full(len(classes) + shape.window * len(first), shape.classes, np.int32)
+    padded[place] = classes
+    return padded[place[at][:, None] + context_places(shape)]
+
+
+class Pass(NamedTuple):
+    """One way through the network for tokens in the order of their groups, a column each.
+
+    ``hidden`` has a last row of ones, so biases are weights of it; the scores of the
+    groups and of the words in the token's group are below their largest, which is 0.
+    """
+
+    order: np.ndarray
+    group: np.ndarray
+    word: np.ndarray
+    edges: np.ndarray
+    inputs: np.ndarray
+    hidden: np.ndarray
+    outer: np.ndarray
+    inner: np.ndarray
+
+
+def forward(net: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, shape: Shape) -> Pass:
+    group, word = np.divmod(target, shape.groups)
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    group, word = group[order], word[order]
+    edges = np.searchsorted(group, np.arange(shape.groups + 1))
+    inputs = net["embed"][seen[order]].reshape(len(target), -1)
+    kind = net["w1"].dtype
+    hidden = np.ones((shape.hidden + 1, len(target)), kind)
+    np.tanh(net["w1"].T @ inputs.T + net["b1"][:, None], out=hidden[:-1])
+    outer = np.vstack([net["wg"], net["bg"]]).T @ hidden
+    inner = np.empty((shape.groups, len(target)), kind)
+    weights = np.concatenate([net["ww"], net["bw"][:, None]], axis=1)
+    for number, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if low < high:
+            inner[:, low:high] = weights[number].T @ hidden[:, low:high]
+    for scores in (outer, inner):
+        scores -= scores.max(axis=0)
+    return Pass(order, group, word, edges, inputs, hidden, outer, inner)
 
 
 def log_probs(net: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, shape: Shape) -> np.ndarray:
     """Log-probability of each target given its context: that of its group, then of the word in it."""
-    hidden = np.tanh(net["embed"][seen].reshape(len(seen), -1) @ net["w1"] + net["b1"])
-    group, word = np.divmod(target, shape.groups)
-    out = log_softmax(hidden @ net["wg"] + net["bg"])[np.arange(len(target)), group]
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(shape.groups + 1))
-    for number in range(shape.groups):
-        some = order[edges[number]:edges[number + 1]]
-        if len(some):
-            inner = log_softmax(hidden[some] @ net["ww"][number] + net["bw"][number])
-            out[some] += inner[np.arange(len(some)), word[some]]
+    held = forward(net, seen, target, shape)
+    every = np.arange(len(target))
+    out = np.empty(len(target), held.hidden.dtype)
+    out[held.order] = (
+        held.outer[held.group, every] - np.log(np.exp(held.outer).sum(axis=0))
+        + held.inner[held.word, every] - np.log(np.exp(held.inner).sum(axis=0))
+    )
     return out
 
 
@@ -122,31 +152,29 @@ def gradients(net: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray,
     size = len(target)
     flat = np.zeros(sum(int(np.prod(dims)) for dims in parameter_shapes(shape).values()), np.float32)
     grad = unpack(flat, shape)
-    inputs = net["embed"][seen].reshape(size, -1)
-    hidden = np.tanh(inputs @ net["w1"] + net["b1"])
-    group, word = np.divmod(target, shape.groups)
-    outer = np.exp(log_softmax(hidden @ net["wg"] + net["bg"]))
-    outer[np.arange(size), group] -= 1
-    grad["wg"][:] = hidden.T @ outer / size
-    grad["bg"][:] = outer.mean(axis=0)
-    back = outer @ net["wg"].T
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(shape.groups + 1))
-    for number in range(shape.groups):
-        some = order[edges[number]:edges[number + 1]]
-        if len(some):
-            inner = np.exp(log_softmax(hidden[some] @ net["ww"][number] + net["bw"][number]))
-            inner[np.arange(len(some)), word[some]] -= 1
-            grad["ww"][number] = hidden[some].T @ inner / size
-            grad["bw"][number] = inner.sum(axis=0) / size
-            back[some] += inner @ net["ww"][number].T
-    back *= (1 - hidden * hidden) / size
-    grad["w1"][:] = inputs.T @ back
-    grad["b1"][:] = back.sum(axis=0)
-    into = (back @ net["w1"].T).reshape(-1, shape.width)
-    flat_seen = seen.reshape(-1)
+    held = forward(net, seen, target, shape)
+    hidden, outer, inner = held.hidden, held.outer, held.inner
+    for scores, own in ((outer, held.group), (inner, held.word)):
+        np.exp(scores, out=scores)
+        scores /= scores.sum(axis=0)
+        scores[own, np.arange(size)] -= 1
+        scores /= size
+    both = hidden @ outer.T
+    grad["wg"][:], grad["bg"][:] = both[:-1], both[-1]
+    back = net["wg"] @ outer
+    for number, (low, high) in enumerate(zip(held.edges[:-1], held.edges[1:], strict=True)):
+        if low < high:
+            part = inner[:, low:high]
+            both = hidden[:, low:high] @ part.T
+            grad["ww"][number], grad["bw"][number] = both[:-1], both[-1]
+            back[:, low:high] += net["ww"][number] @ part
+    back *= 1 - hidden[:-1] * hidden[:-1]
+    grad["w1"][:] = held.inputs.T @ back.T
+    grad["b1"][:] = back.sum(axis=1)
+    into = (net["w1"] @ back).reshape(-1, shape.width, size)
+    places = seen[held.order].T.reshape(-1)
     for column in range(shape.width):
-        grad["embed"][:, column] = np.bincount(flat_seen, into[:, column], shape.classes + 1)
+        grad["embed"][:, column] = np.bincount(places, into[:, column].reshape(-1), shape.classes + 1)
     return flat
 
 
@@ -305,23 +333,29 @@ def _round(docs: DataFrame, model: Model, how: Training, number: int) -> np.ndar
     return flat
 
 
-def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probability of each text's classes."""
-    vocabulary, flat, shape, _ = model
-    net = unpack(flat, shape)
+def coded(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and classes of all words, and where each text's words begin."""
     words, first = word_hashes(texts)
-    classes = vocabulary.classes(words)
+    return words, model.vocabulary.classes(words), first
+
+
+def score_texts(texts: list[str | None], model: Model, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and summed log-probability of each text's classes; ``known`` is what ``coded`` gave."""
+    _, flat, shape, _ = model
+    net = unpack(flat, shape)
+    words, classes, first = known or coded(texts, model)
     logs = np.zeros(len(words) + 1)
+    seen = contexts(classes, first, np.arange(len(words)), shape)
     for low in range(0, len(words), _STEP):
-        at = np.arange(low, min(low + _STEP, len(words)))
-        logs[at + 1] = log_probs(net, contexts(classes, first, at, shape), classes[at], shape)
+        part = slice(low, low + _STEP)
+        logs[1:][part] = log_probs(net, seen[part], classes[part], shape)
     return np.diff(first), np.diff(np.cumsum(logs)[first])
 
 
-def shared_words(texts: list[str | None], model: Model) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def shared_words(texts: list[str | None], model: Model, known: tuple | None = None
+                 ) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Per text its words without a class of their own, their uses, and the summed log of their classes' counts."""
-    words, first = word_hashes(texts)
-    classes = model.vocabulary.classes(words)
+    words, classes, first = known or coded(texts, model)
     shared = classes >= model.shape.common
     logs = np.zeros(len(words) + 1)
     logs[1:][shared] = np.log(model.held[classes[shared]])
@@ -353,8 +387,9 @@ def score(docs: DataFrame, shape: Shape | None = None, how: Training = Training(
         row = TaskContext.get().partitionId() << 33
         for batch in _parts(batches):
             texts = batch.column(1).to_pylist()
-            tokens, logs = score_texts(texts, model)
-            words, uses, apart = shared_words(texts, model)
+            known = coded(texts, model)
+            tokens, logs = score_texts(texts, model, known)
+            words, uses, apart = shared_words(texts, model, known)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.arange(row, row + len(texts))), pa.array(tokens), pa.array(logs - apart),
                  _list([some.view(np.int64) for some in words], pa.int64()), _list(uses, pa.int32())],

@@ -62,7 +62,7 @@ def batch_key(messages: DataFrame, group: str) -> str:
 
 
 def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int = 0,
-                partitions: int = DEFAULT_PARTITIONS, cache: bool = False) -> None:
+                partitions: int = DEFAULT_PARTITIONS, cache: bool = False, stored: bool = False) -> None:
     """Write one batch of messages: devices, then samples, then what was refused and done.
 
     Every step can run again with the same batch and changes nothing then, so a
@@ -70,9 +70,13 @@ def apply_batch(tables: Tables, messages: DataFrame, group: str, batch_id: int =
     by the messages themselves; ``batch_id`` is not, as numbers start again with a new
     checkpoint. With ``cache``, for a micro-batch, the messages are held for the steps;
     without it they are written once to the scratch folder, and each step reads the columns
-    it needs from there instead of running the source again.
+    it needs from there instead of running the source again. Partitions of a log that
+    ``read_log`` gave are ``stored`` as they are, so each step reads them there.
     """
-    messages = messages.persist() if cache else written(messages, "batch")
+    if cache:
+        messages = messages.persist()
+    elif not stored:
+        messages = written(messages, "batch")
     try:
         batch = batch_key(messages, group)
         # A message without a place in the log has no id.

@@ -55,7 +55,7 @@ def _loaded(spark, sf, parts: int = 1) -> Tables:
     append_log(views.records(spark, sf), path, "event_id")
     messages = read_log(spark, path)
     for part in range(parts):
-        apply_batch(tables, messages.where(F.col("partition") % parts == part), "collector", part)
+        apply_batch(tables, messages.where(F.col("partition") % parts == part), "collector", part, stored=True)
     return tables
 
 
@@ -89,7 +89,7 @@ def stored_absent(spark, sf):
     append_log(views.records(spark, sf), path, "event_id")
     messages = read_log(spark, path)
     late = F.col("partition").isin(2, 5, 7)
-    apply_batch(tables, messages.where(~late), "collector")
+    apply_batch(tables, messages.where(~late), "collector", stored=True)
     samples = check_records(with_times(message_records(messages))).samples
     absent = tables.absent_samples(samples.withColumn("sample_date", F.to_date("sample_at")))
     return absent.select(

@@ -55,18 +55,17 @@ def stored_heads(log: DataFrame) -> DataFrame:
     return newest.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
 
 
-def write_log(messages: DataFrame, path: str) -> None:
+def write_log(messages: DataFrame, path: str, ranged: bool = False) -> None:
     """Append rows that have their offsets, in folders by topic, partition and segment.
 
     Rows are laid out by range first, so a file holds one range of offsets of one
-    partition and a reader opens few of them.
+    partition and a reader opens few of them. With ``ranged`` they lie so already, as
+    ``number_rows`` stored them, and each task sorts what it reads.
     """
     folders = [*LOG_KEY, "segment"]
-    (
-        messages.withColumn("segment", F.call_function("div", F.col("offset"), F.lit(SEGMENT)))
-        .repartitionByRange(*folders, "offset").sortWithinPartitions(*folders, "offset")
-        .write.mode("append").partitionBy(*folders).parquet(path)
-    )
+    placed = messages.withColumn("segment", F.call_function("div", F.col("offset"), F.lit(SEGMENT)))
+    ranges = placed if ranged else placed.repartitionByRange(*folders, "offset")
+    ranges.sortWithinPartitions(*folders, "offset").write.mode("append").partitionBy(*folders).parquet(path)
 
 
 def manifest_heads(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +93,8 @@ def append_log(records: DataFrame, path: str, arrival: str | list[str]) -> None:
     """
     spark = records.sparkSession
     known = written(manifest_heads(spark, path), "heads")
-    placed = written(assign_offsets(records, arrival, known), "placed")
+    # The numbered rows are stored by range; what is added to them here is two small joins.
+    placed = assign_offsets(records, arrival, known)
     reached = placed.groupBy(*LOG_KEY).agg((F.max("offset") + 1).alias("head"))
     reached.select(*_HEADS.names).coalesce(1).write.mode("append").parquet(_manifest(path))
-    write_log(to_messages(placed), path)
+    write_log(to_messages(placed), path, ranged=True)

@@ -215,7 +215,9 @@ class Tables:
     def _remember(self, rows: DataFrame, mode: str = "append") -> None:
         """Put the keys of ``rows`` into the filter."""
         held = held_keys(self._key_filter(self._days_of(rows) if mode == "append" else []))
-        filter_rows(rows, held).write.mode(mode).partitionBy("sample_date").parquet(f"{self.root}/sample_keys")
+        # Few files a day: blocks are small, and each task would write a file for every day.
+        laid = filter_rows(rows, held).repartition("sample_date", F.shiftright("block", 12))
+        laid.write.mode(mode).partitionBy("sample_date").parquet(f"{self.root}/sample_keys")
 
     def _complete_filter(self) -> None:
         """Build the filter of samples that were stored before there was one."""
@@ -230,11 +232,14 @@ class Tables:
         The filter of the keys tells nearly all new rows. The others are looked up among
         the samples of their own days, times and devices; without any, no sample is read.
         """
+        return insert_if_absent(rows, self._repeated(rows))
+
+    def _repeated(self, rows: DataFrame) -> DataFrame:
+        """The stored keys among those of ``rows``."""
         self._complete_filter()
         filters = self._key_filter(self._days_of(rows))
         maybe = written(possibly_held(rows, filters, held_keys(filters)), "maybe")
-        repeated = self._candidates(maybe).select(*SAMPLE_KEY).join(maybe.select(*SAMPLE_KEY), SAMPLE_KEY, "left_semi")
-        return insert_if_absent(rows, repeated)
+        return self._candidates(maybe).select(*SAMPLE_KEY).join(maybe.select(*SAMPLE_KEY), SAMPLE_KEY, "left_semi")
 
     def _candidates(self, rows: DataFrame) -> DataFrame:
         """Stored samples from the times and devices of some rows; only those can repeat their keys."""
@@ -301,20 +306,24 @@ class Tables:
 
         ``id`` is ``offset * partitions + partition`` within the topic's own range of ids,
         which is stored and never given to another topic or number of partitions, so ids
-        stay unique over topics. The new rows are written once to the scratch folder, as
-        the range layout reads them twice. Files are cut by date, device, metric and time,
+        stay unique over topics. The first row of each key is written once to the scratch
+        folder, as the range layout reads the rows twice; if any of them is stored already,
+        so are the rest. Files are cut by date, device, metric and time,
         so one device's range is few row groups and a busy device or day is spread. The
         keys go into the filter first: a crash before the samples leaves keys that are
         looked up in vain, never samples that the filter does not know.
         """
         self._finish_compaction()
-        first = written(first_wins(samples, RECORD_ORDER).withColumn("sample_date", F.to_date("sample_at")), "first")
-        ranges = self._id_start(first, partitions)
-        number = F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition")
-        fresh = self.absent_samples(first).join(ranges, "topic").withColumn("id", number)
-        rows = written(fresh.select(*STORED_SAMPLES.names), "fresh")
+        needed = samples.select(*TELEMETRY_SAMPLES.names[1:], *RECORD_ORDER)
+        rows = written(first_wins(needed, RECORD_ORDER).withColumn("sample_date", F.to_date("sample_at")), "first")
+        ranges = written(self._id_start(rows, partitions), "ranges")
+        repeated = written(self._repeated(rows), "repeated")
+        if repeated.head(1):
+            rows = written(insert_if_absent(rows, repeated), "fresh")
         self._remember(rows)
-        self._laid_out(rows).mode("append").partitionBy("sample_date").parquet(f"{self.root}/telemetry_samples")
+        number = F.col("_number") * ID_RANGE + F.col("offset") * F.lit(partitions) + F.col("partition")
+        placed = rows.join(ranges, "topic").withColumn("id", number).select(*STORED_SAMPLES.names)
+        self._laid_out(placed).mode("append").partitionBy("sample_date").parquet(f"{self.root}/telemetry_samples")
 
     # Progress and rejected messages.
 

@@ -128,3 +128,33 @@ def test_lookup_over_many_days_is_one_short_filter(spark, tmp_path, monkeypatch)
     assert tables._candidates(maybe).count() == 12
     apply_batch(tables, messages(spark, again), "g")
     assert tables.samples().count() == 13
+
+
+def test_a_batch_of_new_samples_is_copied_once(spark, tmp_path, monkeypatch, rows_of):
+    """An append stores the numbered rows only, a batch of a stored log the first row of each key, and no copies of those."""
+    from rackpulse.operators import numbering, sizes
+    from rackpulse.plans import ingest
+    from rackpulse.sources import log_files, tables as module
+
+    sides = []
+
+    def noted(side, name="side"):
+        sides.append((name, side.columns))
+        return sizes.written(side, name)
+
+    for user in (numbering, ingest, log_files, module):
+        monkeypatch.setattr(user, "written", noted)
+    log, tables = str(tmp_path / "log"), Tables(spark, str(tmp_path / "tables"))
+    rows = messages(spark, [(n % 3, 0, record(f"GPU-{n % 5}", 1_777_636_800_000_000_000 + n * 1_000_000)) for n in range(30)])
+    log_files.append_log(rows.select("topic", "partition", "payload.*"), log, "sample_unix_ns")
+    stored = log_files.read_log(spark, log)
+    assert rows_of(stored, "partition", "offset") == [(part, at) for part in range(3) for at in range(10)]
+    assert [name for name, held in sides if "labels_raw" in held] == ["numbered"]
+    sides.clear()
+    apply_batch(tables, stored.where("partition < 2"), "g", stored=True)
+    assert [name for name, held in sides if "labels_raw" in held] == ["first"]
+    assert all("model_name" not in held for _, held in sides)
+    # With stored samples among them the rest is written once more, and nothing comes twice.
+    apply_batch(tables, stored, "g", 1, stored=True)
+    assert [name for name, held in sides if "labels_raw" in held] == ["first", "first", "fresh"]
+    assert rows_of(tables.samples(), "id") == sorted([(at * 10 + part,) for part in range(3) for at in range(10)], key=repr)

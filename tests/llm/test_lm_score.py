@@ -145,3 +145,14 @@ def test_odd_rows(spark):
         assert row.log_prob <= 0 and math.isfinite(row.log_prob)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 6)} == {0}
     assert lm_score.score(docs.limit(0)).count() == 0
+
+
+def test_words_without_a_class_are_told_apart_without_a_search(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    words[5] = words[3] + np.uint64(1)  # begins like a word with a class
+    vocabulary, asked, search = Vocabulary(words[:4], SMALL), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda held, some: asked.append(len(some)) or search(held, some))
+    got = vocabulary.classes(words)
+    assert got[:4].tolist() == [0, 1, 2, 3] and (got[4:] >= SMALL.common).all()
+    assert asked[0] < 50

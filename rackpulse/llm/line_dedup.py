@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rackpulse.llm.common import buckets_of, give_back, linked_groups, mix64, sized_words, small_side, spread, stored
+from rackpulse.llm.common import (
+    buckets_of, give_back, linked_groups, mix64, parts_of, sized_words, small_side, spread, stored,
+)
 
 EDIT_SIMILARITY = 0.9
 # The features of a line are its words, those of a line with fewer words its runs of bytes.
@@ -188,6 +190,7 @@ def line_texts(docs: DataFrame, places: DataFrame, count: int) -> DataFrame:
                         nodes.append(number["node"])
                         out.append(normalised(split[number["line"]]))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.string())], ["node", "text"])
+        give_back()
 
     asked = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("node", "line")).alias("lines"))
     rows = _rows(docs).alias("d").join(
@@ -294,9 +297,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         return edits_fit(one, other, most) if told is None else told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([close(*pair) for pair in texts], pa.bool_()))
+        give_back()
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a bigint, b bigint")

@@ -3,6 +3,8 @@ import time
 
 import corpus
 import numpy as np
+import pyarrow as pa
+from rackpulse.llm import line_dedup
 from rackpulse.llm.common import word_hashes
 from rackpulse.llm.line_dedup import (
     BLOCKS,
@@ -179,3 +181,25 @@ def test_recall_against_all_pairs_by_edit_similarity(spark):
     gone = {r.doc_id: r.gone for r in repeated_lines(corpus.documents(spark, lines + twins)).collect()}
     assert all(key >= len(lines) for key in gone)
     assert len(gone) >= 0.4 * len(twins)
+
+
+def test_verification_holds_few_pairs_at_once_and_gives_memory_back(spark, monkeypatch):
+    class Plan:
+        def select(self, *_):
+            return self
+
+        def join(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    given = []
+    monkeypatch.setattr(line_dedup, "give_back", lambda: given.append(1))
+    pairs = pa.RecordBatch.from_pydict({
+        "a": list(range(1200)), "b": list(range(1, 1201)),
+        "text_a": ["the same long line of words"] * 1200, "text_b": ["the same long line of words"] * 600 + ["other"] * 600,
+    })
+    out = list(line_dedup.verified(Plan(), Plan(), 0.9)(iter([pairs])))
+    assert sum(batch.num_rows for batch in out) == 600 and [batch.num_rows for batch in out][:1] == [500]
+    assert given == [1]

@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rackpulse.session import scratch_dir
@@ -26,6 +26,8 @@ DEALT_ROWS = 500_000
 _SLICE = 1 << 18
 # Documents that a task takes at once out of a batch.
 PART = 500
+# Rows of the batches in which Spark hands texts to Python; its own default is 10,000.
+BATCH_ROWS = 1000
 _U64 = np.uint64
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = _WORD_BYTE[0x80:] = True
@@ -46,6 +48,18 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand at most ``BATCH_ROWS`` rows to Python at once; a smaller setting stays.
+
+    The buffers of a batch lie outside the heap and double until it fits, in each task,
+    and what is freed of them stays with the executor. A job with several steps on long
+    texts calls this; the rows of no operator here depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def parts_of(batches: Iterator[pa.RecordBatch], rows: int = PART) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of few rows, so what a task makes of them stays small."""
     for whole in batches:

@@ -125,21 +125,31 @@ class Index:
         length = np.array([len(ids) for ids in documents], np.int64)
         self.size = len(documents)
         kind = np.uint32 if self.size <= 1 << 16 else np.uint64
-        pairs = np.repeat(np.arange(self.size, dtype=kind) << kind(16), length)
-        pairs |= np.concatenate(documents)
+        # Arrays as long as the shard go as soon as they are used: a task's peak is here.
+        pairs = np.empty(int(length.sum()), kind)
+        at = 0
+        for number, ids in enumerate(documents):
+            pairs[at:at + len(ids)] = ids
+            pairs[at:at + len(ids)] |= kind(number << 16)
+            at += len(ids)
         pairs.sort()
         first = np.ones(len(pairs), bool)
         np.not_equal(pairs[1:], pairs[:-1], out=first[1:])
         once = np.flatnonzero(first)
-        count = np.diff(once, append=len(pairs)).astype(np.float32)
-        owner = (pairs[once] >> 16).astype(np.int32)
-        self.terms = (pairs[once] & 0xFFFF).astype(np.uint16)
+        pairs = pairs[first]
+        del first
+        count = np.diff(once, append=int(length.sum())).astype(np.float32)
+        del once
+        self.terms = pairs.astype(np.uint16)
+        owner = (pairs >> kind(16)).astype(np.int32)
+        del pairs
         self.begin = np.searchsorted(owner, np.arange(self.size + 1))
         held = np.bincount(self.terms, minlength=1 << 16)
         idf = np.log1p((self.size - held + 0.5) / (held + 0.5)).astype(np.float32)
         norm = (k1 * (1 - b + b * length / max(length.mean(), 1))).astype(np.float32)
         self.weights = idf[self.terms] * count * (k1 + 1) / (count + norm[owner])
-        order = np.argsort(self.terms, kind="stable")
+        del count
+        order = np.argsort(self.terms, kind="stable").astype(np.uint32)
         self.owner, self.scores = owner[order], self.weights[order]
         self.post = np.concatenate([[0], np.cumsum(held)])
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import corpus
 import numpy as np
@@ -76,6 +77,16 @@ def test_neighbours_follow_bm25():
     assert b == 0.75
 
 
+def test_index_holds_few_arrays_at_once():
+    rng = np.random.default_rng(3)
+    docs = [np.minimum(rng.zipf(1.3, 500), 40_000).astype(np.uint16) for _ in range(2000)]
+    tracemalloc.start()
+    Index(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, docs))
+
+
 def test_windows_hold_neighbours():
     near = [np.array([7, 8, 9, 10] * 25, np.uint16), np.array([7, 8, 9, 11] * 25, np.uint16)]
     far = [np.arange(100 * i, 100 * i + 100, dtype=np.uint16) + 1000 for i in range(8)]

@@ -56,6 +56,20 @@ def test_near_duplicates_go(spark, tmp_path):
     assert {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()} == {0, 2}
 
 
+def test_stages_hand_few_rows_at_once_to_python(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = corpus.documents(spark, ["a few words"] * 5)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for given, wanted in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+                spark.conf.set(name, given)
+                stage(spark, docs, str(tmp_path))
+                assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty_tables(spark, tmp_path):
     docs = corpus.odd_documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -32,6 +32,11 @@ _U64 = np.uint64
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[0x30:0x3A] = _WORD_BYTE[0x61:0x7B] = _WORD_BYTE[0x80:] = True
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, _U64))
+# What two bytes side by side add to a hash; the second one nothing if it ends the word.
+_FIRST, _SECOND = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+_PAIRS = (_FIRST + 1).astype(_U64) + np.where(_WORD_BYTE[_SECOND], _SECOND + 1, 0).astype(_U64) * _POWERS[0]
+# Words up to so many bytes are hashed side by side.
+_SHORT = 64
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -93,9 +98,34 @@ def byte_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return mix64(np.add.reduceat(terms, starts))
 
 
+def side_by_side(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``byte_hashes`` of the words at ``starts``, with a byte that is in no word behind each.
+
+    All words take their next two bytes at once, the longer ones first in order, so a
+    step works on a head of the arrays. Words beyond ``_SHORT`` bytes go byte by byte.
+    """
+    key = (_SHORT + 1 - np.minimum(lengths, _SHORT + 1)).astype(np.uint8)
+    order = np.argsort(key, kind="stable")
+    beyond = np.cumsum(np.bincount(key, minlength=_SHORT + 1))  # of words longer than _SHORT - place
+    out = np.empty(len(starts), _U64)
+    long, order = order[:beyond[0]], order[beyond[0]:]
+    if len(long):
+        size = lengths[long]
+        out[long] = byte_hashes(raw[spread(starts[long], size)], np.cumsum(size) - size, size)
+    at, sums = starts[order], np.zeros(len(order), _U64)
+    pairs = raw[:-1] | raw[1:].astype(np.uint16) << 8
+    for place in range(0, _SHORT, 2):
+        held = beyond[_SHORT - place] - len(long)
+        if not held:
+            break
+        sums[:held] += _PAIRS.take(pairs.take(at[:held] + place)) * _POWERS[place]
+    out[order] = mix64(sums)
+    return out
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words, and where each text's words begin."""
-    hashes, first, _ = sized_words(texts)
+    hashes, first, _ = _words(texts, False)
     return hashes, first
 
 
@@ -106,6 +136,11 @@ def sized_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     ``hashes[first[i]:first[i + 1]]``. Null and empty texts own none. The work goes
     over slices of a quarter MB, so the extra memory does not follow the input.
     """
+    return _words(texts, True)
+
+
+def _words(texts: list[str | None], sized: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``sized_words``, without the characters if they are not asked for."""
     hashes, counts, sizes = [], [], []
     at = 0
     while at < len(texts):
@@ -115,19 +150,23 @@ def sized_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
             size += len(part[-1])
             at += 1
         raw = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
-        inside = _WORD_BYTE[raw]
-        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        inside = _WORD_BYTE.take(raw)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate([[0], edges])
         starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
         ends = np.cumsum([len(text) + 1 for text in part])
         counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
         if len(starts):
-            held, begin = raw[inside], np.cumsum(lengths) - lengths
-            hashes.append(byte_hashes(held, begin, lengths))
-            sizes.append(np.add.reduceat((held & 0xC0) != 0x80, begin, dtype=np.int64))
+            # The line feed behind a text ends its last word.
+            hashes.append(side_by_side(raw, starts, lengths))
+            if sized:
+                held, begin = raw[inside], np.cumsum(lengths) - lengths
+                sizes.append(np.add.reduceat((held & 0xC0) != 0x80, begin, dtype=np.int64))
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
     if not hashes:
         return np.empty(0, _U64), first, np.empty(0, np.int64)
-    return np.concatenate(hashes), first, np.concatenate(sizes)
+    return np.concatenate(hashes), first, np.concatenate(sizes) if sized else np.empty(0, np.int64)
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

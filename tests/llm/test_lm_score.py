@@ -1,11 +1,12 @@
 import collections
 import math
 import random
+import re
 import sys
 
 import corpus
 import numpy as np
-from rackpulse.llm import lm_score
+from rackpulse.llm import common, lm_score
 from rackpulse.llm.common import word_hashes
 from rackpulse.llm.lm_score import Model, Shape, Training, Vocabulary, contexts, gradients, initial, log_probs, unpack
 
@@ -156,3 +157,19 @@ def test_words_without_a_class_are_told_apart_without_a_search(monkeypatch):
     got = vocabulary.classes(words)
     assert got[:4].tolist() == [0, 1, 2, 3] and (got[4:] >= SMALL.common).all()
     assert asked[0] < 50
+
+
+def test_words_are_hashed_two_bytes_at_once(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab9É世 .\n\0Z") for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += [None, "", "a", "x" * 63, "x" * 64, "x" * 65, " " + "é" * 32 + " y", "é" * 3000, "end"]
+    words = [word for text in texts for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())]
+    factor, sums = 0x9E3779B97F4A7C15, []
+    for word in words:
+        sums.append(sum((byte + 1) * pow(factor, place % 4096 + 1, 1 << 64) for place, byte in enumerate(word)) % (1 << 64))
+    one_by_one, whole = [], common.byte_hashes
+    monkeypatch.setattr(common, "byte_hashes", lambda raw, *spans: one_by_one.append(len(raw)) or whole(raw, *spans))
+    hashes, first = word_hashes(texts)
+    assert hashes.tolist() == common.mix64(np.array(sums, np.uint64)).tolist()
+    assert len(first) == len(texts) + 1 and first[-1] == len(words)
+    assert sum(one_by_one) == sum(len(word) for word in words if len(word) > 64)
